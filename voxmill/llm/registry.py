@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op2_bpe_tree
 from .html_extract import op1_html_main_text
+from .line_dedup import OP3_SQL, op3_line_dedup
 from .mixing import OP10_SQL, op10_mixing
 from .simhash import op6_simhash_components
 from .toxicity import op8_toxicity
@@ -15,9 +16,10 @@ from .toxicity import op8_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_main_text": op1_html_main_text,
     "op2_bpe_tree": op2_bpe_tree,
+    "op3_line_dedup": op3_line_dedup,
     "op6_simhash_components": op6_simhash_components,
     "op8_toxicity": op8_toxicity,
     "op10_mixing": op10_mixing,
 }
 
-ORACLE: dict[str, str] = {"op10_mixing": OP10_SQL}
+ORACLE: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op10_mixing": OP10_SQL}
