@@ -9,17 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op2_bpe_tree
 from .html_extract import op1_html_main_text
 from .line_dedup import OP3_SQL, op3_line_dedup
+from .media import op9_media_columns
 from .mixing import OP10_SQL, op10_mixing
 from .simhash import op6_simhash_components
 from .toxicity import op8_toxicity
+from .url_filter import OP7_SQL, op7_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_main_text": op1_html_main_text,
     "op2_bpe_tree": op2_bpe_tree,
     "op3_line_dedup": op3_line_dedup,
     "op6_simhash_components": op6_simhash_components,
+    "op7_url_filter": op7_url_filter,
     "op8_toxicity": op8_toxicity,
+    "op9_media_columns": op9_media_columns,
     "op10_mixing": op10_mixing,
 }
 
-ORACLE: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op10_mixing": OP10_SQL}
+ORACLE: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op7_url_filter": OP7_SQL, "op10_mixing": OP10_SQL}
