@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op2_bpe_tree
 from .html_extract import op1_html_main_text
+from .langid import op4_language_id
 from .line_dedup import OP3_SQL, op3_line_dedup
 from .media import op9_media_columns
 from .mixing import OP10_SQL, op10_mixing
 from .simhash import op6_simhash_components
+from .topk import OP5_SQL, op5_topk_maxscore
 from .toxicity import op8_toxicity
 from .url_filter import OP7_SQL, op7_url_filter
 
@@ -19,6 +21,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_main_text": op1_html_main_text,
     "op2_bpe_tree": op2_bpe_tree,
     "op3_line_dedup": op3_line_dedup,
+    "op4_language_id": op4_language_id,
+    "op5_topk_maxscore": op5_topk_maxscore,
     "op6_simhash_components": op6_simhash_components,
     "op7_url_filter": op7_url_filter,
     "op8_toxicity": op8_toxicity,
@@ -26,4 +30,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
 }
 
-ORACLE: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op7_url_filter": OP7_SQL, "op10_mixing": OP10_SQL}
+ORACLE: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op5_topk_maxscore": OP5_SQL, "op7_url_filter": OP7_SQL, "op10_mixing": OP10_SQL}
