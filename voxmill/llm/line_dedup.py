@@ -83,13 +83,14 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rem
     marks = seen.join(again, "h").withColumn("is_first", F.col("first") == place)
     marks = marks.groupBy("k").agg(F.collect_set(F.struct("s", "e", "h", "is_first")).alias("marks"))
     # texts meet their candidates; only the candidates' bytes go on
-    found = named.alias("t").join(marks.alias("m"), _same_row("t.k", "m.k")).select("t.k", F.split("t.text", "\n", -1).alias("_lines"), "m.marks")
+    # merge hints: candidates grow with the corpus, so neither join may turn into a broadcast on small inputs
+    found = named.alias("t").join(marks.hint("merge").alias("m"), _same_row("t.k", "m.k")).select("t.k", F.split("t.text", "\n", -1).alias("_lines"), "m.marks")
     with_bytes = F.transform("marks", lambda m: m.withField("bytes", F.when(m["e"] <= F.size("_lines"), _chunk(m["s"], m["e"]))))
     found = kept.put(found.select("k", F.explode(with_bytes).alias("c")).select("k", "c.*"))
     firsts = found.where("is_first").groupBy("h").agg(F.min("bytes").alias("first_bytes"))
     same = found.where("not is_first").join(firsts, "h").where("bytes = first_bytes")
     gone = kept.put(same.groupBy("k").agg(F.collect_set(F.struct("s", "e")).alias("gone")))
-    out = named.alias("t").join(gone.alias("g"), _same_row("t.k", "g.k"), "left").select("t.doc", "t.text", F.col("g.gone").alias("gone"))
+    out = named.alias("t").join(gone.hint("merge").alias("g"), _same_row("t.k", "g.k"), "left").select("t.doc", "t.text", F.col("g.gone").alias("gone"))
     out = out.withColumn("_lines", F.when(F.col("gone").isNotNull(), F.split("text", "\n", -1)))
     taken = F.flatten(F.transform("gone", lambda g: F.sequence(g["s"], g["e"])))
     left = F.transform(F.array_except(F.sequence(F.lit(1), F.size("_lines")), taken), lambda i: F.element_at("_lines", i))
