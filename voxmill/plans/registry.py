@@ -1,4 +1,6 @@
 """Every query of the library with its DuckDB twin."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import voxel_queries  # noqa: F401
+from .base import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
