@@ -6,9 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed values of the window table: name, width, level in Hounsfield units.
-WINDOWS = (("lung", 1500, -600), ("bone", 1800, 400), ("soft_tissue", 400, 40), ("brain", 80, 40))
+WINDOWS = (("lung", 1500, -600), ("bone", 1500, 300), ("soft_tissue", 400, 50), ("brain", 80, 35))
 #: Fixed keyword lists, tried in this order; what fits none is soft tissue.
-KEYWORDS = (("lung", ("lung", "pulmon", "airway", "trachea", "bronch")), ("bone", ("bone", "rib", "vertebra", "spine", "skull", "femur", "hip", "sacrum", "clavicle", "scapula", "humerus")), ("brain", ("brain", "cerebr", "hippocamp")))
+KEYWORDS = (
+    ("lung", ("lung", "bronchus", "bronchi", "airway", "trachea", "肺", "支气管", "气管")),
+    ("bone", ("bone", "vertebra", "vertebrae", "rib", "spine", "femur", "tibia", "humerus", "skull", "pelvis", "骨", "椎", "肋", "脊柱", "股骨", "胫骨", "肱骨", "颅骨", "骨盆")),
+    ("brain", ("brain", "cerebr", "cerebellum", "brainstem", "脑", "小脑", "脑干")),
+)
 RESOLUTIONS = (512, 1024)
 
 

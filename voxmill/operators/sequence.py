@@ -13,9 +13,11 @@ XYZ = ("x", "y", "z")
 
 
 def moving_average(rows: DataFrame, key: Sequence[str], order: Sequence[str], value: str, width: int, name: str = "ma") -> DataFrame:
-    """Trailing mean over ``width`` rows."""
-    w = Window.partitionBy(*key).orderBy(*order).rowsBetween(-width + 1, 0)
-    return rows.withColumn(name, F.avg(value).over(w))
+    """Trailing mean over ``width`` rows; the first rows all have the mean of the first ``width``."""
+    base = Window.partitionBy(*key).orderBy(*order)
+    trailing, start = F.avg(value).over(base.rowsBetween(-width + 1, 0)), F.avg(F.when(F.col("_i") <= width, F.col(value))).over(Window.partitionBy(*key))
+    numbered = rows.withColumn("_i", F.row_number().over(base))
+    return numbered.withColumn(name, F.when(F.col("_i") < width, start).otherwise(trailing)).drop("_i")
 
 
 def rolling_percentile(rows: DataFrame, key: Sequence[str], order: Sequence[str], value: str, width: int, q: float, name: str = "pct") -> DataFrame:
@@ -25,11 +27,11 @@ def rolling_percentile(rows: DataFrame, key: Sequence[str], order: Sequence[str]
 
 
 def ema(values: Column, alpha: float) -> Column:
-    """Exponential trend of an ordered array: s = alpha v + (1 - alpha) s, from the first value."""
+    """Exponential trend of an ordered array: s = alpha s + (1 - alpha) v, from the first value."""
     start = F.struct(F.lit(None).cast("double").alias("s"), F.array().cast("array<double>").alias("out"))
 
     def step(acc: Column, v: Column) -> Column:
-        s = F.when(acc["s"].isNull(), v).otherwise(v * alpha + acc["s"] * (1 - alpha))
+        s = F.when(acc["s"].isNull(), v).otherwise(acc["s"] * alpha + v * (1 - alpha))
         return F.struct(s.alias("s"), F.concat(acc["out"], F.array(s)).alias("out"))
 
     return F.aggregate(values, start, step, lambda acc: acc["out"])

@@ -45,11 +45,17 @@ def ngram_entropy(grams: DataFrame, key: Sequence[str], n: int, name: str = "ent
 
 
 def conditional_entropy(grams: DataFrame, key: Sequence[str], name: str = "cond_entropy") -> DataFrame:
-    """H(pair) - H(first) in bits, at least 0, in one grouping by sets."""
-    pair = counts(grams, key, "g1", "g2")
-    joint = entropy_of_counts(pair, key, "joint", True)
-    first = entropy_of_counts(pair.groupBy(*key, "g1").agg(F.sum("n").alias("n")), key, "first", True)
-    return joint.join(first, list(key)).select(*key, F.greatest(F.lit(0.0), F.col("joint") - F.col("first")).alias(name))
+    """H(pair) - H(first) in bits, at least 0."""
+    return entropy_rate(grams, key, 2, name)
+
+
+def entropy_rate(grams: DataFrame, key: Sequence[str], n: int, name: str = "rate") -> DataFrame:
+    """H(last of n | the n - 1 before it) in bits, at least 0."""
+    g = [f"g{i + 1}" for i in range(n)]
+    full = counts(grams, key, *g)
+    joint = entropy_of_counts(full, key, "joint", True)
+    context = entropy_of_counts(full.groupBy(*key, *g[:-1]).agg(F.sum("n").alias("n")), key, "context", True)
+    return joint.join(context, list(key)).select(*key, F.greatest(F.lit(0.0), F.col("joint") - F.col("context")).alias(name))
 
 
 def repeat_mass(grams: DataFrame, key: Sequence[str], n: int) -> DataFrame:

@@ -1,6 +1,6 @@
 """Every query of the library with its DuckDB twin."""
 
-from . import stat_queries, voxel_queries  # noqa: F401
+from . import catalog_queries, stat_queries, text_queries, voxel_queries  # noqa: F401
 from .base import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -53,9 +53,11 @@ def bigram_conditional(spark, sf):
     return stats.conditional_entropy(grams(spark, sf, 2), ["sid"]).select("sid", r6("cond_entropy"))
 
 
-@query(f"with {BI}, c as (select sid, g1, g2, g3, count(*)::double as n from b where g3 is not null group by 1, 2, 3, 4) select sid, round(entropy / 3, 6) as rate from ({h_sql('c', 'sid', 'log2')})")
+@query(f"""with {BI}, p as (select sid, g1, g2, g3, count(*)::double as n from b where g3 is not null group by 1, 2, 3, 4), q as (select sid, g1, g2, sum(n) as n from p group by 1, 2, 3),
+j as (select sid, log2(sum(n)) - sum(n * log2(n)) / sum(n) as h from p group by 1), f as (select sid, log2(sum(n)) - sum(n * log2(n)) / sum(n) as h from q group by 1)
+select j.sid, round(greatest(0.0, j.h - f.h), 6) as rate from j join f on j.sid = f.sid""")
 def ngram_rate(spark, sf):
-    return stats.ngram_entropy(grams(spark, sf, 3), ["sid"], 3, base2=True).select("sid", F.round(F.round("entropy", 6) / 3, 6).alias("rate"))
+    return stats.entropy_rate(grams(spark, sf, 3), ["sid"], 3).select("sid", r6("rate"))
 
 
 @query(f"with {BI}, c as (select sid, g1, g2, g3, count(*) as n from b where g3 is not null group by 1, 2, 3, 4) select sid, round(sum(case when n > 1 then n else 0 end) / sum(n), 6) as repeat_mass, round(count(*) / sum(n), 6) as distinct_rate from c group by sid")
