@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import add_columns, held_out, table
+from .common import add_columns, hash_sample, held_out, table
 
 #: Bytes of a segment, hidden units a direction, sampled documents, segments of each, training steps, segments a step, segments predicted together.
 T, H, SAMPLE, PIECES, STEPS, BATCH, TOGETHER = 64, 8, 2000, 4, 240, 384, 2048
@@ -211,7 +211,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> dict:
     width = 16 * T
     start = F.greatest(F.lit(1), ((F.length("text") - width) / 2).cast("int"))
     ids = known.select("doc_id", "lang", F.substring("text", start, F.lit(width)).alias("text"))
-    got = ids.orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "text").limit(sample).toArrow()
+    total = docs.where(~held_out() & F.col("lang").isNotNull()).count()  # reads no text
+    got = hash_sample(ids, sample, "lang", "text", total=total).toArrow()
     return train(got["text"].to_pylist(), got["lang"].to_pylist())
 
 
