@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import add_columns, held_out, table
+from .common import add_columns, hash_sample, held_out, table
 
 #: log2 of the hashed space; labelled rows read; passes over them; FTRL's alpha, beta, L1, L2.
 DIM_BITS, SAMPLE, EPOCHS, ALPHA, BETA, L1, L2 = 20, 8000, 3, 1.0, 1.0, 8.0, 0.1
@@ -86,7 +86,7 @@ def fit_ftrl(rows: list[tuple[np.ndarray, int]], bits: int = DIM_BITS, epochs: i
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int = DIM_BITS) -> dict:
     """Fit on at most ``sample`` labelled documents outside the held-out fifth; ``docs`` gives doc_id and text only."""
     known = labels.where(~held_out() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("_y"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    known = hash_sample(known, sample)
 
     def make():
         hasher = Hasher(bits)
