@@ -1,6 +1,6 @@
 """Every query of the library with its DuckDB twin."""
 
-from . import catalog_queries, ct_queries, stat_queries, text_queries, voxel_queries, vq_queries  # noqa: F401
+from . import bpe_queries, catalog_queries, ct_queries, ordered_queries, stat_queries, stream_queries, text_queries, voxel_queries, vq_queries  # noqa: F401
 from .base import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
