@@ -44,7 +44,7 @@ def hilbert_rank(spark, sf):
     return voxel.ranked(voxels(spark, sf).withColumn("code", space.hilbert()), F.col("code")).select("sid", "x", "y", "z", "code", "rank")
 
 
-@query(f"with {V} select sid, (((x + 2) // 8) * 8 + ((y + 2) // 8)) * 8 + ((z + 2) // 8) as win, count(*) as n, sum(tok)::bigint as s from v group by 1, 2")
+@query(f"with {V} select sid, ((((x + 2) // 8) * 8 + ((y + 2) // 8)) * 8 + ((z + 2) // 8))::bigint as win, count(*) as n, sum(tok)::bigint as s from v group by 1, 2")
 def window_partition(spark, sf):
     v = voxels(spark, sf).withColumn("win", space.window_id((2, 2, 2), (8, 8, 8), 8))
     return v.groupBy("sid", "win").agg(F.count("*").alias("n"), F.sum("tok").alias("s"))

@@ -41,7 +41,7 @@ def vq_usage(spark, sf):
 @query(f"""with {CB}, f as (select code, d, sum(x) as s from (select code, unnest(vec)::double as x, generate_subscripts(vec, 1) as d from n) group by 1, 2), z as (select code, count(*) as dn from n group by 1),
 b as (select c.code, d, x::double as x, 1.0 * 0.99 + coalesce(dn, 0) * 0.01 as n2, dn from (select code, unnest(vec) as x, generate_subscripts(vec, 1) as d from c) c left join z on z.code = c.code),
 t as (select sum(n2) as total, count(*) as k from (select distinct code, n2 from b))
-select b.code, b.d::int as d, round(n2, 5) as n, round(case when dn is null then x else (x * 0.99 + coalesce(s, 0) * 0.01) / ((n2 + 1e-5) / (total + k * 1e-5) * total) end, 4) as x from b left join f on f.code = b.code and f.d = b.d, t""")
+select b.code, b.d::int as d, round(n2::double, 5) as n, round(case when dn is null then x else (x * 0.99 + coalesce(s, 0) * 0.01) / ((n2 + 1e-5) / (total + k * 1e-5) * total) end, 4) as x from b left join f on f.code = b.code and f.d = b.d, t""")
 def ema_update(spark, sf):
     book = codebook(spark, sf).withColumn("n", F.lit(1.0)).withColumn("vec", F.transform("vec", lambda x: x.cast("double"))).withColumn("w", F.col("vec"))
     out = vq.ema_update(assigned(spark, sf).select("code", "vec"), book)
