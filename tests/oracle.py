@@ -19,7 +19,7 @@ def connect(folder: str = SF):
 
 
 def _value(v):
-    if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
         return None
     if isinstance(v, bool) or type(v).__name__ == "bool_":
         return bool(v)
