@@ -53,5 +53,5 @@ def test_rows_of_any_kind(spark):
     rows = [(1, "u", None, "old"), (2, None, "", "old"), (3, "u", ARTICLE, "old"), (3, "u", ARTICLE, "old")]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")
     got = H.extract(pages).orderBy("page_id").collect()
-    assert [r.n_chars for r in got] == [0, 0, 56, 56] and [r.text for r in got[:2]] == ["", ""]
+    assert [r.n_chars for r in got] == [0, 0, 57, 57] and [r.text for r in got[:2]] == ["", ""]
     assert H.extract(pages.limit(0)).count() == 0
