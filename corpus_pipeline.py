@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmill.llm import bpe, line_dedup, mixing, simhash, toxicity
+from voxmill.llm import bpe, line_dedup, mixing, near_dedup, toxicity
 from voxmill.llm.common import Written, table
 
 
@@ -28,8 +28,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component."""
-    return simhash.keep_one(docs)
+    """One document of each component of near duplicates (five-word shingles, Jaccard similarity of 0.8 or more)."""
+    return near_dedup.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ STAGES = [
     ("bpe", encode),
 ]
 
-#: Byte-pair encoding, the toxicity model and SimHash are beyond SQL: the tests hold each stage against brute force.
+#: Byte-pair encoding, the toxicity model and MinHash are beyond SQL: the tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
