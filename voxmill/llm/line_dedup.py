@@ -13,6 +13,14 @@ chunks that only share the hash. What remains of a text is joined by line feeds
 Null texts stay null, empty texts stay empty; rows whose every line goes keep an empty text. Ids may be
 null (last in order) or repeated: rows are told apart by the id and a hash of all columns, and rows
 that are equal in every column are one document, treated alike.
+
+``dedup_passages`` does more than ``dedup_lines``, whose results OP3_SQL fixes: besides the chunks it
+takes out every line that lies in a run of ``LONG`` words or more which occurs earlier, wherever the run
+begins and ends and however short its lines are, and every text that an earlier row has as a whole.
+For that each line with a word begins one window (up to the line of the ``LONG``-th word from there) and
+ends one (back to the line of the ``LONG``-th word). A repeated run contains the windows that begin or
+end at its lines, these cover it, and they depend on its bytes alone. Each line of a repeated window
+is compared by its bytes with the line of the first such window.
 """
 
 from __future__ import annotations
@@ -101,6 +109,77 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rem
     return out.select(*fields)
 
 
+def _windows() -> list[Column]:
+    """Arrays of (s, e, kind): windows that lines begin, windows that lines end, chunks of several lines, and the whole text.
+
+    _word has the line number of each word, _full the lines with a word, _first the place in _word of each one's first word.
+    """
+    total = F.size("_word")
+    last = lambda i: F.coalesce(F.get("_first", i + 1), F.size("_word")) - 1
+    span = lambda s, e, kind: F.struct(s.alias("s"), e.alias("e"), F.lit(kind).alias("kind"))
+    begun = F.transform("_full", lambda x, i: F.when(F.get("_first", i) + LONG <= total, span(x, F.get("_word", F.get("_first", i) + LONG - 1), 0)))
+    ended = F.transform("_full", lambda x, i: F.when((last(i) >= LONG - 1) & (F.get("_word", last(i) - LONG + 1) < x), span(F.get("_word", last(i) - LONG + 1), x, 1)))
+    cut = F.transform("_starts", lambda x, i: F.when((F.get("_ends", i) > x) & F.exists(F.slice("_words", x, F.get("_ends", i) - x + 1), lambda w: w > 0), span(x, F.get("_ends", i), 2)))
+    return [begun, ended, cut, F.array(F.when(total > 0, span(F.lit(1), F.size("_lines"), 3)))]
+
+
+def windows(named: DataFrame) -> DataFrame:
+    """(k, s, e, h) of each run of lines that may be a passage."""
+    out = chunks(named.where("text is not null").select("k", "text"), "text")
+    out = out.withColumn("_codes", F.transform("_lines", lambda x: F.xxhash64(x))).withColumn("_words", F.transform("_lines", _words))
+    out = out.withColumn("_word", F.flatten(F.transform("_words", lambda n, i: F.array_repeat(i + 1, n))))
+    out = out.withColumn("_first", F.filter(F.transform("_word", lambda x, i: F.when((i == 0) | (F.get("_word", i - 1) != x), i)), lambda x: x.isNotNull()))
+    out = out.withColumn("_full", F.transform("_first", lambda p: F.get("_word", p)))
+    spans = F.filter(F.concat(*_windows()), lambda x: x.isNotNull())
+    out = out.select("k", "_codes", F.explode(spans).alias("p"))
+    return out.select("k", "p.s", "p.e", F.xxhash64("p.kind", F.slice("_codes", F.col("p.s"), F.col("p.e") - F.col("p.s") + 1)).alias("h"))
+
+
+def dedup_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", removed: str | None = None) -> DataFrame:
+    """``docs`` with all repeated passages taken out of ``text``; ``removed`` names a column for the number of lines taken out."""
+    rest = [c for c in docs.columns if c != text]
+    key = F.struct(F.col(f"`{doc_id}`").alias("id"), F.xxhash64(F.lit(1), *(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    named = docs.select(key.alias("k"), F.struct(*(F.col(f"`{c}`") for c in rest)).alias("doc"), F.col(f"`{text}`").alias("text"))
+    kept = Written(docs.sparkSession, "passages")
+    seen = kept.put(windows(named))
+    place = F.struct(F.col("k.id").isNull().alias("n"), F.col("k.id").alias("id"), F.col("k.row").alias("row"), "s")
+    again = kept.put(seen.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("h", "first"))
+    marks = seen.join(again.hint("merge"), "h").where(F.col("first") != place)
+    # lines of each text by the text that has them first and by how far apart the two places are
+    first = F.struct(F.col("first.id").alias("id"), F.col("first.row").alias("row"))
+    marks = marks.select("k", first.alias("of"), (F.col("first.s") - F.col("s")).alias("d"), "s", "e").groupBy("k", "of", "d").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    spans = F.flatten(F.transform("spans", lambda x: F.sequence(x["s"], x["e"])))
+    marks = kept.put(marks.select("k", "of", "d", F.array_distinct(spans).alias("at")))
+    sources = marks.select("of", F.explode("at").alias("i"), "d").select("of", (F.col("i") + F.col("d")).alias("i")).distinct().groupBy("of").agg(F.collect_list("i").alias("sources"))
+    asked = marks.select("k", F.struct("of", "d", "at").alias("own"), F.lit(None).cast("array<int>").alias("sources"))
+    asked = asked.unionByName(sources.select(F.col("of").alias("k"), F.lit(None).cast(asked.schema["own"].dataType).alias("own"), "sources"))
+    asked = asked.groupBy("k").agg(F.collect_list("own").alias("own"), F.first("sources", True).alias("sources"))
+    found = named.alias("t").join(asked.hint("merge").alias("m"), _same_row("t.k", "m.k")).select("t.k", F.split("t.text", "\n", -1).alias("_lines"), "m.own", "m.sources")
+    line = lambda i: F.when(i <= F.size("_lines"), F.get("_lines", i - 1)).alias("bytes")
+    own = F.flatten(F.transform("own", lambda o: F.transform(o["at"], lambda i: F.struct(o["of"].alias("of"), (i + o["d"]).alias("j"), i.alias("i"), line(i)))))
+    source = F.transform(F.coalesce("sources", F.array().cast("array<int>")), lambda j: F.struct(F.col("k").alias("of"), j.alias("j"), F.lit(0).alias("i"), line(j)))
+    found = kept.put(found.select("k", F.explode(F.concat(own, source)).alias("c")).select("k", "c.*"))
+    sources = kept.put(found.where("i = 0").select("of", "j", "bytes").dropDuplicates(["of", "j"]))  # rows equal in every column give theirs once
+    match = _same_row("a.of", "b.of") & (F.col("a.j") == F.col("b.j")) & (F.col("a.bytes") == F.col("b.bytes"))
+    same = found.where("i > 0").alias("a").join(sources.hint("merge").alias("b"), match)
+    gone = kept.put(same.groupBy("a.k").agg(F.collect_set("a.i").alias("gone")))
+    out = named.alias("t").join(gone.hint("merge").alias("g"), _same_row("t.k", "g.k"), "left").select("t.doc", "t.text", F.col("g.gone").alias("gone"))
+    out = out.withColumn("_lines", F.when(F.col("gone").isNotNull(), F.split("text", "\n", -1)))
+    left = F.transform(F.array_except(F.sequence(F.lit(1), F.size("_lines")), "gone"), lambda i: F.element_at("_lines", i))
+    out = out.withColumn("new", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
+    fields = [F.col("new").alias(c) if c == text else F.col("doc")[c].alias(c) for c in docs.columns]
+    if removed:
+        fields.append(F.coalesce(F.size("gone"), F.lit(0)).alias(removed))
+    return out.select(*fields)
+
+
+def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op3_line_dedup, but whole passages wherever they begin and end."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = dedup_passages(docs, removed="removed_lines")
+    return out.select("doc_id", F.length("text").cast("long").alias("n_chars"), "removed_lines", F.md5("text").alias("text_md5"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the passages that an earlier one has, and the number of lines taken out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

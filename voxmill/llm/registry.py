@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op2_bpe_tree
 from .html_extract import op1_html_main_text
 from .langid import op4_language_id
-from .line_dedup import OP3_SQL, op3_line_dedup
+from .line_dedup import OP3_SQL, op3_line_dedup, op3_passages
 from .media import op9_media_columns
 from .mixing import OP10_SQL, op10_mixing
 from .simhash import op6_simhash_components
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_main_text": op1_html_main_text,
     "op2_bpe_tree": op2_bpe_tree,
     "op3_line_dedup": op3_line_dedup,
+    "op3_passages": op3_passages,
     "op4_language_id": op4_language_id,
     "op5_topk_maxscore": op5_topk_maxscore,
     "op6_simhash_components": op6_simhash_components,
