@@ -53,6 +53,17 @@ def test_short_lines_in_differing_contexts(spark):
     assert brute(docs) != got  # the chunks alone lose passages
 
 
+def test_head_and_tail_go_with_the_passage(spark):
+    """Boundaries at a passage's edges depend on its neighbours; the passage goes whole, from its first to its last line."""
+    r = random.Random(6)
+    passage = [" ".join(f"p{i}w{j}" for j in range(r.randrange(2, 30))) for i in range(30)]
+    around = {c: (f"before {c} {r.random()}", f"after {c} {r.random()}") for c in range(8)}
+    docs = {c: "\n".join([a, *passage, b]) for c, (a, b) in around.items()}
+    assert run(spark, docs) == {c: docs[c] if c == 0 else "\n".join(around[c]) for c in docs}
+    left = {x for c, t in brute(docs).items() if c for x in t.split("\n")}
+    assert left & {passage[0], passage[-1]}  # the chunks alone keep edges
+
+
 def test_equals_plain_python(spark):
     r = random.Random(9)
     docs = corpus()
