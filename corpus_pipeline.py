@@ -22,7 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier one has; a document of which nothing stays goes."""
-    out = line_dedup.dedup_lines(docs, removed="_vm_removed")
+    out = line_dedup.dedup_passages(docs, removed="_vm_removed")
     out = out.where("_vm_removed = 0 or text rlike '[^ \\\\t\\\\n\\\\r]'")
     return out.withColumn("n_chars", F.when(F.col("_vm_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 

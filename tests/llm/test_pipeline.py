@@ -38,6 +38,15 @@ def test_stages_on_a_small_corpus(spark, tmp_path):
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == coder.digest(texts[r.doc_id])
 
 
+def test_one_document_of_each_group_of_exact_copies(spark):
+    """Copies of several lines, short ones among them, leave no remnant."""
+    rows = [(100 * c + g, "\n".join(words(f"g{g}l{i}", 5 + 7 * (i * g % 6)) for i in range(2 + g)), LANG, "a") for g in range(12) for c in range(4)]
+    docs = spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    lines = P.drop_repeated_lines(spark, docs, "").cache()
+    assert sorted((r.doc_id, r.text) for r in lines.collect()) == [(r[0], r[1]) for r in sorted(rows) if r[0] < 100]
+    assert sorted(r.doc_id for r in P.drop_near_duplicates(spark, lines, "").collect()) == list(range(12))
+
+
 def test_empty_tables(spark, tmp_path):
     df = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     df.write.parquet(f"{tmp_path}/documents.parquet")
