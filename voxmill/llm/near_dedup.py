@@ -100,7 +100,12 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     asked = nodes.join(asked, "node").select("node", F.col("at.row").alias("row"))
     sets = rows.select(F.col("at.row").alias("row"), "set").join(asked.hint("merge"), "row").select("node", "set").dropDuplicates(["node"])
-    roots = components(similar(pairs, kept.put(sets)), kept)
+    sets = kept.put(sets)
+    kept.drop(rows)  # the sets of all rows are as large as the texts
+    roots = components(similar(pairs, sets), kept)
+    kept.drop(pairs)
+    kept.drop(sets)
     named = nodes.select("node", "at").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     stay = kept.put(named.groupBy("root").agg(F.min("at").alias("at")).select(F.col("at.row").alias("_vm_row")))
+    kept.drop(nodes)
     return docs.withColumn("_vm_row", _row(docs)).join(stay.hint("merge"), "_vm_row", "left_semi").dropDuplicates(["_vm_row"]).select(*docs.columns)
