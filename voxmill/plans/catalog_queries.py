@@ -29,6 +29,15 @@ def inner_paths(spark, sf):
     return d.join(p, "k").select("doc_id", "page_id")
 
 
+@query("""with m as (select distinct url, regexp_replace(trim(url), '^.*/', '') as k from pages)
+select p.page_id, m.url from (select page_id, trim(regexp_replace(url, '^.*/', '')) as k from pages) p join m on p.k = m.k""")
+def inner_paths_whole(spark, sf):
+    """All paths with the catalog entries of the same id: what follows the last slash."""
+    p = table(spark, sf, "pages").select("page_id", F.trim(F.regexp_replace("url", "^.*/", "")).alias("k"))
+    m = table(spark, sf, "pages").select("url", F.regexp_replace(F.trim("url"), "^.*/", "").alias("k")).distinct()
+    return p.join(m, "k").select("page_id", "url")
+
+
 @query("""select 0 as step, 'all' as name, count(*) as rows from documents union all select 1, 'english', count(*) filter (where lang = 'en') from documents
 union all select 2, 'long', count(*) filter (where lang = 'en' and n_chars >= 500) from documents union all select 3, 'not_huge', count(*) filter (where lang = 'en' and n_chars >= 500 and n_chars <= 20000) from documents""")
 def funnel(spark, sf):
