@@ -1,86 +1,96 @@
-"""One row of each near-duplicate group: five-word shingles, Jaccard similarity of at least 0.8.
+"""One row of each near-duplicate group: five-word shingles, Jaccard similarity of at least 0.8, by SimHash tries.
 
-Candidates come from MinHash: ``BANDS`` bands of ``ROWS`` minima each; two texts of similarity s meet in
-a band with probability 1 - (1 - s^ROWS)^BANDS (0.9996 at 0.8). Every candidate link is then checked by the
-exact Jaccard similarity of the two texts' shingle sets (64-bit hashes of the shingles), and components
-are formed from the links that hold. In a band's bucket of more than ``ALL_PAIRS`` distinct sets, each
-set is compared with four leaders, others in each band, instead of with all: a link lost there is
-closed only by way of a leader.
+Two shingle sets of similarity s have a cosine of at least 2 s / (1 + s), so each bit of their SimHash
+differs with probability acos(2 s / (1 + s)) / pi: 0.151 at 0.8. Within two bits of one 64-bit fingerprint
+hardly any such pair is found. So the fingerprint here is ``WORDS`` x ``WIDTH`` bits, the binary trie
+self-join of ``simhash.linked_words`` runs over each word with its budget of two bits, and a pair is a candidate if
+any word links it: 0.98 of the pairs at exactly 0.8, 0.999 at 0.85. Candidates are first held against the
+whole fingerprint (at most ``FAR`` of its bits may differ, which a pair at 0.8 exceeds once in 10^8), then
+by the exact Jaccard similarity of the two texts' shingle sets. Components are formed from the links that hold.
+
+Of the clusters that a word's trie links, those of up to ``simhash.ALL_PAIRS`` members are compared in all
+pairs. In larger ones each member is compared with four leaders; members that are then still apart from
+the first leader are compared with every member of the cluster, so that no link of a cluster is lost.
 
 Texts with equal sets are one node. Texts of fewer than five words are one shingle; null and empty
-texts have none and are one node together. Rows are told apart by a hash of all their columns, never
-by doc_id alone.
+texts have none and are one node together. Rows are told apart by the id and a hash of all columns.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Written, add_columns
-from .simhash import components
+from .simhash import CAP, _pairs_to_compare, components, linked_words, row_of, take_rows
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS, ALL_PAIRS = 20, 5, 32
-_RANDOM = np.random.default_rng(5).integers(1 << 62, size=(2, BANDS * ROWS), dtype=np.uint64)
-_A, _B = _RANDOM[0] * np.uint64(2) + np.uint64(1), _RANDOM[1]
-
-
-def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes (XXH64, seed 42) of the word shingles."""
-    import xxhash
-
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    h, join, n = xxhash.xxh64_intdigest, b" ".join, max(1, len(words) - size + 1)
-    return np.unique(np.fromiter((h(join(words[i : i + size]), 42) for i in range(n)), np.uint64, n))
-
-
-def bands(found: np.ndarray) -> list[int]:
-    """A signed hash for each band; none for an empty set."""
-    import xxhash
-
-    if not len(found):
-        return []
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(found), 4096):  # blocks, so that very long texts need little memory
-        least = np.minimum(least, (found[at : at + 4096, None] * _A + _B).min(axis=0))
-    return [_signed(xxhash.xxh64_intdigest(least[i * ROWS : (i + 1) * ROWS].tobytes(), i)) for i in range(BANDS)]
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+#: Words of the fingerprint, bits of each, bits of all in which a candidate may differ; bits within a word.
+WORDS, WIDTH, FAR, BUDGET = 32, 32, 230, 2
+_ODD = np.random.default_rng(5).integers(1 << 62, size=WORDS * WIDTH // 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
+class Shingler:
+    """Sets of hashed shingles; remembers the hashes of words."""
+
+    def __init__(self, size: int = SHINGLE):
+        self.size, self.memo = size, {}
+
+    def of(self, text: str | None) -> np.ndarray:
+        """Sorted distinct 64-bit hashes of the word shingles, from the XXH64 of their words in order."""
+        import xxhash
+
+        words = (text or "").encode("utf-8", "replace").lower().split()
+        if not words:
+            return np.empty(0, np.uint64)
+        if len(self.memo) > 1 << 18:
+            self.memo.clear()
+        memo, h = self.memo, xxhash.xxh64_intdigest
+        one = np.array([memo[w] if w in memo else memo.setdefault(w, h(w, 42)) for w in words], np.uint64)
+        n = max(1, len(one) - self.size + 1)
+        out = one[:n].copy()
+        for i in range(1, min(self.size, len(one))):
+            out = (out ^ (out >> np.uint64(31))) * _BASE + one[i : i + n]
+        return np.unique(out)
+
+
+def wide_fingerprint(found: np.ndarray) -> np.ndarray:
+    """SimHash of WORDS * WIDTH bits, as int64: each shingle votes on each bit; a bit is set by more than half."""
+    votes = np.zeros(WORDS * WIDTH, np.int64)
+    for at in range(0, len(found), 255):  # a block's votes fit in a byte
+        x = found[at : at + 255, None] * _ODD
+        x ^= x >> np.uint64(32)
+        x *= _MIX
+        x ^= x >> np.uint64(29)
+        votes += np.unpackbits(x.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+    return np.packbits(votes * 2 > len(found)).view(np.int64)
 
 
 def _describe():
     import xxhash
 
+    shingler = Shingler()
+
     def of(texts):
-        sets = [shingles(t) for t in texts]
-        return [_signed(xxhash.xxh64_intdigest(s.tobytes(), 7)) if len(s) else 0 for s in sets], [s.view(np.int64).tolist() for s in sets], [bands(s) for s in sets]
+        sets = [shingler.of(t) for t in texts]
+        nodes = [int(np.int64(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), 7)))) if len(s) else 0 for s in sets]
+        return nodes, [wide_fingerprint(s).tolist() if len(s) else None for s in sets]
 
     return of
 
 
-def _row(docs: DataFrame) -> Column:
-    return F.xxhash64(F.lit(1), *(F.col(f"`{c}`") for c in docs.columns))
+def _sets():
+    shingler = Shingler()
+    return lambda texts: ([shingler.of(t).view(np.int64).tolist() for t in texts],)
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """Distinct (u, v), u < v, of nodes (node, bands) that share a band: all pairs of a small bucket, those with four leaders of a large one."""
-    each = nodes.select("node", F.explode("bands").alias("b"))
-    turn = [F.struct(F.xxhash64(F.lit(i), "b", "node").alias("x"), F.col("node").alias("node")) for i in range(2)]
-    found = each.groupBy("b").agg(F.count("*").alias("n"), *(f(t).alias(f"l{i}{f.__name__}") for i, t in enumerate(turn) for f in (F.min, F.max)))
-    leaders = F.array(*(F.col(f"l{i}{f}.node") for i in range(2) for f in ("min", "max")))
-    found = found.where("n > 1").select("b", "n", leaders.alias("leaders"))
-    met = each.join(found, "b")
-    large = met.where(F.col("n") > ALL_PAIRS).select("node", F.explode("leaders").alias("other"))
-    small = met.where(F.col("n") <= ALL_PAIRS)
-    others = small.groupBy("b").agg(F.collect_list("node").alias("others"))
-    small = others.select(F.explode("others").alias("node"), "others").select("node", F.explode("others").alias("other"))
-    return small.unionByName(large).where("node <> other").select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct()
+def nearby(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs whose whole fingerprints differ in at most FAR bits."""
+    left, right = (nodes.select(F.col("node").alias(x), F.col("print").alias(f"p{x}")) for x in "uv")
+    apart = F.aggregate(F.zip_with("pu", "pv", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+    return pairs.join(left.hint("merge"), "u").join(right.hint("merge"), "v").where(apart <= FAR).select("u", "v")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -90,22 +100,37 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -
     return pairs.join(left.hint("merge"), "u").join(right.hint("merge"), "v").where(common >= similarity * (F.size("su") + F.size("sv") - common)).select("u", "v")
 
 
-def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", cap: int = CAP) -> DataFrame:
     """One row of each component: the least doc_id (null last), then the least row hash."""
     kept = Written(docs.sparkSession, "near")
-    rows = docs.select(F.struct(F.col(f"`{doc_id}`").isNull().alias("none"), F.col(f"`{doc_id}`").alias("id"), _row(docs).alias("row")).alias("at"), F.col(f"`{text}`").alias("text"))
-    rows = kept.put(add_columns(rows, ["text"], {"node": "bigint", "set": "array<bigint>", "bands": "array<bigint>"}, _describe, drop=("text",)))
-    nodes = kept.put(rows.groupBy("node").agg(F.min("at").alias("at"), F.first("bands").alias("bands")))
-    pairs = kept.put(candidates(nodes))
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    asked = nodes.join(asked, "node").select("node", F.col("at.row").alias("row"))
-    sets = rows.select(F.col("at.row").alias("row"), "set").join(asked.hint("merge"), "row").select("node", "set").dropDuplicates(["node"])
-    sets = kept.put(sets)
-    kept.drop(rows)  # the sets of all rows are as large as the texts
-    roots = components(similar(pairs, sets), kept)
-    kept.drop(pairs)
-    kept.drop(sets)
+    rows = docs.select(row_of(docs, doc_id).alias("at"), F.col(f"`{text}`").alias("text"))
+    marked = kept.put(add_columns(rows, ["text"], {"node": "bigint", "print": "array<bigint>"}, _describe, drop=("text",)))
+    nodes = kept.put(marked.groupBy("node").agg(F.min("at").alias("at"), F.min("print").alias("print")))
+    kept.drop(marked)
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        """The links among the pairs; only texts that are asked for are read again."""
+        pairs = kept.put(nearby(pairs, nodes))
+        asked = nodes.join(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node").select("node", F.col("at.row").alias("row"))
+        texts = rows.select(F.col("at.row").alias("row"), "text").join(asked.hint("merge"), "row").dropDuplicates(["row"]).select("node", "text")
+        sets = kept.put(add_columns(texts, ["text"], {"set": "array<bigint>"}, _sets, drop=("text",)))
+        out = kept.put(similar(pairs, sets))
+        kept.drop(sets)
+        kept.drop(pairs)
+        return out
+
+    per = 64 // WIDTH
+    word = F.posexplode(F.flatten(F.transform("print", lambda x: F.array(*(F.shiftrightunsigned(x, 64 - WIDTH * (i + 1)).bitwiseAND(F.lit((1 << WIDTH) - 1)) for i in range(per))))))
+    found = kept.put(linked_words(nodes.where("print is not null").select(F.col("node").alias("id"), word.alias("g", "word")), kept, BUDGET, cap, WIDTH, _pairs_to_compare))
+    edges = checked(found.where("v is not null").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    roots = kept.put(components(edges, kept))
+    member = found.where("v is null").select("of", F.col("u").alias("node")).join(roots.hint("merge"), "node", "left").select("of", "node", F.coalesce("root", "node").alias("root"))
+    member = kept.put(member)
+    apart = member.join(member.groupBy("of").agg(F.min_by("root", "node").alias("main")), "of").where("root <> main").select("of", F.col("node").alias("other"), F.col("root").alias("other_root"))
+    rest = member.join(apart, "of").where("root <> other_root").select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct()
+    rest = kept.put(rest.join(edges, ["u", "v"], "left_anti"))
+    if rest.limit(1).count():
+        roots = kept.put(components(edges.unionByName(checked(rest)), kept))
     named = nodes.select("node", "at").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    stay = kept.put(named.groupBy("root").agg(F.min("at").alias("at")).select(F.col("at.row").alias("_vm_row")))
-    kept.drop(nodes)
-    return docs.withColumn("_vm_row", _row(docs)).join(stay.hint("merge"), "_vm_row", "left_semi").dropDuplicates(["_vm_row"]).select(*docs.columns)
+    stay = kept.put(named.groupBy("root").agg(F.min("at").alias("at")).select("at.row"))
+    return take_rows(docs, stay)

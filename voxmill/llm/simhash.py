@@ -10,7 +10,8 @@ tasks that emit a spanning forest of their links, never all pairs. Components co
 alternating large-star and small-star steps with written tables between them.
 
 Null and empty texts have no words: their fingerprint is zero and it links like any other. Repeated
-rows keep a row each.
+rows keep a row each. A hot fingerprint (all texts without words, say) or a hub of the links meets one
+row of the other side in a sort-merge join; adaptive execution splits its rows over tasks.
 """
 
 from __future__ import annotations
@@ -19,13 +20,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Written, add_columns, table
 
 #: Bits by which linked fingerprints may differ; fingerprints of a node pair that one task takes; of a task's bucket of node pairs.
 BUDGET, CAP, BUCKET, STEP = 2, 4096, 1 << 15, 4
+#: Rows of a cluster of which all pairs are compared.
+ALL_PAIRS = 32
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -90,10 +93,10 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return root
 
 
-def walk(keys: np.ndarray, groups: list[np.ndarray], start: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
+def walk(keys: np.ndarray, groups: list[np.ndarray], start: int, budget: int, width: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs (a forest of them) that differ in at most ``budget`` bits.
 
-    ``keys``: rotated fingerprints (uint64), sorted within each node. ``groups``: the first node pairs
+    ``keys``: rotated fingerprints (uint64, of which the highest ``width`` bits count), sorted within each node. ``groups``: the first node pairs
     as lo1, hi1, lo2, hi2 (equal ranges: a node with itself), whose keys agree on bits above ``start``.
     """
     n = len(keys)
@@ -120,7 +123,7 @@ def walk(keys: np.ndarray, groups: list[np.ndarray], start: int, budget: int) ->
             half = len(lo1) // 2
             todo += [(d, *(x[half:] for x in (lo1, hi1, lo2, hi2, err))), (d, *(x[:half] for x in (lo1, hi1, lo2, hi2, err)))]
             continue
-        few = ((hi1 - lo1) * (hi2 - lo2) <= 64) | (d >= 64)
+        few = ((hi1 - lo1) * (hi2 - lo2) <= 64) | (d >= width)
         if few.any():
             a, b, c = lo1[few], lo2[few], hi2[few] - lo2[few]
             counts = (hi1[few] - a) * c
@@ -143,56 +146,97 @@ def walk(keys: np.ndarray, groups: list[np.ndarray], start: int, budget: int) ->
     return fi, fj
 
 
-def _leaf_links(start: int, budget: int):
+def _node_pairs(rows: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The rows in order, their keys, where each distinct key of a node begins among them, and the node pairs over these."""
+    rows = rows.sort_values(["g", "r", "depth", "a", "b", "right", "k"], kind="stable")
+    keys = (rows["k"].to_numpy().astype(np.uint64)) ^ np.uint64(1 << 63)
+    node = rows[["g", "r", "a", "b", "depth", "right"]].to_numpy()
+    begins = np.concatenate([[True], (node[1:] != node[:-1]).any(axis=1)])
+    once = np.flatnonzero(begins | np.concatenate([[True], keys[1:] != keys[:-1]]))
+    node, begins = node[once], begins[once]
+    lo = np.flatnonzero(begins)
+    hi = np.append(lo[1:], len(once))
+    own = node[lo, 2] == node[lo, 3]
+    pair = np.flatnonzero(~own & (node[lo, 5] == 0))
+    pair = pair[pair + 1 < len(lo)]
+    pair = pair[(node[lo[pair], :5] == node[lo[pair + 1], :5]).all(axis=1)]
+    return rows, keys, once, [np.concatenate([lo[own], lo[pair]]), np.concatenate([hi[own], hi[pair]]), np.concatenate([lo[own], lo[pair + 1]]), np.concatenate([hi[own], hi[pair + 1]])]
+
+
+def _forest_of_links(start: int, budget: int, width: int):
     def run(_key, rows: pd.DataFrame) -> pd.DataFrame:
-        """Links inside a bucket of whole node pairs."""
-        rows = rows.sort_values(["r", "depth", "a", "b", "right", "k"], kind="stable")
-        keys = (rows["k"].to_numpy().astype(np.uint64)) ^ np.uint64(1 << 63)
-        fps = rows["fp"].to_numpy()
-        node = rows[["r", "a", "b", "depth", "right"]].to_numpy()
-        first = np.concatenate([[True], (node[1:] != node[:-1]).any(axis=1)])
-        lo = np.flatnonzero(first)
-        hi = np.append(lo[1:], len(rows))
-        own = node[lo, 1] == node[lo, 2]
-        left = ~own & (node[lo, 4] == 0)
-        pair = np.flatnonzero(left)
-        pair = pair[(pair + 1 < len(lo))]
-        pair = pair[(node[lo[pair], :4] == node[lo[pair + 1], :4]).all(axis=1)]
-        g = [np.concatenate([lo[own], lo[pair]]), np.concatenate([hi[own], hi[pair]]), np.concatenate([lo[own], lo[pair + 1]]), np.concatenate([hi[own], hi[pair + 1]])]
-        i, j = walk(keys, g, start, budget)
+        """A spanning forest of the links inside a bucket of whole node pairs."""
+        rows, keys, once, groups = _node_pairs(rows)
+        ids = rows["id"].to_numpy()[once]
+        i, j = walk(keys[once], groups, start, budget, width)
         # the same fingerprint may be in several node pairs: close over values before the forest is written
-        values, at = np.unique(fps, return_inverse=True)
+        values, at = np.unique(ids, return_inverse=True)
         root = _forest(len(values), at[i], at[j])
         linked = np.flatnonzero(root != np.arange(len(values)))
-        return pd.DataFrame({"u": values[linked], "v": values[root[linked]]})
+        return pd.DataFrame({"u": values[linked], "v": values[root[linked]], "of": 0})
 
     return run
 
 
-def _rotated(fp, r: int, sizes: list[int]):
-    """The fingerprint with block ``r`` on top, as a long whose signed order is the bits' unsigned order."""
+def _pairs_to_compare(start: int, budget: int, width: int):
+    def run(_key, rows: pd.DataFrame) -> pd.DataFrame:
+        """Pairs (u, v) of ids in one cluster of linked words: all of a small cluster; of a larger one each with four leaders, and (u, null, of) says who is in it."""
+        rows, keys, once, groups = _node_pairs(rows)
+        i, j = walk(keys[once], groups, start, budget, width)
+        root = _forest(len(once), i, j)
+        counts = np.diff(np.append(once, len(rows)))
+        cluster = np.repeat(root, counts)  # of each row
+        order = np.lexsort((rows["id"].to_numpy(), cluster))
+        ids, cluster = rows["id"].to_numpy()[order], cluster[order]
+        again = np.concatenate([[False], (ids[1:] == ids[:-1]) & (cluster[1:] == cluster[:-1])])
+        ids, cluster = ids[~again], cluster[~again]
+        lo = np.flatnonzero(np.concatenate([[True], cluster[1:] != cluster[:-1]]))
+        size = np.diff(np.append(lo, len(ids)))
+        u, v, of = [], [], []
+        for n in np.unique(size[(size > 1) & (size <= ALL_PAIRS)]):
+            x, y = np.triu_indices(n, 1)
+            members = ids[lo[size == n][:, None] + np.arange(n)]
+            u.append(members[:, x].ravel())
+            v.append(members[:, y].ravel())
+        out = [pd.DataFrame({"u": np.concatenate(u), "v": np.concatenate(v), "of": 0})] if u else []
+        for a, n in zip(lo[size > ALL_PAIRS], size[size > ALL_PAIRS], strict=True):
+            members = ids[a : a + n]
+            for leader in members[[0, 1, -2, -1]]:
+                out.append(pd.DataFrame({"u": members, "v": leader, "of": 0}))
+            r = rows.iloc[once[cluster[a]]]
+            label = hash((int(r["g"]), int(r["r"]), int(r["k"]), int(r["a"]), int(r["b"]), int(members[0])))  # of integers: the same in every process
+            of.append(pd.DataFrame({"u": members, "v": None, "of": label}))
+        made = pd.concat([*out, *of]) if out or of else pd.DataFrame({"u": [], "v": [], "of": []})
+        made = made[(made["u"] != made["v"])]
+        return made.astype({"u": "int64", "v": "Int64", "of": "int64"})
+
+    return run
+
+
+def _rotated(word: Column, r: int, sizes: list[int], width: int) -> Column:
+    """The word with block ``r`` on top, moved to the highest bits of a long whose signed order is the bits' unsigned order."""
     shift = sum(sizes[:r])
-    turned = F.shiftleft(fp, shift).bitwiseOR(F.shiftrightunsigned(fp, 64 - shift)) if shift else fp
-    return turned.bitwiseXOR(F.lit(-(1 << 63)))
+    turned = F.shiftleft(word, shift).bitwiseOR(F.shiftrightunsigned(word, width - shift)) if shift else word
+    return (F.shiftleft(turned, 64 - width) if width < 64 else turned).bitwiseXOR(F.lit(-(1 << 63)))
 
 
-def links(nodes: DataFrame, kept: Written, budget: int = BUDGET, cap: int = CAP) -> DataFrame:
-    """Forest of links (u, v) among the distinct fingerprints ``nodes.fp``."""
+def linked_words(words: DataFrame, kept: Written, budget: int = BUDGET, cap: int = CAP, width: int = 64, leaf=_forest_of_links) -> DataFrame:
+    """What ``leaf`` makes (u, v, of) of the words (id, g, word) of ``width`` bits that differ in at most ``budget`` bits within their group g."""
     blocks = budget + 1
-    sizes = [64 // blocks + (i < 64 % blocks) for i in range(blocks)]
+    sizes = [width // blocks + (i < width % blocks) for i in range(blocks)]
     start = min(sizes)
-    turned = F.explode(F.array(*(F.struct(F.lit(r).alias("r"), _rotated(F.col("fp"), r, sizes).alias("k")) for r in range(blocks))))
+    turned = F.explode(F.array(*(F.struct(F.lit(r).alias("r"), _rotated(F.col("word"), r, sizes, width).alias("k")) for r in range(blocks))))
     top = lambda k, d: F.shiftrightunsigned(k.bitwiseXOR(F.lit(-(1 << 63))), 64 - d)
-    work = nodes.select("fp", turned.alias("t")).select("fp", "t.r", "t.k").withColumn("a", top(F.col("k"), start)).withColumn("b", F.col("a")).withColumns({"right": F.lit(0), "err": F.lit(0), "depth": F.lit(start)})
-    names, done = ["r", "a", "b", "depth"], []
+    work = words.select("id", "g", turned.alias("t")).select("id", "g", "t.r", "t.k").withColumn("a", top(F.col("k"), start)).withColumn("b", F.col("a")).withColumns({"right": F.lit(0), "err": F.lit(0), "depth": F.lit(start)})
+    names, done = ["g", "r", "a", "b", "depth"], []
     depth = start
     work = kept.put(work)
     while True:
         found = work.groupBy(*names).agg(F.count_if(F.col("right") == 0).alias("x"), F.count_if(F.col("right") == 1).alias("y"))
         found = found.where(F.when(F.col("a") == F.col("b"), F.col("x") > 1).otherwise((F.col("x") > 0) & (F.col("y") > 0)))
-        found = kept.put(found.withColumn("big", F.col("x") + F.col("y") > (cap if depth + STEP <= 64 else 1 << 62)))
+        found = kept.put(found.withColumn("big", F.col("x") + F.col("y") > (cap if depth + STEP <= width else 1 << 62)))
         done.append(work.join(found.where(~F.col("big")).select(*names), names, "left_semi"))
-        if depth + STEP > 64 or not found.where("big").limit(1).count():
+        if depth + STEP > width or not found.where("big").limit(1).count():
             break
         # a step down: each child pair that the budget still allows
         child = F.shiftrightunsigned(F.col("k").bitwiseXOR(F.lit(-(1 << 63))), 64 - depth - STEP)
@@ -203,16 +247,21 @@ def links(nodes: DataFrame, kept: Written, budget: int = BUDGET, cap: int = CAP)
         big = big.withColumn("err", (F.col("err") + F.bit_count(mine.bitwiseXOR(F.col("o").cast("long")))).cast("int")).where(F.col("err") <= budget)
         side = F.when(self_pair, (F.col("c") > top_other).cast("int")).otherwise(F.col("right"))
         big = big.withColumn("oo", top_other).withColumn("side", side)
-        big = big.select("fp", "r", "k", F.when(F.col("side") == 0, F.col("c")).otherwise(F.col("oo")).alias("a"), F.when(F.col("side") == 0, F.col("oo")).otherwise(F.col("c")).alias("b"), F.col("side").alias("right"), "err", F.lit(depth + STEP).alias("depth"))
+        big = big.select("id", "g", "r", "k", F.when(F.col("side") == 0, F.col("c")).otherwise(F.col("oo")).alias("a"), F.when(F.col("side") == 0, F.col("oo")).otherwise(F.col("c")).alias("b"), F.col("side").alias("right"), "err", F.lit(depth + STEP).alias("depth"))
         work = kept.put(big)
         depth += STEP
     leaves = done[0]
     for x in done[1:]:
         leaves = leaves.unionByName(x)
-    leaves = kept.put(leaves.select("fp", "r", "k", "a", "b", "depth", "right"))
+    leaves = kept.put(leaves.select("id", "g", "r", "k", "a", "b", "depth", "right"))
     buckets = max(1, -(-leaves.count() // BUCKET))
     leaves = leaves.withColumn("bucket", F.pmod(F.xxhash64(*names), F.lit(buckets)))
-    return leaves.groupBy("bucket").applyInPandas(_leaf_links(start, budget), "u bigint, v bigint")
+    return leaves.groupBy("bucket").applyInPandas(leaf(start, budget, width), "u bigint, v bigint, of bigint")
+
+
+def links(nodes: DataFrame, kept: Written, budget: int = BUDGET, cap: int = CAP) -> DataFrame:
+    """Forest of links (u, v) among the distinct fingerprints ``nodes.fp``."""
+    return linked_words(nodes.select(F.col("fp").alias("id"), F.lit(0).alias("g"), F.col("fp").alias("word")), kept, budget, cap).select("u", "v")
 
 
 def components(edges: DataFrame, kept: Written) -> DataFrame:
@@ -237,39 +286,45 @@ def components(edges: DataFrame, kept: Written) -> DataFrame:
         mark = now
 
 
+def _rooted(rows: DataFrame, kept: Written, budget: int, cap: int) -> DataFrame:
+    """(fp, root) of each distinct fingerprint."""
+    once = rows.select("fp").distinct()
+    roots = components(links(once, kept, budget, cap), kept)
+    return once.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 3, budget: int = BUDGET, cap: int = CAP) -> DataFrame:
     """(doc_id, fp, component_id) of every row: component_id is the smallest doc_id reachable over links."""
     kept = Written(docs.sparkSession, "simhash")
-    rows = kept.put(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), shingle=shingle))
-    nodes = kept.put(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    roots = components(links(nodes, kept, budget, cap), kept)
-    named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = kept.put(named)
+    rows = kept.put(fingerprints(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), shingle=shingle))
+    named = kept.put(rows.groupBy("fp").agg(F.min("doc_id").alias("low")).join(_rooted(rows, kept, budget, cap), "fp"))
     of_root = named.groupBy("root").agg(F.min("low").alias("component_id"))
     of_fp = kept.put(named.join(of_root, "root").select("fp", "component_id"))
     return rows.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """One row of each near-duplicate component: the row of the smallest doc_id (of repeated rows with that id, the smallest row).
+def row_of(docs: DataFrame, doc_id: str = "doc_id") -> Column:
+    """What tells rows apart and orders them: the id (null last), then a hash of all columns. Only rows equal in every column share it."""
+    return F.struct(F.col(f"`{doc_id}`").isNull().alias("none"), F.col(f"`{doc_id}`").alias("id"), F.xxhash64(F.lit(1), *(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
 
-    Rows without an id can't be told apart by it; they stay unless their component has a row with an id.
-    """
-    found = near_duplicates(docs, **options)
-    stay = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    order = Window.partitionBy("doc_id").orderBy(*(F.col(f"`{c}`") for c in docs.columns if c != "doc_id"))
-    kept = docs.join(stay, "doc_id", "left_semi").withColumn("_vm_row", F.row_number().over(order)).where("_vm_row = 1").drop("_vm_row")
-    alone = found.where("doc_id is null and component_id is null").select("fp").distinct()
-    nameless = docs.where("doc_id is null")
-    lone = add_columns(nameless, ["text"], {"_vm_fp": "bigint"}, _fp_of(options.get("shingle", 3))).join(alone.withColumnRenamed("fp", "_vm_fp"), "_vm_fp", "left_semi").dropDuplicates(["_vm_fp"])
-    return kept.select(*docs.columns).unionByName(lone.select(*docs.columns))
 
+def take_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose hash is in ``rows`` (row), each once."""
+    own = F.xxhash64(F.lit(1), *(F.col(f"`{c}`") for c in docs.columns))
+    return docs.withColumn("_vm_row", own).join(rows.select(F.col("row").alias("_vm_row")).hint("merge"), "_vm_row", "left_semi").dropDuplicates(["_vm_row"]).select(*docs.columns)
 
-def _fp_of(shingle: int):
-    def make():
-        return lambda texts: ([x - (1 << 64) if (x := fingerprint(t, shingle)) >> 63 else x for t in texts],)
 
-    return make
+def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 3, budget: int = BUDGET, cap: int = CAP) -> DataFrame:
+    """One row of each component of linked fingerprints: that of the least doc_id (null last), then of the least row hash.
+
+    Rows are told apart by the id and a hash of all columns: rows that share an id but not the text are
+    documents of their own; of rows equal in every column one stays.
+    """
+    kept = Written(docs.sparkSession, "simhash")
+    rows = docs.select(row_of(docs, doc_id).alias("at"), F.col(f"`{text}`").alias("text"))
+    rows = kept.put(fingerprints(rows, shingle=shingle))
+    first = rows.groupBy("fp").agg(F.min("at").alias("at")).join(_rooted(rows, kept, budget, cap), "fp")
+    return take_rows(docs, kept.put(first.groupBy("root").agg(F.min("at").alias("at")).select("at.row")))
 
 
 def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
