@@ -33,7 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Written:
-    """Tables written to the shared folder in order to cut lineage; ``drop`` removes one early."""
+    """Tables written to the shared folder in order to cut lineage; ``drop`` removes those that no later step reads."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/voxmill-{label}-{uuid.uuid4().hex}"
@@ -48,9 +48,10 @@ class Written:
         out._voxmill_path = path
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._voxmill_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *tables: DataFrame) -> None:
+        for df in tables:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(df._voxmill_path)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def hash_sample(rows: DataFrame, n: int, *ties: str, key: str = "doc_id", total: int | None = None) -> DataFrame:

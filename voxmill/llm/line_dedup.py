@@ -14,8 +14,7 @@ Null texts stay null, empty texts stay empty; rows whose every line goes keep an
 null (last in order) or repeated: rows are told apart by the id and a hash of all columns, and rows
 that are equal in every column are one document, treated alike.
 
-``dedup_passages`` does more than ``dedup_lines``, whose results OP3_SQL fixes: besides the chunks it
-takes out every line that lies in a run of ``LONG`` words or more which occurs earlier, wherever the run
+``dedup_passages`` does more than ``dedup_lines``: besides the chunks it takes out every line that lies in a run of ``LONG`` words or more which occurs earlier, wherever the run
 begins and ends and however short its lines are, and every text that an earlier row has as a whole.
 For that each line with a word begins one window (up to the line of the ``LONG``-th word from there) and
 ends one (back to the line of the ``LONG``-th word). A repeated run contains the windows that begin or
@@ -98,6 +97,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rem
     firsts = found.where("is_first").groupBy("h").agg(F.min("bytes").alias("first_bytes"))
     same = found.where("not is_first").join(firsts, "h").where("bytes = first_bytes")
     gone = kept.put(same.groupBy("k").agg(F.collect_set(F.struct("s", "e")).alias("gone")))
+    kept.drop(seen, found)
     out = named.alias("t").join(gone.hint("merge").alias("g"), _same_row("t.k", "g.k"), "left").select("t.doc", "t.text", F.col("g.gone").alias("gone"))
     out = out.withColumn("_lines", F.when(F.col("gone").isNotNull(), F.split("text", "\n", -1)))
     taken = F.flatten(F.transform("gone", lambda g: F.sequence(g["s"], g["e"])))
@@ -150,6 +150,7 @@ def dedup_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     marks = marks.select("k", first.alias("of"), (F.col("first.s") - F.col("s")).alias("d"), "s", "e").groupBy("k", "of", "d").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
     spans = F.flatten(F.transform("spans", lambda x: F.sequence(x["s"], x["e"])))
     marks = kept.put(marks.select("k", "of", "d", F.array_distinct(spans).alias("at")))
+    kept.drop(seen, again)
     sources = marks.select("of", F.explode("at").alias("i"), "d").select("of", (F.col("i") + F.col("d")).alias("i")).distinct().groupBy("of").agg(F.collect_list("i").alias("sources"))
     asked = marks.select("k", F.struct("of", "d", "at").alias("own"), F.lit(None).cast("array<int>").alias("sources"))
     asked = asked.unionByName(sources.select(F.col("of").alias("k"), F.lit(None).cast(asked.schema["own"].dataType).alias("own"), "sources"))
@@ -159,10 +160,12 @@ def dedup_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     own = F.flatten(F.transform("own", lambda o: F.transform(o["at"], lambda i: F.struct(o["of"].alias("of"), (i + o["d"]).alias("j"), i.alias("i"), line(i)))))
     source = F.transform(F.coalesce("sources", F.array().cast("array<int>")), lambda j: F.struct(F.col("k").alias("of"), j.alias("j"), F.lit(0).alias("i"), line(j)))
     found = kept.put(found.select("k", F.explode(F.concat(own, source)).alias("c")).select("k", "c.*"))
+    kept.drop(marks)
     sources = kept.put(found.where("i = 0").select("of", "j", "bytes").dropDuplicates(["of", "j"]))  # rows equal in every column give theirs once
     match = _same_row("a.of", "b.of") & (F.col("a.j") == F.col("b.j")) & (F.col("a.bytes") == F.col("b.bytes"))
     same = found.where("i > 0").alias("a").join(sources.hint("merge").alias("b"), match)
     gone = kept.put(same.groupBy("a.k").agg(F.collect_set("a.i").alias("gone")))
+    kept.drop(found, sources)
     out = named.alias("t").join(gone.hint("merge").alias("g"), _same_row("t.k", "g.k"), "left").select("t.doc", "t.text", F.col("g.gone").alias("gone"))
     out = out.withColumn("_lines", F.when(F.col("gone").isNotNull(), F.split("text", "\n", -1)))
     left = F.transform(F.array_except(F.sequence(F.lit(1), F.size("_lines")), "gone"), lambda i: F.element_at("_lines", i))
@@ -173,33 +176,38 @@ def dedup_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return out.select(*fields)
 
 
-def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As op3_line_dedup, but whole passages wherever they begin and end."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = dedup_passages(docs, removed="removed_lines")
-    return out.select("doc_id", F.length("text").cast("long").alias("n_chars"), "removed_lines", F.md5("text").alias("text_md5"))
-
-
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the passages that an earlier one has, and the number of lines taken out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = dedup_lines(docs, removed="removed_lines")
+    out = dedup_passages(docs, removed="removed_lines")
     return out.select("doc_id", F.length("text").cast("long").alias("n_chars"), "removed_lines", F.md5("text").alias("text_md5"))
 
 
+#: Lines with their running word counts; runs of lines that may be a passage (windows that a line begins or ends, chunks, whole texts); lines of all runs but the first with the same bytes.
 OP3_SQL = r"""
 with l as (
-  select doc_id, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i
-  from documents),
+  select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i
+  from documents where text is not null),
 w as (select *, md5(line) as h, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as words from l),
+c as (select *, sum(words) over (partition by doc_id order by i) as upto, sum(words) over (partition by doc_id) as total from w),
+t as (select doc_id, list(line order by i) as lines from w group by doc_id),
 b as (select *, coalesce(words >= 50 or lag(words) over p >= 50 or i = 1
                or md5(coalesce(lag(h, 2) over p, '') || lag(h) over p)[1:1] in ('0', '1', '2', '3'), true) as begins
       from w window p as (partition by doc_id order by i)),
-c as (select *, sum(begins::int) over (partition by doc_id order by i) as chunk from b),
-k as (select doc_id, chunk, string_agg(line, chr(10) order by i) as bytes, count(*) as n, sum(words) as words, min(i) as s from c group by doc_id, chunk),
-f as (select *, row_number() over (partition by bytes order by doc_id, s) as nth, ((n > 1 and words > 0) or words >= 50) as fit from k),
-o as (select doc_id, string_agg(bytes, chr(10) order by s) filter (where not (fit and nth > 1)) as text,
-             coalesce(sum(n) filter (where fit and nth > 1), 0) as removed from f group by doc_id)
+k as (select doc_id, i, words, sum(begins::int) over (partition by doc_id order by i) as chunk from b),
+r as (
+  select a.doc_id, 0 as kind, a.i as s, z.i as e from c a join c z on a.doc_id = z.doc_id and a.words > 0
+    and z.upto - z.words < a.upto - a.words + 50 and a.upto - a.words + 50 <= z.upto
+  union all
+  select a.doc_id, 1, z.i, a.i from c a join c z on a.doc_id = z.doc_id and a.words > 0 and z.i < a.i
+    and z.upto - z.words < a.upto - 49 and a.upto - 49 <= z.upto
+  union all
+  select doc_id, 2, min(i), max(i) from k group by doc_id, chunk having count(*) > 1 and sum(words) > 0
+  union all
+  select doc_id, 3, 1, max(i) from c group by doc_id having max(total) > 0),
+n as (select r.doc_id, s, e, row_number() over (partition by kind, array_to_string(lines[s:e], chr(10)) order by r.doc_id, s) as nth from r join t on r.doc_id = t.doc_id),
+g as (select distinct doc_id, unnest(generate_series(s, e)) as i from n where nth > 1),
+o as (select w.doc_id, string_agg(line, chr(10) order by w.i) filter (where g.i is null) as text, count(g.i) as removed from w left join g on w.doc_id = g.doc_id and w.i = g.i group by w.doc_id)
 select d.doc_id, length(case when d.text is null then null else coalesce(o.text, '') end)::bigint as n_chars, coalesce(removed, 0)::int as removed_lines,
        md5(case when d.text is null then null else coalesce(o.text, '') end) as text_md5
 from documents d left join o on d.doc_id = o.doc_id
