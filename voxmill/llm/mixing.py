@@ -5,18 +5,21 @@ words, and stop at ``cap`` times their own words; what they leave is shared agai
 common level is found in one pass over the sources in the order in which they fill up.
 
 Copies: each document is taken floor(target / source words) times; the rest of the target goes, one
-more time each, to the documents that come first by the md5 of their id. Only running sums decide, and
-these are taken per (source, range of md5) with the ranges' own sums in front, so that no source's
-rows meet in one task.
+more time each, to the documents that come first by the md5 of their id, as long as they fit. What a long
+document leaves open there goes to up to ``FILLS`` others, each the largest that still fits. Only running
+sums decide, and these are taken per (source, range of md5) with the ranges' own sums in front, so that no
+source's rows meet in one task. All this reads (doc_id, source, size) alone, written once; texts meet their
+copies in one join and travel once more for the range sort.
 
 Positions: a source's weight runs linearly from ``start`` to ``end`` of its mean over training time t
-in [0, 1] (sources alternate between early and late). Its demand up to t is the integral
+in [0, 1]: sources of weight 1 fall, the others rise. Its demand up to t is the integral
 D(t) = s t + (e - s) t^2 / 2; a copy whose words end at the share q of the source's taken words is
 due where D(t) = q D(1), which is solved for t. Rows are range-sorted by t.
 
 Null texts and texts without words have size 0 and are never moved by the extra copies: they are taken
 floor(target / source words) times, with 0 words. A source without words has target 0. Repeated rows
-are rows of their own; ties of md5 fall to id, then size.
+are rows of their own (ties of md5, as of repeated and null ids, fall to size); many rows of one id share
+a range of md5 and so a task.
 """
 
 from __future__ import annotations
@@ -24,10 +27,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Written, table
 
-#: Weights by rank of source, share of all words, cap on repeats; ranges of md5 for each source; first and last weight of a rising source.
-WEIGHTS, BUDGET, CAP, RANGES, START, END = (3, 1, 2), 1.5, 2, 4096, 0.5, 1.5
+#: Weights by rank of source, share of all words, cap on repeats; ranges of md5 for each source; first and last weight of a rising source; documents that may fill what is open at the end.
+WEIGHTS, BUDGET, CAP, RANGES, START, END, FILLS = (3, 1, 2), 1.5, 2, 4096, 0.5, 1.5, 3
 
 
 def n_words(text: str = "text") -> Column:
@@ -52,9 +55,10 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 
 def plan(rows: DataFrame) -> DataFrame:
-    """Add source_size, target, _copies and the words of the source in front (_before) to (doc_id, source, size, ...)."""
+    """Add source_size, target, _copies and the words of the source in front (_before) to (doc_id, source, size, ...), written first."""
     md5 = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     rows = rows.withColumn("_md5", md5).withColumn("_range", (F.conv(F.substring("_md5", 1, 6), 16, 10).cast("long") % RANGES).cast("int"))
+    rows = Written(rows.sparkSession, "mixing").put(rows.withColumn("_n", F.monotonically_increasing_id()))
     sums = rows.groupBy("source", "_range").agg(F.sum("size").alias("_words"))
     sizes = sums.groupBy("source").agg(F.sum("_words").alias("source_size"))
     per = targets(sizes).withColumn("_whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
@@ -66,8 +70,26 @@ def plan(rows: DataFrame) -> DataFrame:
     rows = rows.join(ranges, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r"))).drop("_s", "_r")
     own = Window.partitionBy("source", "_range").orderBy("_md5", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_before", F.col("_ahead") + F.coalesce(F.sum("size").over(own), F.lit(0)))
-    more = (F.col("size") > 0) & (F.col("_before") + F.col("size") / 2.0 <= F.col("_extra"))
-    return rows.withColumn("_copies", F.col("_whole") + more.cast("long"))
+    rows = rows.withColumn("_more", (F.col("size") > 0) & (F.col("_before") + F.col("size") <= F.col("_extra")))
+    return _filled(rows).withColumn("_copies", F.col("_whole") + F.col("_more").cast("long"))
+
+
+def _filled(rows: DataFrame) -> DataFrame:
+    """_more also for up to FILLS documents of each source: the largest that fits what is open, then a smaller one, and so on (of equal sizes the first)."""
+    first = F.min(F.when((F.col("size") > 0) & ~F.col("_more"), F.struct("_md5", "doc_id", "_n")))
+    sizes = rows.groupBy("source", "size", "_extra").agg(F.sum(F.when(F.col("_more"), F.col("size"))).alias("_taken"), first.alias("_first"))
+    all_of = Window.partitionBy("source")
+    sizes = sizes.withColumn("_open", F.col("_extra") - F.coalesce(F.sum("_taken").over(all_of), F.lit(0)))
+    picked = F.lit(False)
+    below = F.lit(1 << 62)
+    for k in range(FILLS):
+        fits = F.col("_first").isNotNull() & (F.col("size") <= F.col("_open")) & (F.col("size") < below)
+        sizes = sizes.withColumn(f"_fill{k}", F.max(F.when(fits, F.col("size"))).over(all_of))
+        below = F.coalesce(F.col(f"_fill{k}"), F.lit(0))
+        picked = picked | (F.col("_first").isNotNull() & F.col("size").eqNullSafe(F.col(f"_fill{k}")))
+        sizes = sizes.withColumn("_open", F.col("_open") - below)
+    picks = sizes.where(picked).select(F.col("_first._n").alias("_n"), F.lit(True).alias("_fills"))
+    return rows.join(picks, "_n", "left").withColumn("_more", F.col("_more") | F.coalesce("_fills", F.lit(False))).drop("_fills")
 
 
 def position(share: Column, rising: Column) -> Column:
@@ -91,11 +113,15 @@ def positions(planned: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, text: str = "text") -> DataFrame:
     """The mixed corpus: a row for each copy taken, range-sorted by training position, with the columns of ``docs``."""
-    held = [c for c in docs.columns if c not in ("doc_id", "source")]
-    rows = docs.select("doc_id", "source", F.struct(*(F.col(f"`{c}`") for c in held)).alias("_doc"), n_words(text).alias("size"))
-    rows = positions(plan(rows)).select("doc_id", "source", "_doc", "_md5", F.explode("_at").alias("_t"))
-    rows = rows.orderBy("_t", "_md5", "doc_id")
-    return rows.select(*(F.col("_doc")[c].alias(c) if c in held else F.col(c) for c in docs.columns))
+    row = F.xxhash64(F.lit(1), *(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+    planned = positions(plan(docs.select("doc_id", "source", n_words(text).alias("size"), row)))
+    # rows equal in every column share _row: each takes its own entry of the list
+    planned = planned.groupBy("_row").agg(F.collect_list("_at").alias("_ats"), F.first("_md5").alias("_md5"))
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), row)
+    held = held.withColumn("_nth", F.row_number().over(Window.partitionBy("_row").orderBy("_row")) - 1)
+    rows = held.join(planned.hint("merge"), "_row").select("_doc", "_md5", F.explode(F.get("_ats", F.col("_nth"))).alias("_t"))
+    rows = rows.orderBy("_t", "_md5", "_doc.doc_id")
+    return rows.select(*(F.col("_doc")[c].alias(c) for c in docs.columns))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,12 +146,20 @@ l as (select *, (1.5 * sum(n) over () - coalesce(sum(cap) over (order by cap / w
 t as (select source, n, weight, coalesce(least(cap, weight * (select arg_min(lvl, cap / weight) from l where lvl * weight <= cap)), cap) as target from l),
 p as (select source, n, weight, target, case when n > 0 then floor(target / n) else 0 end as whole from t),
 c as (
-  select r.doc_id, r.size, p.n, p.weight, p.target, p.whole, p.target - p.whole * p.n as extra,
+  select r.source as s, r.h, r.doc_id, r.size, p.n, p.weight, p.target, p.whole, p.target - p.whole * p.n as extra,
          coalesce(sum(r.size) over (partition by r.source order by r.rg, r.h, r.doc_id, r.size rows between unbounded preceding and 1 preceding), 0) as bef
   from r join p on r.source is not distinct from p.source),
-k as (select *, (whole + case when size > 0 and bef + size / 2.0 <= extra then 1 else 0 end)::bigint as copies,
-             case when weight <> 1 then 0.5 else 1.5 end as s, case when weight <> 1 then 1.5 else 0.5 end as e from c)
+m as (select *, size > 0 and bef + size <= extra as more from c),
+z as (select s, size, extra, sum(size) filter (where more) as taken, min((h, doc_id)) filter (where size > 0 and not more) as first from m group by s, size, extra),
+z0 as (select *, extra - coalesce(sum(taken) over (partition by s), 0) as o0 from z),
+z1 as (select *, coalesce(max(size) filter (where first is not null and size <= o0) over (partition by s), 0) as f1 from z0),
+z2 as (select *, coalesce(max(size) filter (where first is not null and size <= o0 - f1 and size < f1) over (partition by s), 0) as f2 from z1),
+z3 as (select *, coalesce(max(size) filter (where first is not null and size <= o0 - f1 - f2 and size < f2) over (partition by s), 0) as f3 from z2),
+x as (select s, size, first from z3 where first is not null and size in (f1, f2, f3)),
+k as (select m.*, (whole + case when more or x.first is not null then 1 else 0 end)::bigint as copies,
+             case when weight <> 1 then 0.5 else 1.5 end as ws, case when weight <> 1 then 1.5 else 0.5 end as we
+      from m left join x on m.s is not distinct from x.s and m.size = x.size and (m.h, m.doc_id) = x.first)
 select doc_id, size, n::bigint as source_size, round(target, 6) as target, size * copies as taken,
-       case when copies > 0 then round(least(1.0, greatest(0.0, (sqrt(s * s + 2 * (e - s) * ((bef + size) / greatest(1.0, target)) * ((s + e) / 2)) - s) / (e - s))), 9) end as position
+       case when copies > 0 then round(least(1.0, greatest(0.0, (sqrt(ws * ws + 2 * (we - ws) * ((bef + size) / greatest(1.0, target)) * ((ws + we) / 2)) - ws) / (we - ws))), 9) end as position
 from k
 """
