@@ -55,3 +55,30 @@ def test_rows_of_any_kind(spark):
     got = H.extract(pages).orderBy("page_id").collect()
     assert [r.n_chars for r in got] == [0, 0, 57, 57] and [r.text for r in got[:2]] == ["", ""]
     assert H.extract(pages.limit(0)).count() == 0
+
+
+def test_long_references_are_no_crash():
+    page = f"<article><p>a &#{'9' * 5000}; b &#{'0' * 5000}65; &#x{'f' * 5000}; c &#1114112; &#8364;</p></article>"
+    assert H.extract_text(page) == "a \ufffd b A \ufffd c \ufffd €"
+
+
+SENTENCE = "This is a sentence of some length with a full stop at its end, as prose has."
+
+
+def test_the_cut_decides_blocks_that_costs_alone_would_not():
+    """A short line between paragraphs stays with them, though its own costs call it boilerplate; a plain cost comparison loses it."""
+    page = f"<div><p>{SENTENCE}</p><p>{SENTENCE}</p><div>So there</div><p>{SENTENCE}</p><p>{SENTENCE}</p></div>"
+    found = H.blocks(page)
+    alone = [a >= b for a, b in (H.costs(*x, False) for x in found)]
+    assert alone == [True, True, False, True, True] and H.label(found) == [True] * 5
+    links = "".join(f"<li><a href=x>Link {i}</a></li>" for i in range(6))
+    assert H.extract_text(f"<div><ul>{links}</ul></div><div><p>{SENTENCE}</p></div>") == SENTENCE
+
+
+def test_weights_are_fitted_on_containers(spark):
+    pages = [(i, f"<nav><a href=x>Home {i}</a></nav><article><h1>Title</h1><p>{SENTENCE}</p><p>{SENTENCE}</p></article><footer>© x</footer>") for i in range(20)] + [(None, None), (3, "")]
+    weights = H.fit(spark.createDataFrame(pages, "page_id long, html string"))
+    assert weights != H.PLAIN and weights[2] < 0 < weights[4]
+    prose, link = H.blocks(f"<div><p>{SENTENCE}</p></div><div><a href=x>More</a></div>")
+    assert H.costs(*prose, False, weights)[0] > H.costs(*prose, False, weights)[1] and H.costs(*link, False, weights)[0] < H.costs(*link, False, weights)[1]
+    assert H.fit(spark.createDataFrame([], "page_id long, html string")) == H.PLAIN

@@ -54,17 +54,16 @@ class Written:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def hash_sample(rows: DataFrame, n: int, *ties: str, key: str = "doc_id", total: int | None = None) -> DataFrame:
-    """The n rows least by the hash of ``key`` (ties by the other columns named).
-
-    A threshold from the number of rows first leaves about 2 n + 1000 of them, so what the final top-n
-    gathers doesn't grow with the input. ``total`` may overstate the rows; then fewer than n may remain.
-    """
+def hash_share(rows: DataFrame, n: int, key: str = "doc_id", total: int | None = None) -> DataFrame:
+    """About 2 n + 1000 rows, those of the least hashes of ``key``: what a top-n after it gathers doesn't grow with the input. ``total`` may overstate the rows."""
     total = rows.count() if total is None else total
     span = 1 << 40
-    h = F.pmod(F.xxhash64(key), F.lit(span))
-    limit = min(span, (2 * n + 1000) * span // max(1, total))
-    return rows.where(h < limit).orderBy(h, key, *ties).limit(n)
+    return rows.where(F.pmod(F.xxhash64(key), F.lit(span)) < min(span, (2 * n + 1000) * span // max(1, total)))
+
+
+def hash_sample(rows: DataFrame, n: int, *ties: str, key: str = "doc_id", total: int | None = None) -> DataFrame:
+    """The n rows least by the hash of ``key`` (ties by the other columns named)."""
+    return hash_share(rows, n, key, total).orderBy(F.pmod(F.xxhash64(key), F.lit(1 << 40)), key, *ties).limit(n)
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -1,14 +1,21 @@
 """Main text of HTML pages by minimum-cut labelling.
 
-A page becomes a list of text blocks. A linear classifier over the block's own features (container
-elements, class and id hints, link density, length, punctuation) gives each block a cost of being
-called content and a cost of being called boilerplate: the capacities of its edges to the two
-terminals. Blocks that follow each other, or that are the nearest blocks under one DOM parent or
+A page becomes a list of text blocks. A logistic regression over the block's own features (length, link
+density, punctuation, element, class and id words) gives each block a cost of being called content and
+one of being called boilerplate, of the order of the smoothness; explicit containers (article, nav,
+footer, advert classes and the like) add to these. The sums are the capacities of the block's edges to
+the two terminals. Blocks that follow each other, or that are the nearest blocks under one DOM parent or
 grandparent, are joined by smoothness edges. The minimum cut of that graph is the labelling of least
-total cost; content blocks are joined in page order.
+total cost; content blocks are joined in page order. A block that no container explains is so decided by
+its features and its neighbours together.
+
+The regression is fitted on the blocks inside explicit containers of a bounded sample of pages (``SAMPLE``
+pages least by the hash of their id, ``BLOCKS`` blocks of each), whose containers are their labels; without
+blocks of both kinds the weights in ``PLAIN`` hold.
 
 Null, empty and text-free pages give an empty string. Nothing is truncated; broken markup (unclosed
-elements, cut-off pages) is read as far as it goes.
+elements, cut-off pages) is read as far as it goes. Character references to no code point, however long,
+become U+FFFD.
 """
 
 from __future__ import annotations
@@ -17,9 +24,11 @@ import html as _html
 import re
 from collections import deque
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import add_columns, table
+from .common import add_columns, hash_share, table
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -30,6 +39,7 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"([^\s=\"'/<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"\s+")
 _HINT = re.compile(r"[A-Za-z]+")
+_ZEROS, _HUGE = re.compile(r"&#0+(?=[0-9])"), re.compile(r"&#[1-9][0-9]{7,};?")
 
 #: Elements whose content is no text of the page.
 DROPPED = frozenset("script style noscript template iframe svg math object select option button textarea head title canvas audio video map datalist".split())
@@ -48,8 +58,12 @@ BOILER_HINTS = frozenset(
 CONTENT_HINTS = frozenset("article content main post entry story body text prose".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar alertdialog".split())
 
-#: Terminal capacities and smoothness (integers, so that flows are exact).
-STRONG, CONTAINER, HINT, SMOOTH_NEXT, SMOOTH_PARENT, SMOOTH_GRAND = 60, 12, 5, 2, 3, 1
+#: Capacities (integers, so that flows are exact): of a boilerplate container, of a content container and of being outside all of a page that has one, the most that the classifier adds and what it adds for each unit of log odds; smoothness.
+BOILER, CONTENT, OUTSIDE, MOST, ODDS, SMOOTH_NEXT, SMOOTH_PARENT, SMOOTH_GRAND = 30, 16, 12, 10, 3, 2, 3, 1
+#: Pages of the fitting sample, blocks read of each.
+SAMPLE, BLOCKS = 2000, 64
+#: Weights of ``features`` where nothing can be learned.
+PLAIN = (-1.5, 1.0, -4.0, 1.0, 1.5, 1.0, -0.5, -2.5, 1.5)
 
 
 class _Node:
@@ -79,6 +93,13 @@ class _Node:
                     self.boiler = True
 
 
+def unescape(text: str) -> str:
+    """Character references decoded; numbers beyond all code points are replaced before their digits are read."""
+    if "&#" in text:
+        text = _HUGE.sub("\ufffd", _ZEROS.sub("&#", text))
+    return _html.unescape(text)
+
+
 def blocks(page: str) -> list[tuple[str, int, _Node]]:
     """(text, characters inside links, DOM node) of each text block in page order."""
     out: list[tuple[str, int, _Node]] = []
@@ -92,7 +113,7 @@ def blocks(page: str) -> list[tuple[str, int, _Node]]:
     def flush() -> None:
         nonlocal linked
         if parts:
-            text = _SPACE.sub(" ", _html.unescape("".join(parts))).strip()
+            text = _SPACE.sub(" ", unescape("".join(parts))).strip()
             if text:
                 out.append((text, linked, node))
             parts.clear()
@@ -205,30 +226,62 @@ def blocks(page: str) -> list[tuple[str, int, _Node]]:
     return out
 
 
-def costs(text: str, linked: int, node: _Node, has_content: bool) -> tuple[int, int]:
-    """Cost of calling the block boilerplate, cost of calling it content."""
-    as_boiler, as_content = 1, 1
-    n = len(text)
+def features(text: str, linked: int, node: _Node) -> list[float]:
+    """What the classifier sees of a block (its containers are left out: they are the labels)."""
     words = text.count(" ") + 1
+    density = min(1.0, linked / len(text))
+    return [
+        1.0,
+        min(1.0, float(np.log1p(words)) / 4),
+        density,
+        float(text[-1] in ".!?…\"”»" and words > 4),
+        float(node.tag in ("p", "blockquote", "pre")),
+        float(node.tag in ("h1", "h2", "h3", "h4", "h5", "h6")),
+        float(words < 3),
+        float(text.startswith("©") or "all rights reserved" in text.lower()),
+        float(min(2, node.hint)) / 2,
+    ]
+
+
+def seeds(page: str | None) -> np.ndarray:
+    """Features and label (last column) of up to BLOCKS blocks inside explicit containers, evenly spread over the page."""
+    found = [(*features(*x), float(not x[2].boiler)) for x in blocks(page or "") if x[2].boiler or x[2].content]
+    return np.array(found[:: max(1, -(-len(found) // BLOCKS))], np.float32).reshape(-1, len(PLAIN) + 1)
+
+
+def fit_weights(rows: np.ndarray, steps: int = 12, ridge: float = 1.0) -> tuple[float, ...]:
+    """Logistic regression by Newton's method; both labels weigh the same in all."""
+    x, y = rows[:, :-1].astype(np.float64), rows[:, -1].astype(np.float64)
+    if not len(y) or y.min() == y.max():
+        return PLAIN
+    share = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    w = np.zeros(x.shape[1])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        h = (x * (share * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+        w -= np.linalg.solve(h, x.T @ (share * (p - y)) + ridge * w)
+    return tuple(float(v) for v in w)
+
+
+def fit(pages: DataFrame, html: str = "html", page_id: str = "page_id", sample: int = SAMPLE) -> tuple[float, ...]:
+    """The classifier's weights from a bounded sample: at most ``sample`` pages and BLOCKS rows of features of each reach the driver."""
+    near = hash_share(pages.select(F.col(f"`{page_id}`").alias("page_id"), F.col(f"`{html}`").alias("html")), sample, "page_id")
+    made = add_columns(near, ["html"], {"_f": "binary"}, lambda: lambda found: ([seeds(x).tobytes() for x in found],), drop=("html",))
+    got = made.orderBy(F.xxhash64("page_id"), "page_id", "_f").limit(sample).toArrow()["_f"].to_pylist()
+    return fit_weights(np.frombuffer(b"".join(got), np.float32).reshape(-1, len(PLAIN) + 1))
+
+
+def costs(text: str, linked: int, node: _Node, has_content: bool, weights: tuple[float, ...] = PLAIN) -> tuple[int, int]:
+    """Cost of calling the block boilerplate, cost of calling it content."""
+    odds = sum(a * b for a, b in zip(weights, features(text, linked, node), strict=True))
+    part = round(min(MOST, ODDS * abs(odds)))
+    as_boiler, as_content = (1 + part, 1) if odds > 0 else (1, 1 + part)
     if node.boiler:
-        as_content += STRONG
+        as_content += BOILER
     elif node.content:
-        as_boiler += CONTAINER * 2
+        as_boiler += CONTENT
     elif has_content:
-        as_content += CONTAINER
-    if not node.boiler and node.hint:
-        as_boiler += HINT * min(2, node.hint)
-    density = min(1.0, linked / n)
-    as_content += round(10 * density * density)
-    as_boiler += min(8, words // 6)
-    if text[-1] in ".!?…\"”»" and words > 4:
-        as_boiler += 2
-    if node.tag in ("p", "blockquote", "pre", "h1", "h2", "h3") and density < 0.5:
-        as_boiler += 2
-    if node.tag == "li" and density > 0.5 or words < 3 and not node.content:
-        as_content += 3
-    if text.startswith("©") or "all rights reserved" in text.lower():
-        as_content += 8 if not node.content else 0
+        as_content += OUTSIDE
     return as_boiler, as_content
 
 
@@ -304,10 +357,10 @@ def min_cut(source: list[int], sink: list[int], edges: list[tuple[int, int, int]
     return [not reach[i] for i in range(n)]
 
 
-def label(found: list[tuple[str, int, _Node]]) -> list[bool]:
+def label(found: list[tuple[str, int, _Node]], weights: tuple[float, ...] = PLAIN) -> list[bool]:
     """Content (True) or boilerplate of each block, by the minimum cut."""
     has_content = any(b[2].content and not b[2].boiler for b in found)
-    source, sink = zip(*(costs(*b, has_content) for b in found), strict=True)
+    source, sink = zip(*(costs(*b, has_content, weights) for b in found), strict=True)
     edges: list[tuple[int, int, int]] = []
     near: dict[tuple[int, int], int] = {}
     for i, (_, _, node) in enumerate(found):
@@ -322,13 +375,13 @@ def label(found: list[tuple[str, int, _Node]]) -> list[bool]:
     return min_cut(list(source), list(sink), edges)
 
 
-def extract_text(page: str | None) -> str:
+def extract_text(page: str | None, weights: tuple[float, ...] = PLAIN) -> str:
     """The page's main text; blocks are joined by one space."""
     found = blocks(page or "")
-    return " ".join(b[0] for b, keep in zip(found, label(found), strict=True) if keep) if found else ""
+    return " ".join(b[0] for b, keep in zip(found, label(found, weights), strict=True) if keep) if found else ""
 
 
-def extract(pages: DataFrame, html: str = "html", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
+def extract(pages: DataFrame, html: str = "html", text: str = "text", n_chars: str = "n_chars", weights: tuple[float, ...] = PLAIN) -> DataFrame:
     """Add the main text of ``html`` and its length in code points; other columns stay (same names are replaced).
 
     One narrow pass: no shuffle, one Arrow batch of pages in memory at a time.
@@ -336,7 +389,7 @@ def extract(pages: DataFrame, html: str = "html", text: str = "text", n_chars: s
 
     def make():
         def of(found: list[str | None]) -> tuple[list[str], list[int]]:
-            texts = [extract_text(x) for x in found]
+            texts = [extract_text(x, weights) for x in found]
             return texts, [len(x) for x in texts]
 
         return of
@@ -346,4 +399,5 @@ def extract(pages: DataFrame, html: str = "html", text: str = "text", n_chars: s
 
 def op1_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
-    return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+    pages = table(spark, sf_dir, "pages")
+    return extract(pages, weights=fit(pages)).select("page_id", "url", "text", "n_chars")
