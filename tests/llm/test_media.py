@@ -64,3 +64,23 @@ def test_media_columns(spark):
 def test_bad_bytes_raise_value_errors(bad):
     with pytest.raises((ValueError, IndexError, struct.error)):
         M.decode_image(bad)
+
+
+@pytest.mark.parametrize("header", [b"P5 99999999999999999999 9 255", b"P5 9999999 9999999 255 ", b"P4 99999999999 9999999\n", b"P2 0 5 255\n", b"P5 " + b"9" * 5000 + b" 1 255 x"])
+def test_oversized_headers_give_an_error_column(spark, header):
+    """Headers that claim more than the bytes hold are errors of their row, not of the job."""
+    rows = spark.createDataFrame([(1, bytearray(header)), (2, bytearray(M.encode_pnm(np.ones((2, 2), np.uint8))))], "id long, data binary")
+    got = {r.id: r for r in M.media_columns(rows).collect()}
+    assert got[1].error and got[1].tile is None and got[2].error is None and got[2].height == 2
+
+
+def test_tall_payloads_are_bmp_and_tiles_are_npy(spark):
+    texts = ["short", "y" * 576 * 64]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    stored = {r.doc_id: bytes(r.media) for r in M.text_to_media(df, tall=64).collect()}
+    assert stored[0][:2] == b"P5" and stored[1][:2] == b"BM"
+    for r in M.media_digests(M.text_to_media(df, tall=64)).collect():
+        payload, _ = M.pack_text(texts[r.doc_id])
+        pixels = np.frombuffer(payload, np.uint8).reshape(-1, 576)
+        assert r.payload_sha256 == hashlib.sha256(payload).hexdigest()
+        assert (np.load(io.BytesIO(bytes(r.tile))) == np.clip(np.rint(M.area_resize(pixels, 16, 16)), 0, 255)).all()

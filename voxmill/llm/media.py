@@ -19,12 +19,11 @@ import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .common import add_columns, table
 
-#: Payloads are padded to a multiple of this; it is also the width of the stored image. Side of the NPY tile.
-UNIT, TILE = 576, 16
+#: Payloads are padded to a multiple of this; it is also the width of the stored image. Side of the NPY tile. Rows from which a text is stored as BMP.
+UNIT, TILE, TALL = 576, 16, 64
 _HEADER = re.compile(rb"P([1-6])(?:\s|#[^\n\r]*[\n\r])+(\d+)(?:\s|#[^\n\r]*[\n\r])+(\d+)(?:(?:\s|#[^\n\r]*[\n\r])+(\d+))?")
 
 
@@ -54,6 +53,8 @@ def _decode_pnm(data: bytes) -> np.ndarray:
     if not m:
         raise ValueError("no Netpbm header")
     kind, w, h = int(m[1]), int(m[2]), int(m[3])
+    if -(-w * h // 8) > len(data):  # a sample takes a bit at least: nothing is allocated for sizes that the bytes can't hold
+        raise ValueError("too few samples")
     if kind in (1, 4):
         m = re.match(rb"P[14](?:\s|#[^\n\r]*[\n\r])+\d+(?:\s|#[^\n\r]*[\n\r])+\d+", data)
         if kind == 4:
@@ -166,7 +167,7 @@ def media_columns(images: DataFrame, data: str = "data", side: int = TILE) -> Da
                 if not p.size:
                     raise ValueError("empty image")
                 return p.shape[0], p.shape[1], 1 if p.ndim == 2 else p.shape[2], npy_tile(p, side), difference_hash(p), None
-            except (ValueError, IndexError, struct.error) as e:
+            except (ValueError, IndexError, OverflowError, struct.error) as e:
                 return None, None, None, None, None, str(e)[:200]
 
         return lambda xs: tuple(map(list, zip(*map(one, xs), strict=True)))
@@ -180,13 +181,14 @@ def pack_text(text: str | None) -> tuple[bytes, int]:
     return raw + b"\xff" * (-len(raw) % UNIT if raw else UNIT), len(raw)
 
 
-def text_to_media(docs: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
-    """Add the whole text as a P5 image of width UNIT (n_bytes: bytes without padding)."""
+def text_to_media(docs: DataFrame, text: str = "text", media: str = "media", tall: int | None = None) -> DataFrame:
+    """Add the whole text as an image of width UNIT (n_bytes: bytes without padding): P5, or, from ``tall`` rows on, BMP, whose longer header then weighs little."""
 
     def make():
         def one(t):
             payload, n = pack_text(t)
-            return encode_pnm(np.frombuffer(payload, np.uint8).reshape(-1, UNIT)), n
+            pixels = np.frombuffer(payload, np.uint8).reshape(-1, UNIT)
+            return (encode_pnm if tall is None or len(pixels) < tall else encode_bmp)(pixels), n
 
         return lambda xs: tuple(map(list, zip(*map(one, xs), strict=True)))
 
@@ -194,24 +196,24 @@ def text_to_media(docs: DataFrame, text: str = "text", media: str = "media") ->
 
 
 def media_digests(stored: DataFrame, media: str = "media") -> DataFrame:
-    """Read the stored bytes back and add digests of the payload and of the file, and the features."""
+    """Read the stored bytes back and add digests of the payload and of the file, the NPY tile, and the feature (difference hash and the tile's CRC)."""
 
     def make():
         def one(x):
             data = bytes(x)
             p = decode_image(data)
             payload = np.ascontiguousarray(p).tobytes()
-            feature = f"{difference_hash(p)}:{zlib.crc32(npy_tile(p)):08x}"
-            return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature
+            tile = npy_tile(p)
+            return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), f"{difference_hash(p)}:{zlib.crc32(tile):08x}", tile
 
         return lambda xs: tuple(map(list, zip(*map(one, xs), strict=True)))
 
-    fields = {"payload_bytes": "bigint", "payload_sha256": "string", "tail_crc32": "bigint", "media_bytes": "bigint", "media_sha256": "string", "feature": "string"}
+    fields = {"payload_bytes": "bigint", "payload_sha256": "string", "tail_crc32": "bigint", "media_bytes": "bigint", "media_sha256": "string", "feature": "string", "tile": "binary"}
     return add_columns(stored, [media], fields, make, drop=(media,))
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document stored as an image, read back, with digests and features."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = media_digests(text_to_media(docs))
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.col("feature"))
+    out = media_digests(text_to_media(docs, tall=TALL))
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile")
