@@ -44,3 +44,30 @@ def test_search_edge_cases(spark):
             want += [(qi, n + 1, ci, -sc) for n, (sc, ci) in enumerate(s)]
     assert got == sorted(want)
     assert T.search(v.where("false"), v.where("false"), 5).count() == 0
+
+
+@pytest.mark.parametrize("floor", [0, 1, -5])
+def test_a_floor_loses_nothing(floor):
+    r = np.random.default_rng(5)
+    m = r.integers(-9, 10, (6000, 8))
+    s = T.Shard(np.arange(6000), m)
+    for i in range(0, 200, 10):
+        best = brute(np.arange(6000), m, m[i], i, 5)
+        a, b = s.search(m[i], i, 5, best[-1][0] + min(0, floor))
+        assert [(int(x), int(y)) for x, y in zip(a, b, strict=True)] == best
+        a, _ = s.search(m[i], i, 5, best[0][0] + 1)
+        assert len(a) == 0
+
+
+def test_repeated_query_ids_are_ranked_each(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (2, [0.0, 1.0])]
+    v = T.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = sorted(tuple(r) for r in T.search(v, v.where("vec_id = 0"), 3, shard=2).collect())
+    assert got == sorted([(0, 1, 1, 65536), (0, 2, 2, 0), (0, 3, 2, 0), (0, 1, 2, 65536), (0, 2, 2, 65536), (0, 3, 1, 0)])
+
+
+@pytest.mark.parametrize("x", [1e30, 1e16])
+def test_scores_never_wrap(spark, x):
+    v = T.quantised(spark.createDataFrame([(0, [x, 1.0]), (1, [x, 1.0])], "vec_id long, embedding array<double>"))
+    with pytest.raises(Exception, match="beyond"):
+        T.search(v, v.where("vec_id = 0"), 1).collect()

@@ -9,10 +9,15 @@ essential postings are traversed in blocks; the other terms, and the contributio
 are probed only for candidates whose partial score plus remaining bound still competes. Results of
 shards are merged by query.
 
-Shards hold at most ``SHARD`` vectors and query blocks at most ``BLOCK`` queries, dealt by a hash of
-id and row; each shard meets each query block once over an equi-join of small keys. Vectors that are
-null, empty or hold null or non-finite components take no part; shorter vectors have zeros at the end.
-Repeated rows are candidates of their own, except for a query's own id.
+Queries go through in blocks of about ``BLOCK``, whose rows travel with the tasks; vectors stay where they
+are: each Arrow batch of a written partition is a shard, which meets all queries of the block. A first job
+over one sample shard gives each query a threshold (its k-th best score there, a lower bound of the final
+one), so that every shard prunes from its first vector on. Only the k best of a shard are shuffled.
+
+Vectors that are null, empty or hold null or non-finite components take no part; shorter vectors have
+zeros at the end. Repeated rows are candidates of their own; a query's own id, however often it occurs, is
+none. Each query row is ranked by itself, also where ids repeat. Scores are exact 64-bit integers: components
+of 2^62 or more, and vectors whose products could pass that range, raise an error instead of wrapping.
 """
 
 from __future__ import annotations
@@ -21,19 +26,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Written, table
 
-SHARD, BLOCK, STEP = 8192, 1024, 2048
+#: Vectors of the sample shard, queries of a block, vectors that a shard scores at a time.
+SHARD, BLOCK, STEP = 8192, 4096, 2048
 
 
 def quantised(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", scale: float = 256.0) -> DataFrame:
     """(vec_id, v): floor(scale * x) of each component; unusable vectors are left out."""
     x = F.col(f"`{vector}`")
     fit = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < float("inf")))
-    return vectors.where(fit & F.col(f"`{vec_id}`").isNotNull()).select(F.col(f"`{vec_id}`").alias("vec_id"), F.transform(x, lambda c: F.floor(c.cast("double") * scale)).alias("v"))
+    return vectors.where(fit & F.col(f"`{vec_id}`").isNotNull()).select(F.col(f"`{vec_id}`").alias("vec_id"), F.transform(x, lambda c: _in_range(c.cast("double") * scale)).alias("v"))
+
+
+def _in_range(x: Column) -> Column:
+    return F.when(F.abs(x) < float(1 << 62), F.floor(x)).otherwise(F.raise_error(F.lit("component beyond 2^62 after scaling")).cast("long"))
 
 
 def matrix(rows: list) -> np.ndarray:
@@ -52,14 +62,15 @@ class Shard:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.columns = ids[order], np.ascontiguousarray(vectors[order].T)
-        top = 1 << 24  # float32 holds products and sums of small integers exactly; else use 64-bit integers
         self.high, self.low = self.columns.max(axis=1), -self.columns.min(axis=1)
-        self.narrow = int(np.abs(self.columns).max(initial=0)) < top
+        self.most = max(map(abs, (int(self.columns.max(initial=0)), int(self.columns.min(initial=0)))))
 
-    def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(scores, ids) of the k best, by score, then smaller id."""
+    def search(self, query: np.ndarray, own: int, k: int, floor: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(scores, ids) of the k best, by score, then smaller id; ``floor``: scores below it aren't asked for."""
         d = min(len(query), len(self.columns))
         q = query[:d]
+        if d * self.most * max(abs(int(q.max(initial=0))), abs(int(q.min(initial=0)))) >= 1 << 63:
+            raise OverflowError("inner products beyond 64-bit integers")
         bound = np.maximum(0, np.where(q > 0, self.high[:d] * q, self.low[:d] * -q))
         terms = np.argsort(-bound, kind="stable")
         terms = terms[q[terms] != 0]
@@ -69,7 +80,9 @@ class Shard:
             ids = self.ids[a : a + STEP]
             at = np.flatnonzero(ids != own)
             full = len(best_s) >= k
-            theta = best_s[-1] if full else None
+            theta = int(best_s[-1]) if full else None
+            if floor is not None and (theta is None or floor - 1 > theta):  # scores equal to the floor are asked for
+                full, theta = True, floor - 1
             # essential terms: those before the first place from which the rest can't reach the threshold
             essential = int(np.searchsorted(-rest, -theta, side="right")) if full and theta > 0 else len(terms)
             essential = min(essential, len(terms))
@@ -100,37 +113,44 @@ class Shard:
         return best_s, best_i
 
 
-def _packed(rows: DataFrame, name: str, parts: int) -> DataFrame:
-    """(name, rows): vectors gathered into parts by a hash of their place in the written table, so that repeated rows spread as well."""
-    dealt = rows.withColumn(name, F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(parts)).cast("int"))
-    return dealt.groupBy(name).agg(F.collect_list(F.struct("vec_id", "v")).alias(name + "_rows"))
+def _scan(vectors: DataFrame, queries: list[tuple[int, int, np.ndarray]], k: int, floors: dict[int, int]) -> DataFrame:
+    """(_q, query_id, vec_id, score): the k best of each Arrow batch of ``vectors`` for each query (number, id, vector)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            shard = Shard(batch["vec_id"].to_numpy(np.int64), matrix(list(batch["v"])))
+            found = []
+            for n, own, v in queries:
+                s, i = shard.search(v, own, k, floors.get(n))
+                found.append((np.full(len(s), n), np.full(len(s), own), i, s))
+            yield pd.DataFrame(dict(zip(("_q", "query_id", "vec_id", "score"), (np.concatenate(x) for x in zip(*found, strict=True)), strict=True)))
+
+    return vectors.select("vec_id", "v").mapInPandas(run, "_q bigint, query_id bigint, vec_id bigint, score bigint")
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("_q").orderBy(F.col("score").desc(), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best of ``vectors`` for each row of ``queries``, both (vec_id, v)."""
     kept = Written(vectors.sparkSession, "topk")
-    vectors, queries = kept.put(vectors), kept.put(queries)
-    shards = _packed(vectors, "s", max(1, -(-vectors.count() // shard)))
-    n_blocks = max(1, -(-queries.count() // block))
-    blocks = _packed(queries, "b", n_blocks)
-    meets = shards.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(blocks, "b")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for s_rows, b_rows in zip(batch["s_rows"], batch["b_rows"], strict=True):
-                one = Shard(np.array([r["vec_id"] for r in s_rows], dtype=np.int64), matrix([r["v"] for r in s_rows]))
-                found = []
-                for r in b_rows:
-                    s, i = one.search(np.asarray(r["v"], dtype=np.int64), r["vec_id"], k)
-                    found.append((np.full(len(s), r["vec_id"]), i, s))
-                q, i, s = (np.concatenate(x) for x in zip(*found, strict=True))
-                yield pd.DataFrame({"query_id": q, "vec_id": i, "score": s})
-
-    # one pair of blocks a batch: the rows of a batch would all be in memory at once
-    found = meets.select("s_rows", "b_rows").repartition(max(1, min(4096, n_blocks * max(1, -(-vectors.count() // shard))))).mapInPandas(run, "query_id bigint, vec_id bigint, score bigint")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    vectors, queries = kept.put(vectors), kept.put(queries.withColumn("_q", F.monotonically_increasing_id()))
+    parts = -(-vectors.count() // shard)
+    blocks = -(-queries.count() // block)
+    sample = vectors.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(max(1, parts))) == 0)
+    out = None
+    for b in range(max(1, blocks)):
+        rows = queries.where(F.pmod(F.xxhash64("_q"), F.lit(max(1, blocks))) == b).collect()  # about ``block`` rows
+        asked = [(r["_q"], r["vec_id"], np.asarray(r["v"], np.int64)) for r in rows]
+        # k rows a query; for all vectors in one shard there is nothing to gain
+        floors = {r["_q"]: r["score"] for r in _best(_scan(sample, asked, k, {}), k).where(F.col("rank") == k).collect()} if parts > 1 else {}
+        found = _scan(vectors, asked, k, floors)
+        out = found if out is None else out.unionByName(found)
+    return _best(out, k).select("query_id", "rank", "vec_id", "score")
 
 
 def op5_topk_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
