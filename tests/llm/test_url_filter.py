@@ -20,8 +20,8 @@ def test_parts_and_rules(spark):
         ("x://a://b/c", "a:", "//b/c", None, "allow"),
     ]
     df = spark.createDataFrame([(i, r[0], "x", "y") for i, r in enumerate(rows)], "page_id long, url string, host string, verdict string")
-    listed = F.arrays_overlap(F.split("key", r"\."), F.array(F.lit("spam-farm")))
-    for limit in (U.MAX_BYTES, 0):  # by the cascade, and by the join beyond its bound
+    listed = spark.createDataFrame([("spam-farm.example.org",), ("spam-farm.example.org",), (None,), ("www.example.com",), ("not.seen",)], "host string")
+    for limit in (U.MAX_BYTES, 1):  # one part, and several
         got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in U.judge(df, listed, max_bytes=limit).collect()}
         assert got == {i: r[1:] for i, r in enumerate(rows)}
     assert U.judge(df.where("false"), listed).count() == 0
@@ -32,3 +32,12 @@ def test_cascade_is_exact_on_its_universe(spark):
     c = U.build_cascade(keys, Written(spark, "test"))
     assert len(c.levels) > 1
     assert keys.where(c.contains(F.col("key")) != F.col("listed")).count() == 0
+
+
+def test_many_parts_equal_one(spark):
+    """A list unrelated to the pages' planted hosts, larger than a part may be: the same verdicts by several cascades."""
+    pages = spark.range(2000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h"), F.col("id") % 700, F.lit(".test/x")).alias("url"))
+    listed = spark.range(0, 900, 3).select(F.concat(F.lit("h"), "id", F.lit(".test")).alias("host"))
+    want = {(i, "block" if i % 700 % 3 == 0 else "allow") for i in range(2000)}
+    for limit in (U.MAX_BYTES, 100):
+        assert {(r.page_id, r.verdict) for r in U.judge(pages, listed, max_bytes=limit).collect()} == want

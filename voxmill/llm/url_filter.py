@@ -5,8 +5,10 @@ pass are encoded in turn, over the complete universe of the corpus's hosts, unti
 wrongly; for every key of the universe the first level that it fails then tells its kind exactly. The
 levels are binary literals in a plain expression, so pages are judged without a join or a shuffle.
 
-Their size is checked first: beyond ``MAX_BYTES`` hosts are judged by an equi-join with the distinct
-listed hosts instead, with the same result. Everything is DataFrame functions.
+Literals must stay small, so hosts are dealt by a hash into as many parts as keep each part's cascade near
+``max_bytes``: each part has a cascade of its own, which judges the pages of its hosts in a pass of its own.
+One list of a few million hosts is one part. The blocklist is a table of hosts, of any size; hosts in it that no
+page has do no harm. Everything is DataFrame functions.
 
 Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; path: from there up
 to ``?``, ``#`` or the end. A null url, or one without ``://``, has both empty, fits no rule and is
@@ -24,9 +26,7 @@ from .common import Written, table
 
 #: (verdict, host, path prefix); a rule fits its host and all subdomains, the longest that fits wins.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-#: A host is listed if one of its labels is among these.
-LISTED_LABELS = ("ads-track", "free-bets", "cheap-pills", "spam-farm", "casino-win", "adult-x")
-#: Bits for each key and hashes: of the first level, of the others. Bytes of all levels together that may travel with a task.
+#: Bits for each key and hashes: of the first level, of the others. Bytes near which a part's levels stay.
 FIRST, LATER, MAX_BYTES = (10, 5), (5, 3), 4 << 20
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -82,59 +82,72 @@ class Cascade:
         return sum(len(b) for b, _, _ in self.levels)
 
 
-def build_cascade(keys: DataFrame, kept: Written, max_bytes: int = MAX_BYTES) -> Cascade | None:
-    """From (key, listed), one row for each key of the universe; None if the levels would outgrow ``max_bytes``."""
-    put = lambda df: kept.put(df)
+def build_cascade(keys: DataFrame, kept: Written) -> Cascade:
+    """From (key, listed), one row for each key of the universe."""
+    written: list[DataFrame] = []
     own, other = keys.where("listed").select("key"), keys.where("not listed").select("key")
     levels: list[tuple[bytes, int, int]] = []
-    left = max_bytes
     while n := own.count():
         per, k = LATER if levels else FIRST
         m = max(64, -(-n * per // 64) * 64)
-        left -= m // 8
-        if left < 0:
-            return None
         at = F.explode(F.array(*(_position(F.col("key"), len(levels), i, m) for i in range(k))))
         words = own.select(at.alias("at")).groupBy(F.floor(F.col("at") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("b"))
         bits = bytearray(m // 8)
-        for w, b in words.collect():  # m / 64 rows at most, of which the size is checked above
+        for w, b in words.collect():  # m / 64 rows at most: the caller's parts keep m small
             bits[w * 8 : w * 8 + 8] = (b % (1 << 64)).to_bytes(8, "little")
         levels.append((bytes(bits), m, k))
         passes = None
         for i in range(k):
             hit = _has(levels[-1][0], _position(F.col("key"), len(levels) - 1, i, m))
             passes = hit if passes is None else passes & hit
-        own, other = put(other.where(passes)), own
+        written.append(kept.put(other.where(passes)))
+        own, other = written[-1], own
+    kept.drop(*written)
     return Cascade(levels)
 
 
-def judge(pages: DataFrame, listed: Column, rules: Iterable[tuple[str, str, str]] = RULES, url: str = "url", max_bytes: int = MAX_BYTES) -> DataFrame:
-    """Add host, path, rule and verdict; ``listed`` is a condition on the column ``key`` (a host) that says what the blocklist holds.
+def _part(key: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit("part"), key), F.lit(parts))
+
+
+def judge(pages: DataFrame, blocklist: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, url: str = "url", max_bytes: int = MAX_BYTES) -> DataFrame:
+    """Add host, path, rule and verdict; ``blocklist`` has the listed hosts (host; null and repeated rows do no harm).
 
     Columns of ``pages`` with these names are replaced.
     """
     made = ("host", "path", "rule", "verdict")
     host, path = host_and_path(F.col(f"`{url}`"))
-    rows = pages.select(*(F.col(f"`{c}`") for c in pages.columns if c not in made), host.alias("host"), path.alias("path"))
+    rows = pages.select(*(F.col(f"`{c}`") for c in pages.columns if c not in made), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"))
     kept = Written(pages.sparkSession, "urls")
-    keys = kept.put(rows.select(F.col("host").alias("key")).distinct().withColumn("listed", F.coalesce(listed, F.lit(False))))
-    cascade = build_cascade(keys, kept, max_bytes)
-    if cascade is not None:
-        hit = cascade.contains(F.col("host"))
-    else:
-        bad = keys.where("listed").select(F.col("key").alias("_vm_key"))
-        rows = rows.join(bad, rows["host"] == bad["_vm_key"], "left")
-        hit = F.col("_vm_key").isNotNull()
+    bad = blocklist.select(F.col("host").alias("key"), F.lit(True).alias("listed")).where("key is not null").distinct()
+    keys = kept.put(rows.select(F.col("host").alias("key")).distinct().join(bad, "key", "left").select("key", F.coalesce("listed", F.lit(False)).alias("listed")))
+    n = keys.agg(F.count_if("listed").alias("own"), F.count("*").alias("all")).first()
+    # bits: the listed, then of the others about one in a hundred passes the first level
+    bits = FIRST[0] * n["own"] + LATER[0] * (n["all"] - n["own"]) // 50
+    parts = max(1, -(-bits // (8 * max(1, max_bytes))))
     rows = rows.withColumn("_vm_rule", rule_for(F.col("host"), F.col("path"), rules))
-    verdict = F.coalesce(F.col("_vm_rule.verdict"), F.when(hit, F.lit("block")).otherwise(F.lit("allow")))
-    return rows.withColumn("rule", F.col("_vm_rule.rule")).withColumn("verdict", verdict).drop("_vm_rule", "_vm_key")
+    out = None
+    for p in range(parts):
+        hit = build_cascade(keys.where(_part(F.col("key"), parts) == p) if parts > 1 else keys, kept).contains(F.col("host"))
+        verdict = F.coalesce(F.col("_vm_rule.verdict"), F.when(hit, F.lit("block")).otherwise(F.lit("allow")))
+        own = rows.where(_part(F.col("host"), parts) == p) if parts > 1 else rows
+        own = own.withColumn("rule", F.col("_vm_rule.rule")).withColumn("verdict", verdict).drop("_vm_rule")
+        out = own if out is None else out.unionByName(own)
+    kept.drop(keys)
+    return out
+
+
+def sample_blocklist(pages: DataFrame) -> DataFrame:
+    """A stand-in for an external list in the registered query: each sixteenth host of the corpus (by its md5), and hosts that no page has."""
+    host, _ = host_and_path(F.col("url"))
+    seen = pages.select(host.alias("host")).distinct().where("substring(md5(host), 1, 1) = '0'")
+    return seen.unionByName(pages.sparkSession.range(1000).select(F.concat(F.lit("never-seen-"), F.col("id").cast("string"), F.lit(".invalid")).alias("host")))
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's URL."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    listed = F.arrays_overlap(F.split("key", r"\."), F.array(*map(F.lit, LISTED_LABELS)))
-    return judge(pages, listed).select("page_id", "host", "path", "rule", "verdict")
+    return judge(pages, sample_blocklist(pages)).select("page_id", "host", "path", "rule", "verdict")
 
 
 OP7_SQL = r"""
@@ -151,7 +164,7 @@ m as (select *, case
     when (host = 'com' or host like '%.com') and path like '/%' then 'com/' end as rule from r)
 select page_id, host, path, rule,
        case when rule in ('com/', 'www.example.com/en/') then 'allow' when rule is not null then 'block'
-            when list_has_any(string_split(host, '.'), ['ads-track', 'free-bets', 'cheap-pills', 'spam-farm', 'casino-win', 'adult-x']) then 'block'
+            when md5(host)[1:1] = '0' then 'block'
             else 'allow' end as verdict
 from m
 """
