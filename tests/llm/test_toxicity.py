@@ -1,8 +1,10 @@
 """The model's gradient steps, its bounds and held-out quality."""
 
+import math
 import zlib
 
 import numpy as np
+import pytest
 
 from voxmill.llm import toxicity as X
 
@@ -50,3 +52,36 @@ def test_rows_of_any_kind(spark):
     got = X.score(docs, model).orderBy("doc_id").collect()
     assert len(got) == 43 and abs(got[0].score - got[-1].score) < 1e-12
     assert X.score(docs.limit(0), X.fit(docs.limit(0), labels.limit(0))).count() == 0
+
+
+def plain_ftrl(rows, epochs, alpha, beta, l1, l2):
+    """One coordinate after another, in dictionaries."""
+    z, n, zb, nb, rate = {}, {}, 0.0, 0.0, sum(y for _, y in rows) / len(rows)
+    bias0 = math.log(rate / (1 - rate))
+    weight = lambda i: 0.0 if abs(z.get(i, 0.0)) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+    bias = bias0
+    for _ in range(epochs):
+        for at, y in rows:
+            bias = bias0 - zb / ((beta + math.sqrt(nb)) / alpha)
+            w = {i: weight(i) for i in at.tolist()}
+            g = 1 / (1 + math.exp(-(bias + sum(w.values())))) - y
+            for i in w:
+                before = n.get(i, 0.0)
+                n[i] = before + g * g
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(n[i]) - math.sqrt(before)) / alpha * w[i]
+            before, nb = nb, nb + g * g
+            zb += g - (math.sqrt(nb) - math.sqrt(before)) / alpha * (bias - bias0)
+    return {i: weight(i) for i in z if weight(i)}, bias
+
+
+def test_equals_plain_ftrl():
+    r = np.random.default_rng(2)
+    rows = [(np.unique(np.append(r.integers(0, 300, 15), 301 if y else 302)), int(y)) for y in r.integers(0, 2, 150)]
+    m = X.fit_ftrl(rows, bits=10, epochs=2, l1=0.5)
+    want, bias = plain_ftrl(rows, 2, X.ALPHA, X.BETA, 0.5, X.L2)
+    assert dict(zip(m["at"].tolist(), m["w"].tolist(), strict=True)) == pytest.approx(want, abs=1e-5) and m["bias"] == pytest.approx(bias)
+
+
+def test_features_read_for_fitting_are_bounded():
+    few = X._few(np.arange(3 * X.MOST))
+    assert len(few) == X.MOST and (np.diff(few) > 0).all() and (X._few(few) == few).all()

@@ -2,8 +2,9 @@
 
 The features of a text are the distinct hashed words, word stems, bigrams, and pairs one and two words
 apart of its whole length. Training reads a bounded sample of labelled rows (``sample`` rows, least by the
-hash of their id) and updates one coordinate at a time with its own rate; the L1 term leaves few
-weights, which travel to the executors with the task (``weights_bound`` coordinates at the most).
+hash of their id; of each at most ``MOST`` features, least by a hash) in one task, and updates one coordinate
+at a time with its own rate; the L1 term leaves few weights, at most 2^``bits``, which reach the driver and
+travel to the executors with the task. Scores read whole texts and all their features.
 
 Null and empty texts have no features and get the bias's score; without labels of both kinds the
 model is constant (the rate of label 1, or 0).
@@ -13,15 +14,17 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import add_columns, hash_sample, held_out, table
 
-#: log2 of the hashed space; labelled rows read; passes over them; FTRL's alpha, beta, L1, L2.
-DIM_BITS, SAMPLE, EPOCHS, ALPHA, BETA, L1, L2 = 20, 8000, 3, 1.0, 1.0, 8.0, 0.1
+#: log2 of the hashed space; labelled rows read; features read of each; passes over them; FTRL's alpha, beta, L1, L2.
+DIM_BITS, SAMPLE, MOST, EPOCHS, ALPHA, BETA, L1, L2 = 20, 8000, 4096, 3, 1.0, 1.0, 8.0, 0.1
 #: Code points of the stems by which a word also counts: an inflected word shares weights with its kin.
 STEMS = (5, 7)
 _WORDS = re.compile(r"[^\W_]+")
@@ -90,12 +93,29 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int = DI
 
     def make():
         hasher = Hasher(bits)
-        return lambda texts: ([np.unique(hasher.features(t)).astype(np.int32).tobytes() for t in texts],)
+        return lambda texts: ([_few(np.unique(hasher.features(t))).astype(np.int32).tobytes() for t in texts],)
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for b in batches:
+            rows += [(np.frombuffer(f, np.int32), y) for f, y in zip(b.column("_f").to_pylist(), b.column("_y").to_pylist(), strict=True)]
+        m = fit_ftrl(rows, bits)
+        yield pa.RecordBatch.from_arrays([pa.array([m["at"].astype(np.int32).tobytes()]), pa.array([m["w"].tobytes()]), pa.array([m["bias"]], pa.float64())], names=["at", "w", "bias"])
 
     picked = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # at most ``sample`` ids
-    # repeated ids may give more documents than labels: the bound holds for these as well
-    got = add_columns(picked, ["text"], {"_f": "binary"}, make, drop=("text",)).orderBy(F.xxhash64("doc_id"), "doc_id", "_f").limit(sample).toArrow()
-    return fit_ftrl([(np.frombuffer(f, np.int32).astype(np.int64), y) for f, y in zip(got["_f"].to_pylist(), got["_y"].to_pylist(), strict=True)], bits)
+    made = add_columns(picked, ["text"], {"_f": "binary"}, make, drop=("text",))
+    # repeated ids may give more documents than labels: the bound holds for these as well; the sorted rows are one partition, one task trains
+    got = made.orderBy(F.xxhash64("doc_id"), "doc_id", "_f").limit(sample).select("_f", "_y").mapInArrow(train, "at binary, w binary, bias double").first()
+    if got is None:  # nothing to train on
+        return fit_ftrl([], bits)
+    return {"bits": bits, "at": np.frombuffer(got["at"], np.int32).astype(np.int64), "w": np.frombuffer(got["w"], np.float32), "bias": got["bias"]}
+
+
+def _few(found: np.ndarray) -> np.ndarray:
+    """At most MOST of the features, in the same order."""
+    if len(found) <= MOST:
+        return found
+    return found[np.sort(np.argsort((found.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15), kind="stable")[:MOST])]
 
 
 def score(docs: DataFrame, model: dict, text: str = "text", out: str = "score") -> DataFrame:
