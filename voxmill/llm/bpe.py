@@ -1,7 +1,7 @@
 """BPE encoding and decoding by tree concatenation, exact against the ``tokenizers`` library.
 
-Text that the tokenizer's pre-tokenizer doesn't split is cut into halves until the leaves are short;
-the leaves are encoded together, and neighbours are joined bottom-up. At a join a window of tokens on
+Text that the tokenizer's pre-tokenizer doesn't split is cut into halves until the leaves are short; the
+leaves are encoded in one batch call, in parallel threads of the library, and neighbours are joined bottom-up. At a join a window of tokens on
 both sides is encoded anew. When the window's first token is the left side's token at that place and
 its last token is the right side's, both sides agree and the window replaces the seam; else it grows,
 at the most to both whole sides. Agreement is exact, not a guess: a token sequence is the BPE encoding
@@ -42,14 +42,16 @@ def _byte_alphabet() -> list[str]:
     return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
-def _no_suffix(path: str):
-    """The same merges without an end of word: for a piece that ends inside a word."""
+def _bare(path: str, suffix: bool):
+    """A tokenizer of the same merges that takes its input as one word; without ``suffix`` for a piece that ends inside a word."""
     from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    spec["model"]["end_of_word_suffix"] = None
-    return Tokenizer.from_str(json.dumps(spec)).model
+    spec |= {"normalizer": None, "pre_tokenizer": None, "post_processor": None, "decoder": None, "added_tokens": [], "truncation": None, "padding": None}
+    if not suffix:
+        spec["model"]["end_of_word_suffix"] = None
+    return Tokenizer.from_str(json.dumps(spec))
 
 
 class TreeEncoder:
@@ -58,7 +60,8 @@ class TreeEncoder:
     def __init__(self, path: str, leaf_text: int = LEAF_TEXT, leaf_word: int = LEAF_WORD, window: int = WINDOW):
         import os
 
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")  # for batches of leaves; all else is encoded one by one
+        os.environ.setdefault("RAYON_NUM_THREADS", "2")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -66,7 +69,7 @@ class TreeEncoder:
         self.tok.no_truncation()
         self.tok.no_padding()
         self.leaf_text, self.leaf_word, self.window = leaf_text, leaf_word, window
-        self.path, self._inner = path, None
+        self.path, self._whole, self._inner = path, None, None
         self.memo: tuple[dict[str, tuple[int, str, str]], ...] = ({}, {})
         special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.special = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
@@ -79,46 +82,54 @@ class TreeEncoder:
 
     # --- unsplit text -------------------------------------------------------------------------
 
-    def _pieces(self, text: str, last: bool) -> list[tuple[int, int]]:
-        """(id, length in the word's alphabet) of the tokens of ``text``; ``last``: it ends the word."""
-        if last:
-            return [(t.id, t.offsets[1] - t.offsets[0]) for t in self.model.tokenize(text)]
+    def _pieces(self, texts: list[str], last: bool) -> list[list[tuple[int, int]]]:
+        """(id, length in the word's alphabet) of the tokens of each text, encoded in parallel; ``last``: the last one ends the word."""
         if self._inner is None:
-            self._inner = _no_suffix(self.path)
-        return [(t.id, t.offsets[1] - t.offsets[0]) for t in self._inner.tokenize(text)]
+            self._whole, self._inner = _bare(self.path, True), _bare(self.path, False)
+        inner = texts[:-1] if last else texts
+        got = self._inner.encode_batch_fast(inner, add_special_tokens=False) if inner else []
+        if last:
+            got.append(self._whole.encode(texts[-1], add_special_tokens=False))
+        return [[(i, self._width(i)) for i in e.ids] for e in got]
+
+    def _width(self, i: int) -> int:
+        return len(self.tokens[i].removesuffix("</w>")) if i in self.tokens else 1
 
     def encode_word(self, word: str) -> list[int]:
         """Ids of one pre-token (its byte alphabet is ASCII or two-byte code points), by tree concatenation."""
         if len(word) <= self.leaf_word:
             return [t.id for t in self.model.tokenize(word)]
-        raw = len(word.encode()) != len(word)
-        if raw:  # offsets count bytes there: measure tokens by their own strings
-            width = lambda ids: [(i, len(self.tok.id_to_token(i).removesuffix("</w>")) if self.tok.id_to_token(i) else 1) for i in ids]
-            pieces = lambda t, last: width([i for i, _ in self._pieces(t, last)])
-        else:
-            pieces = self._pieces
         n, parts = len(word), 1
         while n / parts > self.leaf_word:
             parts *= 2
         cuts = [n * i // parts for i in range(parts + 1)]
-        level = [(cuts[i], cuts[i + 1], pieces(word[cuts[i] : cuts[i + 1]], i + 1 == parts)) for i in range(parts)]
+        leaves = self._pieces([word[cuts[i] : cuts[i + 1]] for i in range(parts)], True)
+        level = [(cuts[i], cuts[i + 1], leaf) for i, leaf in enumerate(leaves)]
         while len(level) > 1:
-            level = [self._join(word, level[i], level[i + 1], pieces) for i in range(0, len(level), 2)]
+            level = self._join_all(word, [(level[i], level[i + 1]) for i in range(0, len(level), 2)])
         return [i for i, _ in level[0][2]]
 
-    def _join(self, word: str, left, right, pieces):
-        (a, _, x), (_, b, y) = left, right
-        last = b == len(word)
-        k = self.window
-        while True:
-            i, j = max(0, len(x) - k), min(len(y), k)
-            at, to = a + sum(w for _, w in x[:i]), b - sum(w for _, w in y[j:])
-            mid = pieces(word[at:to], last and j == len(y))
-            left_ok = i == 0 or mid[0] == x[i]
-            right_ok = j == len(y) or mid[-1] == y[j - 1]
-            if left_ok and right_ok:
-                return a, b, x[:i] + mid + y[j:]
-            k *= 2
+    def _join_all(self, word: str, pairs):
+        """All joins of a level: the windows of those still open are encoded in one batch, then grow."""
+        done: list = [None] * len(pairs)
+        todo, k = list(range(len(pairs))), self.window
+        while todo:
+            asked = []
+            for p in todo:
+                (a, _, x), (_, b, y) = pairs[p]
+                i, j = max(0, len(x) - k), min(len(y), k)
+                asked.append((i, j, a + sum(w for _, w in x[:i]), b - sum(w for _, w in y[j:])))
+            ends = asked[-1][3] == len(word)  # only the last pair can reach the word's end
+            mids = self._pieces([word[at:to] for _, _, at, to in asked], ends)
+            left = []
+            for p, (i, j, _, _), mid in zip(todo, asked, mids, strict=True):
+                (a, _, x), (_, b, y) = pairs[p]
+                if (i == 0 or mid[0] == x[i]) and (j == len(y) or mid[-1] == y[j - 1]):
+                    done[p] = a, b, x[:i] + mid + y[j:]
+                else:
+                    left.append(p)
+            todo, k = left, 2 * k
+        return done
 
     # --- units and texts ----------------------------------------------------------------------
 
@@ -176,7 +187,7 @@ class TreeEncoder:
         """What ``_known`` gives for each string that the tokenizer encodes by itself, in order."""
         out: list[tuple[int, str, str]] = []
         for segment in self._segments(text or ""):
-            latin = self.latin and not self._outside.search(segment) and "<|" not in segment
+            latin = self.latin and not self._outside.search(segment) and not (self._special_at and self._special_at.search(segment))
             parts = self._latin.findall(segment.lower()) if latin else [u for u in _SPACES.split(segment) if u]
             known, slow = self.memo[latin].get, self._known
             out += [known(u) or slow(u, latin) for u in parts]
