@@ -4,7 +4,9 @@ Texts are read as UTF-8 in segments of ``T`` bytes. A GRU runs over each segment
 backwards; from both states every position gets a probability for each language, and a text's
 probabilities are the mean over all its positions. Gates are piecewise linear (clip(1/2 + a/4)), the
 candidate state is tanh. Training is backpropagation through time with Adam on segments of a bounded
-sample: ``sample`` documents with a language outside the held-out fifth, least by the hash of their id.
+sample: ``sample`` documents of each language outside the held-out fifth, least by the hash of their id, so
+that a rare language is learned as well. Of a long text a piece of WIDE segments from its middle is read for
+training, and PIECES segments of that piece.
 
 Whole texts are predicted. A null text or one without a letter is ``und`` with score 0; so is every
 text if there was nothing to learn from. Ties go to the language that sorts first.
@@ -13,13 +15,13 @@ text if there was nothing to learn from. Ties go to the language that sorts firs
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import add_columns, hash_sample, held_out, table
+from .common import add_columns, held_out, table
 
-#: Bytes of a segment, hidden units a direction, sampled documents, segments of each, training steps, segments a step, segments predicted together.
-T, H, SAMPLE, PIECES, STEPS, BATCH, TOGETHER = 64, 8, 2000, 4, 240, 384, 2048
+#: Bytes of a segment, hidden units a direction, sampled documents of a language, segments of a training piece, of these used, training steps, segments a step, segments predicted together.
+T, H, SAMPLE, WIDE, PIECES, STEPS, BATCH, TOGETHER = 64, 8, 500, 16, 4, 240, 384, 2048
 PAD = 0  # the padding byte keeps the state as it is
 _SHUT = np.float32(-1e4)
 
@@ -206,13 +208,17 @@ def predict(model: dict, texts: list[str | None]) -> tuple[list[str], list[float
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> dict:
-    """Train on at most ``sample`` documents (doc_id, text, lang) outside the held-out fifth; of very long ones a piece of 16 segments from the middle."""
-    known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
-    width = 16 * T
+    """Train on at most ``sample`` documents (doc_id, text, lang) of each language outside the held-out fifth."""
+    known = docs.where(~held_out() & F.col("lang").isNotNull())
+    total = known.groupBy("lang").agg(F.count("*").alias("_total"))  # reads no text
+    h, span = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)), 1 << 40
+    width = WIDE * T
     start = F.greatest(F.lit(1), ((F.length("text") - width) / 2).cast("int"))
-    ids = known.select("doc_id", "lang", F.substring("text", start, F.lit(width)).alias("text"))
-    total = docs.where(~held_out() & F.col("lang").isNotNull()).count()  # reads no text
-    got = hash_sample(ids, sample, "lang", "text", total=total).toArrow()
+    near = known.where("text is not null and text <> ''").select("doc_id", "lang", F.substring("text", start, F.lit(width)).alias("text"), h.alias("_h"))
+    # a threshold a language first: what its window gathers doesn't grow with the input
+    near = near.join(total, "lang").where(F.col("_h") < F.lit((2 * sample + 1000) * span) / F.col("_total"))
+    order = Window.partitionBy("lang").orderBy("_h", "doc_id", "text")
+    got = near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample).orderBy("lang", "_n").select("text", "lang").toArrow()
     return train(got["text"].to_pylist(), got["lang"].to_pylist())
 
 
