@@ -1,17 +1,16 @@
 """Byte-pair encoding of voxel tokens in three dimensions, and its one-dimensional baseline.
 
 Slots (sid, slot, token, x, y, z) carry a token at an anchor; cells (sid, x, y, z, slot) say which slot
-owns a voxel. A pair of touching slots has the key (token a, token b, anchor b - anchor a). Training
-counts keys by joins over cells, takes the most frequent (ties to the smallest key) and merges its
-matches, one job for each rule with the tables written out in between. Whether slots touch follows from
+owns a voxel. A pair of touching slots has the key (token a, token b, anchor b - anchor a). Training finds
+the pairs once by joins over cells; each rule then takes the most frequent key (ties to the smallest), merges
+its matches and renames the merged slots in the table of pairs, so that no rule looks at cells again. The
+tables are written out in between. Whether slots touch follows from
 the key, so encoding needs anchors alone: a sample's voxels are bounded by its grid, and one Arrow task
 replays the rules for each sample.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections import defaultdict
 from dataclasses import asdict, dataclass, field
 
@@ -20,8 +19,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import space
+from ..sources.writers import shared_folder
 
 XYZ = ("x", "y", "z")
+#: Voxels of a sample that one task encodes (a filled grid of 128^3).
+LARGEST = 1 << 21
 
 
 @dataclass
@@ -129,9 +131,9 @@ def matches(slots: DataFrame, a: int, b: int, rel: tuple[int, int, int]) -> Data
     return keyed.groupBy("sid", "lx", "ly", "lz", "run").applyInPandas(walk, met.select("sid", "slot_a", "slot_b").schema)
 
 
-def merge(slots: DataFrame, cells: DataFrame | None, rule: Rule) -> tuple[DataFrame, DataFrame | None]:
-    """Slots (and cells) after the rule: the merged slot keeps a's number and sits at the smaller anchor."""
-    met = matches(slots, rule.a, rule.b, rule.rel)
+def merge(slots: DataFrame, cells: DataFrame | None, rule: Rule, met: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Slots (and cells) after the rule: the merged slot keeps a's number and sits at the smaller anchor. ``met``: its matches, if known."""
+    met = matches(slots, rule.a, rule.b, rule.rel) if met is None else met
     gone = met.select("sid", F.col("slot_b").alias("slot"))
     kept = slots.join(gone, ["sid", "slot"], "left_anti").join(met.select("sid", F.col("slot_a").alias("slot"), F.lit(True).alias("hit")), ["sid", "slot"], "left")
     ox, oy, oz = min((0, 0, 0), tuple(rule.rel))
@@ -143,12 +145,26 @@ def merge(slots: DataFrame, cells: DataFrame | None, rule: Rule) -> tuple[DataFr
     return out, renamed.select("sid", *XYZ, F.coalesce("slot_a", "slot").alias("slot"))
 
 
+def renamed_pairs(pairs: DataFrame, met: DataFrame, rule: Rule) -> DataFrame:
+    """Touching pairs after the rule: both slots of a match become its slot_a, with the new token and an anchor moved by a fixed step."""
+    low = min((0, 0, 0), tuple(rule.rel))
+    back = tuple(o - r for o, r in zip(low, rule.rel, strict=True))
+    side = lambda slot, step: F.struct(F.col(slot).alias("slot"), *(F.lit(v).alias(f"m{c}") for c, v in zip(XYZ, step, strict=True)))
+    moved = met.select("sid", F.col("slot_a").alias("new"), F.explode(F.array(side("slot_a", low), side("slot_b", back))).alias("s")).select("sid", "new", "s.*")
+    out = pairs
+    for s, sign in (("a", -1), ("b", 1)):
+        to = moved.select("sid", F.col("slot").alias(f"slot_{s}"), F.col("new").alias("_new"), *(F.col(f"m{c}").alias(f"_m{c}") for c in XYZ))
+        out = out.join(to, ["sid", f"slot_{s}"], "left")
+        shift = {f"d{c}": (F.col(f"d{c}") + sign * F.coalesce(F.col(f"_m{c}"), F.lit(0))).cast("int") for c in XYZ}
+        out = out.withColumns({s: F.when(F.col("_new").isNotNull(), F.lit(rule.new_id)).otherwise(F.col(s)).cast("long"), f"slot_{s}": F.coalesce("_new", f"slot_{s}"), **shift}).drop("_new", *(f"_m{c}" for c in XYZ))
+    return out.where("slot_a <> slot_b").select(*pairs.columns).distinct()
+
+
 class Cut:
     """Writes tables to the session's shared checkpoint folder so that loops keep short plans."""
 
     def __init__(self, spark: SparkSession):
-        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="voxmill-")
-        self.spark, self.root, self.n = spark, f"{base}/voxmill-bpe3d-{uuid.uuid4().hex}", 0
+        self.spark, self.root, self.n = spark, shared_folder(spark, "bpe3d"), 0
 
     def __call__(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -160,17 +176,24 @@ def train(leaves: DataFrame, base_vocab: int, merges: int, min_freq: int = 2) ->
     """Learn up to ``merges`` rules; stops when no key occurs ``min_freq`` times. Only the best key of each round reaches the driver."""
     cut = Cut(leaves.sparkSession)
     slots = cut(slots_of(leaves))
-    cells = cells_of(slots)
+    pairs = cut(touching(slots, cells_of(slots)))
     rules: list[Rule] = []
     for rank in range(merges):
-        best = best_pair(pair_counts(touching(slots, cells))).collect()
+        best = best_pair(pair_counts(pairs)).collect()
         if not best or best[0]["n"] < min_freq:
             break
         r = best[0]
         rule = Rule(rank, base_vocab + rank, r["a"], r["b"], (r["dx"], r["dy"], r["dz"]))
         rules.append(rule)
-        slots, cells = merge(slots, cells, rule)
-        slots, cells = cut(slots), cut(cells)
+        if rank + 1 == merges:
+            break
+        if rule.a == rule.b:  # overlapping matches: the anchors decide
+            met = cut(matches(slots, rule.a, rule.b, rule.rel))
+        else:  # whether slots touch follows from the key, so its pairs are all matches
+            key = [F.col(c) == v for c, v in zip(("a", "b", "dx", "dy", "dz"), (rule.a, rule.b, *rule.rel), strict=True)]
+            met = cut(pairs.where(key[0] & key[1] & key[2] & key[3] & key[4]).select("sid", "slot_a", "slot_b"))
+        slots = cut(merge(slots, None, rule, met)[0])
+        pairs = cut(renamed_pairs(pairs, met, rule))
     return with_leaves(rules)
 
 
@@ -209,11 +232,16 @@ def encode_sample(points: dict[tuple[int, int, int], int], rules: list[Rule]) ->
 
 
 def encode(leaves: DataFrame, rules: list[Rule]) -> DataFrame:
-    """(sid, x, y, z, token) of the encoded samples, one shuffle by sample. Rules travel with the task: a trained table of fixed length."""
+    """(sid, x, y, z, token) of the encoded samples, one shuffle by sample. Rules travel with the task: a trained table of fixed length.
+
+    A sample's voxels are in one task: more than ``LARGEST`` of them raise an error instead of filling its memory.
+    """
     plain = [Rule(r.rank, r.new_id, r.a, r.b, tuple(r.rel)) for r in rules]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         sid = rows["sid"].iloc[0]
+        if len(rows) > LARGEST:
+            raise ValueError(f"sample {sid} has {len(rows)} voxels, more than {LARGEST}")
         got = encode_sample(dict(zip(zip(rows["x"], rows["y"], rows["z"], strict=True), rows["token"], strict=True)), plain)
         out = sorted(got.items(), key=lambda kv: _key(kv[0]))
         return pd.DataFrame({"sid": sid, "x": [p[0] for p, _ in out], "y": [p[1] for p, _ in out], "z": [p[2] for p, _ in out], "token": [t for _, t in out]})

@@ -30,13 +30,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(sid, x, y, z, tok) on a 32^3 grid, made from lineitem."""
+    """(sid, x, y, z, tok) on 32^3 grids, made from lineitem: a sample for each 4096 order keys, so that samples grow in number and not in size."""
     li = table(spark, sf_dir, "lineitem")
     cell = lambda c: (F.col(c) % 32).cast("int")
-    return li.groupBy(F.col("l_linenumber").alias("sid"), cell("l_orderkey").alias("x"), cell("l_partkey").alias("y"), cell("l_suppkey").alias("z")).agg((F.min("l_quantity").cast("int") % 16).alias("tok"))
+    return li.groupBy((F.floor(F.col("l_orderkey") / 4096) + 1).cast("int").alias("sid"), cell("l_orderkey").alias("x"), cell("l_partkey").alias("y"), cell("l_suppkey").alias("z")).agg((F.min("l_quantity").cast("int") % 16).alias("tok"))
 
 
-V = """v as (select l_linenumber as sid, cast(l_orderkey % 32 as int) as x, cast(l_partkey % 32 as int) as y, cast(l_suppkey % 32 as int) as z,
+V = """v as (select cast(l_orderkey // 4096 + 1 as int) as sid, cast(l_orderkey % 32 as int) as x, cast(l_partkey % 32 as int) as y, cast(l_suppkey % 32 as int) as z,
   cast(min(l_quantity) as int) % 16 as tok from lineitem group by 1, 2, 3, 4)"""
 
 #: Z-order key of (x, y, z) in SQL.

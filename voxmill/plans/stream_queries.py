@@ -10,20 +10,20 @@ from .base import query
 
 @query("select date_trunc('hour', ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
 def stream_tumbling(spark, sf):
-    out = jobs.drain(jobs.tumbling(jobs.event_stream(spark, sf), "1 hour", "2 hours", "event_type"), "tumbling", "complete")
+    out = jobs.drain(jobs.tumbling(jobs.closed(jobs.event_stream(spark, sf), spark, "tumbling"), "1 hour", "2 hours", "event_type"), "tumbling")
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("with e as (select date_trunc('hour', ts) - i * interval 1 hour as start, value from events, range(2) r(i)) select start, count(*) as n, round(sum(value), 4) as total from e group by 1")
 def stream_sliding(spark, sf):
-    out = jobs.drain(jobs.tumbling(jobs.event_stream(spark, sf), "2 hours", "2 hours", slide="1 hour"), "sliding", "complete")
+    out = jobs.drain(jobs.tumbling(jobs.closed(jobs.event_stream(spark, sf), spark, "sliding"), "2 hours", "2 hours", slide="1 hour"), "sliding")
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("total", 4).alias("total"))
 
 
 @query("""with g as (select *, case when ts - lag(ts) over (partition by user_id order by ts) <= interval 30 minute then 0 else 1 end as b from events), s as (select *, sum(b) over (partition by user_id order by ts rows unbounded preceding) as k from g)
 select user_id, min(ts) as start, count(*) as n, round(sum(value), 4) as total from s group by user_id, k""")
 def stream_sessions(spark, sf):
-    out = jobs.drain(jobs.sessions(jobs.event_stream(spark, sf), "30 minutes", "2 hours", "user_id"), "sessions", "complete")
+    out = jobs.drain(jobs.sessions(jobs.closed(jobs.event_stream(spark, sf), spark, "sessions"), "30 minutes", "2 hours", "user_id"), "sessions")
     return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("total", 4).alias("total"))
 
 

@@ -122,10 +122,10 @@ def parent_semi(spark, sf):
     return v.withColumns(cell).join(seeds, ["sid", *cell], "left_semi").select(*v.columns)
 
 
-@query(f"with {V} select * from v where exists (select 1 from v p where p.tok < 8 and p.sid = v.sid % 7 + 1 and p.x = v.x and p.y = v.y and p.z = v.z)")
+@query(f"with {V} select * from v where exists (select 1 from v p where p.tok < 8 and p.sid = v.sid + 1 and p.x = v.x and p.y = v.y and p.z = v.z)")
 def key_semi(spark, sf):
     v = voxels(spark, sf)
-    keys = v.where("tok < 8").select(((F.col("sid") + 5) % 7 + 1).cast("int").alias("sid"), "x", "y", "z")
+    keys = v.where("tok < 8").select((F.col("sid") - 1).cast("int").alias("sid"), "x", "y", "z")
     return v.join(keys, ["sid", "x", "y", "z"], "left_semi")
 
 

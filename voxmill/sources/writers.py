@@ -3,12 +3,25 @@
 from __future__ import annotations
 
 import json
+import re
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
 
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new name in the folder of ``spark.checkpoint.dir``. Only in local mode, where there are no other machines, a temporary one serves if none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="voxmill-")
+    return f"{base}/voxmill-{label}-{uuid.uuid4().hex}"
+
+
 def write_csv(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """CSV with a header; arrays, maps and structs become JSON text."""
     flat = [F.to_json(f.name).alias(f.name) if isinstance(f.dataType, ArrayType | MapType | StructType) else F.col(f.name) for f in rows.schema]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -12,20 +10,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources.readers import parse_log
-
-
-def shared(spark: SparkSession, label: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="voxmill-")
-    return f"{base}/voxmill-{label}-{uuid.uuid4().hex}"
+from ..sources.writers import shared_folder
 
 
 def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
     """Run a stream over what is there and return its result table.
 
-    ``append`` writes a Parquet sink; ``complete`` replaces the table after each batch, so the last one stands.
+    ``append`` writes a Parquet sink: windows behind the watermark are written once and leave the state.
+    ``complete`` replaces the table after each batch, so the last one stands; only for keys of a bounded number.
     """
     spark = stream.sparkSession
-    home = shared(spark, label)
+    home = shared_folder(spark, label)
     out = f"{home}/out"
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True)
     if mode == "append":
@@ -36,6 +31,14 @@ def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def closed(events: DataFrame, spark: SparkSession, label: str, far: str = "2100-01-01 00:00:00") -> DataFrame:
+    """The stream and, after it, one row of null fields at ``far``: the end of a finished input. It moves the watermark past all windows, so that append mode writes every one of them; the row itself stays in the state."""
+    home = shared_folder(spark, f"{label}-end")
+    end = spark.range(1).select(*(F.lit(far).cast("timestamp").alias(f.name) if f.name == "at" else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema))
+    end.write.parquet(home)
+    return events.unionByName(spark.readStream.schema(events.schema).parquet(home))
+
+
 def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 16) -> DataFrame:
     """The events table as a file stream, with event time ``at``."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
@@ -75,9 +78,4 @@ def distinct_so_far(rows: DataFrame, key: str, code: str) -> DataFrame:
     return rows.select(key, code).groupBy(key).applyInPandasWithState(update, out, "codes array<bigint>", "append", GroupStateTimeout.NoTimeout)
 
 
-def reservoir(rows: DataFrame, key: str, value: str, n: int) -> DataFrame:
-    """Complete-mode sample of n rows a key, least by hash: the state is the n best, kept by the aggregate itself."""
-    return rows.groupBy(key).agg(F.slice(F.sort_array(F.collect_set(F.struct(F.md5(F.col(value).cast("string")).alias("h"), F.col(value).alias("v")))), 1, n).alias("kept"))
-
-
 Job = Callable[[SparkSession, str], DataFrame]
