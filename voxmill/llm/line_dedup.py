@@ -143,14 +143,14 @@ def dedup_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     kept = Written(docs.sparkSession, "passages")
     seen = kept.put(windows(named))
     place = F.struct(F.col("k.id").isNull().alias("n"), F.col("k.id").alias("id"), F.col("k.row").alias("row"), "s")
-    again = kept.put(seen.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("h", "first"))
+    again = seen.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("h", "first")
     marks = seen.join(again.hint("merge"), "h").where(F.col("first") != place)
     # lines of each text by the text that has them first and by how far apart the two places are
     first = F.struct(F.col("first.id").alias("id"), F.col("first.row").alias("row"))
     marks = marks.select("k", first.alias("of"), (F.col("first.s") - F.col("s")).alias("d"), "s", "e").groupBy("k", "of", "d").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
     spans = F.flatten(F.transform("spans", lambda x: F.sequence(x["s"], x["e"])))
     marks = kept.put(marks.select("k", "of", "d", F.array_distinct(spans).alias("at")))
-    kept.drop(seen, again)
+    kept.drop(seen)
     sources = marks.select("of", F.explode("at").alias("i"), "d").select("of", (F.col("i") + F.col("d")).alias("i")).distinct().groupBy("of").agg(F.collect_list("i").alias("sources"))
     asked = marks.select("k", F.struct("of", "d", "at").alias("own"), F.lit(None).cast("array<int>").alias("sources"))
     asked = asked.unionByName(sources.select(F.col("of").alias("k"), F.lit(None).cast(asked.schema["own"].dataType).alias("own"), "sources"))
@@ -161,11 +161,11 @@ def dedup_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     source = F.transform(F.coalesce("sources", F.array().cast("array<int>")), lambda j: F.struct(F.col("k").alias("of"), j.alias("j"), F.lit(0).alias("i"), line(j)))
     found = kept.put(found.select("k", F.explode(F.concat(own, source)).alias("c")).select("k", "c.*"))
     kept.drop(marks)
-    sources = kept.put(found.where("i = 0").select("of", "j", "bytes").dropDuplicates(["of", "j"]))  # rows equal in every column give theirs once
+    sources = found.where("i = 0").select("of", "j", "bytes").dropDuplicates(["of", "j"])  # rows equal in every column give theirs once
     match = _same_row("a.of", "b.of") & (F.col("a.j") == F.col("b.j")) & (F.col("a.bytes") == F.col("b.bytes"))
     same = found.where("i > 0").alias("a").join(sources.hint("merge").alias("b"), match)
     gone = kept.put(same.groupBy("a.k").agg(F.collect_set("a.i").alias("gone")))
-    kept.drop(found, sources)
+    kept.drop(found)
     out = named.alias("t").join(gone.hint("merge").alias("g"), _same_row("t.k", "g.k"), "left").select("t.doc", "t.text", F.col("g.gone").alias("gone"))
     out = out.withColumn("_lines", F.when(F.col("gone").isNotNull(), F.split("text", "\n", -1)))
     left = F.transform(F.array_except(F.sequence(F.lit(1), F.size("_lines")), "gone"), lambda i: F.element_at("_lines", i))
