@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import space
+from ..functions import text as T
 from ..sources.writers import shared_folder
 
 XYZ = ("x", "y", "z")
@@ -261,6 +262,29 @@ def decode(encoded: DataFrame, rules: list[Rule], base_vocab: int) -> DataFrame:
     return met.select("sid", *XYZ, F.explode(leaf).alias("l")).select("sid", *((F.col(c) + F.col(f"l.d{c}")).cast("int").alias(c) for c in XYZ), F.col("l.token").alias("token"))
 
 
+def apply_to_texts(rows: DataFrame, column: str, rules: list[Rule], max_id: int) -> DataFrame:
+    """``rows`` with every mesh block in ``column`` replaced by its encoded form.
+
+    Each distinct block is parsed and encoded once; texts are cut at their blocks, the blocks' codes joined by
+    hash and the texts put together again. A block that names mesh tokens but has no valid pair raises; one
+    without tokens stays as it is.
+    """
+    block = r"<mesh_start>.*?<mesh_end>"
+    keyed = rows.withColumn("_row", F.monotonically_increasing_id())
+    keyed = Cut(rows.sparkSession)(keyed.withColumn("_b", F.regexp_extract_all(column, F.lit(f"(?s){block}"), F.lit(0))))
+    each = keyed.select("_row", F.posexplode("_b").alias("_i", "block")).withColumn("h", F.sha2("block", 256))
+    once = each.select("h", "block").dropDuplicates(["h"]).withColumn("p", T.mesh_pairs(F.col("block"), max_id))
+    broken = F.raise_error(F.concat(F.lit("a mesh block has tokens but no valid pairs: "), F.substring("block", 1, 80))).cast("array<struct<morton:bigint,id:bigint>>")
+    pairs = F.when((F.size("p.pairs") == 0) & F.col("block").rlike(r"<mesh_\d+>"), broken).otherwise(F.col("p.pairs"))
+    points = once.select(F.col("h").alias("sid"), F.explode(pairs).alias("q")).select("sid", *(space.morton_axis(F.col("q.morton"), i, 16).alias(c) for i, c in enumerate(XYZ)), F.col("q.id").cast("long").alias("token"))
+    coded = encode(points, rules).groupBy("sid").agg(F.sort_array(F.collect_list(F.struct(space.morton(bits=16).alias("morton"), F.col("token").alias("id")))).alias("pairs"))
+    coded = coded.select(F.col("sid").alias("h"), T.mesh_text(F.col("pairs")).alias("code"))
+    codes = each.join(coded, "h", "left").groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("_i", F.coalesce("code", "block").alias("code")))).alias("_codes"))
+    met = keyed.join(codes, "_row", "left").withColumn("_rest", F.split(column, f"(?s){block}", -1))
+    whole = F.concat(F.get("_rest", F.lit(0)), F.array_join(F.transform("_codes", lambda c: F.concat(c["code"], F.get("_rest", c["_i"] + 1))), ""))
+    return met.withColumn(column, F.when(F.col("_codes").isNull(), F.col(column)).otherwise(whole)).select(*rows.columns)
+
+
 # --- one dimension --------------------------------------------------------------------------------
 
 
@@ -289,6 +313,28 @@ def merge_1d(seq: DataFrame, a: int, b: int, new_id: int) -> DataFrame:
     return out.select("sid", (F.row_number().over(w) - 1).alias("pos"), F.when(F.col("hit"), F.lit(new_id)).otherwise(F.col("token")).cast("long").alias("token"))
 
 
+def merge_1d_traced(seq: DataFrame, a: int, b: int, new_id: int) -> tuple[DataFrame, DataFrame]:
+    """``merge_1d`` over (sid, pos, token, cells) that joins the footprints, and (sid, pos, l1) of each merge: the least city-block distance between its two sides. Footprints hold at most 2^rules cells."""
+    w = Window.partitionBy("sid").orderBy("pos")
+    hit = F.coalesce((F.col("token") == a) & (F.lead("token").over(w) == b), F.lit(False))
+    out = seq.withColumns({"hit": hit, "i": F.row_number().over(w), "nc": F.lead("cells").over(w)})
+    if a == b:
+        out = out.withColumn("run", F.col("i") - F.row_number().over(Window.partitionBy("sid", "hit").orderBy("pos")))
+        nth = F.row_number().over(Window.partitionBy("sid", "hit", "run").orderBy("pos"))
+        out = out.withColumn("hit", F.col("hit") & (nth % 2 == 1)).drop("run")
+    out = out.withColumn("eaten", F.coalesce(F.lag("hit").over(w), F.lit(False))).where("not eaten")
+    d = lambda p, q: F.abs(p["x"] - q["x"]) + F.abs(p["y"] - q["y"]) + F.abs(p["z"] - q["z"])
+    dist = out.where("hit").select("sid", "pos", F.array_min(F.transform("cells", lambda p: F.array_min(F.transform("nc", lambda q: d(p, q))))).alias("l1"))
+    merged = out.select("sid", (F.row_number().over(w) - 1).cast("long").alias("pos"), F.when(F.col("hit"), F.lit(new_id)).otherwise(F.col("token")).cast("long").alias("token"), F.when(F.col("hit"), F.concat("cells", "nc")).otherwise(F.col("cells")).alias("cells"))
+    return merged, dist
+
+
+def random_pair_1d(counted: DataFrame, seed: int, step: int, min_freq: int = 2) -> DataFrame:
+    """Control: one of the pairs that occur ``min_freq`` times, by a seeded hash instead of its frequency."""
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(str(step)), "a", "b"))
+    return counted.where(F.col("n") >= min_freq).orderBy(h, "a", "b").limit(1)
+
+
 def train_1d(seq: DataFrame, base_vocab: int, merges: int, min_freq: int = 2) -> tuple[list[tuple[int, int, int]], DataFrame]:
     """Learned (a, b, new id), and the sequences they leave."""
     cut, rules = Cut(seq.sparkSession), []

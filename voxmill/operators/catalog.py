@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.writers import shared_folder
+
 
 def update_merge(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Only known columns of known keys change, and only where the right side isn't null. The right side's rows must be unique by key."""
@@ -77,15 +79,39 @@ def sample_within(rows: DataFrame, group: Sequence[str], n: int, *key: str) -> D
 
 
 def numbered(rows: DataFrame, bucket: Column, *order: str | Column, name: str = "row") -> DataFrame:
-    """Global row numbers (from 0) without a global window: ``bucket`` must rise with the order; counts of buckets in front are added to places inside."""
+    """Global row numbers (from 0) without a global window: ``bucket`` must rise with the order.
+
+    Counts of buckets in front are added to places inside. The buckets themselves are range-partitioned and
+    written, so that their running counts are taken a partition at a time, with the partitions' own sums in front.
+    """
     placed = rows.withColumn("_b", bucket)
-    sizes = placed.groupBy("_b").agg(F.count("*").alias("_n"))
-    ahead = F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("_b", ahead.alias("_ahead"))
+    sizes = placed.groupBy("_b").agg(F.count("*").alias("_n")).repartitionByRange("_b")
+    sizes = _written(sizes.withColumn("_p", F.spark_partition_id()))
+    parts = sizes.groupBy("_p").agg(F.sum("_n").alias("_s"))  # one row a partition
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("_p", before("_s", Window.orderBy("_p")).alias("_far"))
+    near = before("_n", Window.partitionBy("_p").orderBy("_b"))
+    starts = sizes.withColumn("_near", near).join(F.broadcast(parts), "_p").select("_b", (F.col("_far") + F.col("_near")).alias("_ahead"))
     inside = F.row_number().over(Window.partitionBy("_b").orderBy(*order)) - 1
     return placed.withColumn("_i", inside).join(starts, "_b").withColumn(name, (F.col("_ahead") + F.col("_i")).cast("long")).drop("_b", "_i", "_ahead")
 
 
+def _written(rows: DataFrame) -> DataFrame:
+    path = shared_folder(rows.sparkSession, "buckets")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def dealt(rows: DataFrame, ranks: int, mode: str, place: str = "place") -> DataFrame:
+    """Numbered rows in equal shares for ``ranks``: the first rows again behind the last (``pad``), or without the ragged end (``drop``)."""
+    total = F.broadcast(rows.agg(F.count("*").alias("_n")))
+    met = rows.join(total)
+    if mode == "drop":
+        return met.where(F.col(place) < F.col("_n") - F.col("_n") % ranks).drop("_n")
+    again = met.where(F.col(place) < (ranks - F.col("_n") % ranks) % ranks).withColumn(place, F.col(place) + F.col("_n"))
+    return met.unionByName(again).drop("_n")
+
+
 def shard_of(row: Column, total: Column, shards: int) -> Column:
     """Contiguous shards by ceiling division."""
     return F.floor(row / F.ceil(total / shards)).cast("int")
