@@ -96,6 +96,11 @@ def numbered(rows: DataFrame, bucket: Column, *order: str | Column, name: str =
     return placed.withColumn("_i", inside).join(starts, "_b").withColumn(name, (F.col("_ahead") + F.col("_i")).cast("long")).drop("_b", "_i", "_ahead")
 
 
+def differing(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of either table that the other lacks, repeats counted, with the ``side`` that has them; none: the tables are equal as bags."""
+    return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
+
+
 def _written(rows: DataFrame) -> DataFrame:
     path = shared_folder(rows.sparkSession, "buckets")
     rows.write.parquet(path)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stats import quantiles
+
 #: Fixed values of the window table: name, width, level in Hounsfield units.
 WINDOWS = (("lung", 1500, -600), ("bone", 1500, 300), ("soft_tissue", 400, 50), ("brain", 80, 35))
 #: Fixed keyword lists, tried in this order; what fits none is soft tissue.
@@ -46,18 +48,19 @@ def window_file(name: Column, width: Column, level: Column) -> Column:
 
 
 def organ_stats(voxels: DataFrame, *key: str, hu: str = "hu") -> DataFrame:
-    """Count, share of the case, mean, population deviation, extremes and quartiles by organ."""
+    """Count, share of the case, mean, population deviation, extremes and quartiles by organ (keys aren't null)."""
     v = F.col(hu)
-    out = voxels.groupBy(*key).agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("low"), F.max(v).alias("high"), *(F.percentile(v, F.lit(q)).alias(f"p{round(q * 100)}") for q in (0.25, 0.5, 0.75)))
-    return out.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(key[0])))
+    out = voxels.groupBy(*key).agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("low"), F.max(v).alias("high"))
+    out = out.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(key[0])))
+    return out.join(quantiles(voxels, key, hu, {"p25": 0.25, "p50": 0.5, "p75": 0.75}), list(key), "left")
 
 
 def foreground_norm(voxels: DataFrame, case: str, hu: str = "hu") -> DataFrame:
     """By case: quantiles, mean and deviation of the values above the case's mean (all values if none is above)."""
-    mean = voxels.groupBy(case).agg(F.avg(hu).alias("_mean"))
-    above = voxels.join(mean, case).withColumn("_fg", F.when(F.col(hu) > F.col("_mean"), F.col(hu)))
-    pick = lambda f: F.coalesce(f(F.col("_fg")), f(F.col(hu)))
-    return above.groupBy(case).agg(pick(lambda c: F.percentile(c, F.lit(0.0005))).alias("low"), pick(lambda c: F.percentile(c, F.lit(0.9995))).alias("high"), pick(F.avg).alias("mean"), pick(F.stddev_pop).alias("std"))
+    mean = voxels.groupBy(case).agg(F.avg(hu).alias("_mean"), F.max(hu).alias("_top"))
+    above = voxels.join(mean, case).where((F.col(hu) > F.col("_mean")) | (F.col("_top") <= F.col("_mean")))
+    out = above.groupBy(case).agg(F.avg(hu).alias("mean"), F.stddev_pop(hu).alias("std"))
+    return out.join(quantiles(above, [case], hu, {"low": 0.0005, "high": 0.9995}), case)
 
 
 def mask_format(mask: DataFrame, case: str = "case_id") -> DataFrame:

@@ -11,24 +11,51 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def bootstrap_mean(rows: DataFrame, value: str, draws: int = 200, seed: int = 17) -> DataFrame:
-    """Mean with a 95 % interval by the Poisson bootstrap: each row weighs in with a Poisson(1) count for each draw.
+#: Multiplier and modulus of the hash of integer keys (Lehmer), which SQL can repeat.
+LEHMER, PRIME = 48271, 2147483647
 
-    Weights come from hashes of (row hash, draw), so results don't depend on partitions, and partial sums
-    combine before a shuffle of ``draws`` rows.
-    """
-    limits, p, total = [], math.exp(-1), 0.0
+
+def uniform(key: Column, seed: int) -> Column:
+    """A number in [0, 1) from an integer key and a seed, the same on any partitioning."""
+    h = F.pmod(key * 7919 + F.lit(seed) * 104729 + 12345, F.lit(PRIME))
+    for _ in range(3):
+        h = F.pmod(h * LEHMER + 1, F.lit(PRIME))
+    return h / float(PRIME)
+
+
+def poisson_limits() -> list[float]:
+    """Cumulative probabilities of a Poisson(1) count below 8."""
+    out, p, total = [], math.exp(-1), 0.0
     for k in range(8):
         total += p
-        limits.append(total)
+        out.append(total)
         p /= k + 1
-    u = (F.pmod(F.xxhash64(F.lit(seed), "_b", *rows.columns), F.lit(1 << 30)) / float(1 << 30)).cast("double")
-    weight = F.lit(0)
-    for cut in limits:
-        weight = weight + (u > cut).cast("int")
-    drawn = rows.withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("_w", weight)
-    means = drawn.groupBy("_b").agg((F.sum(F.col("_w") * F.col(value)) / F.sum("_w")).alias("m"))
-    ends = means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
+    return out
+
+
+def bootstrap_mean(rows: DataFrame, value: str, key: Column, draws: int = 200, seed: int = 17) -> DataFrame:
+    """Mean with a 95 % interval by the Poisson bootstrap: each row weighs in with a Poisson(1) count for each draw. For paired results, give the differences.
+
+    The counts come from ``uniform`` of (key * 1000 + draw), so results don't depend on partitions. A task folds its
+    rows into ``draws`` partial sums; only these are shuffled.
+    """
+    limits = np.array(poisson_limits())
+
+    def partial(batches):
+        w, wv = np.zeros(draws), np.zeros(draws)
+        for b in batches:
+            k = b["k"].to_numpy(np.int64)[:, None] * 1000 + np.arange(1, draws + 1)
+            h = (k * 7919 + seed * 104729 + 12345) % PRIME
+            for _ in range(3):
+                h = (h * LEHMER + 1) % PRIME
+            count = np.searchsorted(limits, h / float(PRIME), side="left")
+            w += count.sum(axis=0)
+            wv += (count * b["v"].to_numpy(np.float64)[:, None]).sum(axis=0)
+        yield pd.DataFrame({"b": np.arange(1, draws + 1), "w": w, "wv": wv})
+
+    named = rows.select(key.cast("long").alias("k"), F.col(value).cast("double").alias("v"))
+    sums = named.where("v is not null").mapInPandas(partial, "b int, w double, wv double").groupBy("b").agg((F.sum("wv") / F.sum("w")).alias("m"))
+    ends = sums.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
     return rows.agg(F.avg(value).alias("mean")).join(F.broadcast(ends))
 
 
@@ -50,22 +77,31 @@ def sign_test(rows: DataFrame, delta: str) -> DataFrame:
 
 def shuffled(rows: DataFrame, key: Sequence[str], columns: Sequence[str], seed: int) -> DataFrame:
     """Control: ``columns`` dealt anew within each sample, by places in a hash order."""
-    h = lambda s: F.xxhash64(F.lit(seed), F.lit(s), *rows.columns)
+    h = lambda s: F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(str(s)), *(F.col(c).cast("string") for c in rows.columns)))
     a = rows.withColumn("_i", F.row_number().over(Window.partitionBy(*key).orderBy(h(0), *rows.columns)))
     b = rows.withColumn("_i", F.row_number().over(Window.partitionBy(*key).orderBy(h(1), *rows.columns))).select(*key, "_i", *(F.col(c).alias(f"_{c}") for c in columns))
     return a.join(b, [*key, "_i"]).select(*(F.col(f"_{c}").alias(c) if c in columns else F.col(c) for c in rows.columns))
 
 
+def cell_key(bits: int = 10) -> Column:
+    """An integer for each voxel of a sample."""
+    return ((F.col("sid").cast("long") * (1 << bits) + F.col("x")) * (1 << bits) + F.col("y")) * (1 << bits) + F.col("z")
+
+
 def noisy(rows: DataFrame, value: str, vocab: int, rate: float, seed: int) -> DataFrame:
     """Tokens replaced at ``rate`` by others drawn by hash."""
-    u = F.pmod(F.xxhash64(F.lit(seed), *rows.columns), F.lit(1_000_000)) / 1_000_000.0
-    other = F.pmod(F.xxhash64(F.lit(seed + 1), *rows.columns), F.lit(vocab))
-    return rows.withColumn(value, F.when(u < rate, other.cast(rows.schema[value].dataType)).otherwise(F.col(value)))
+    other = F.floor(uniform(cell_key(), seed + 1) * vocab)
+    return rows.withColumn(value, F.when(uniform(cell_key(), seed) < rate, other.cast(rows.schema[value].dataType)).otherwise(F.col(value)))
 
 
 def thinned(rows: DataFrame, rate: float, seed: int) -> DataFrame:
     """Rows dropped at ``rate`` by hash."""
-    return rows.where(F.pmod(F.xxhash64(F.lit(seed), *rows.columns), F.lit(1_000_000)) / 1_000_000.0 >= rate)
+    return rows.where(uniform(cell_key(), seed) >= rate)
+
+
+def permuted(rows: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Axes exchanged: x, y, z get the values of the named columns."""
+    return rows.select(*(F.col(dict(zip("xyz", order, strict=True)).get(c, c)).alias(c) for c in rows.columns))
 
 
 def translated(rows: DataFrame, shift: tuple[int, int, int]) -> DataFrame:

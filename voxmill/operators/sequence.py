@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -26,15 +27,25 @@ def rolling_percentile(rows: DataFrame, key: Sequence[str], order: Sequence[str]
     return rows.withColumn(name, F.when(F.count(value).over(w) >= width, F.percentile(value, F.lit(q)).over(w)))
 
 
-def ema(values: Column, alpha: float) -> Column:
-    """Exponential trend of an ordered array: s = alpha s + (1 - alpha) v, from the first value."""
-    start = F.struct(F.lit(None).cast("double").alias("s"), F.array().cast("array<double>").alias("out"))
+def trend(rows: DataFrame, key: Sequence[str], order: Sequence[str], value: str, alpha: float, name: str = "trend", block: int = 64) -> DataFrame:
+    """Exponential trend s = alpha s + (1 - alpha) v of each key's rows in order, from the first value.
 
-    def step(acc: Column, v: Column) -> Column:
-        s = F.when(acc["s"].isNull(), v).otherwise(acc["s"] * alpha + v * (1 - alpha))
-        return F.struct(s.alias("s"), F.concat(acc["out"], F.array(s)).alias("out"))
-
-    return F.aggregate(values, start, step, lambda acc: acc["out"])
+    Rows are cut into blocks. Inside a block the trend is a weighted running sum; what a block inherits is the
+    weighted sum of the ends of those before, of which only as many count as still reach double precision.
+    """
+    w = Window.partitionBy(*key).orderBy(*order)
+    out = rows.withColumn("_i", F.row_number().over(w) - 1)
+    out = out.withColumns({"_k": F.floor(F.col("_i") / block), "_j": F.col("_i") % block})
+    weighed = F.col(value) * F.when(F.col("_i") == 0, 1.0).otherwise(1 - alpha) * F.pow(F.lit(alpha), -F.col("_j"))
+    inside = F.sum(weighed).over(Window.partitionBy(*key, "_k").orderBy("_j")) * F.pow(F.lit(alpha), F.col("_j"))
+    out = out.withColumn("_in", inside)
+    step = alpha**block
+    reach = 1 if step < 1e-18 else max(1, math.ceil(math.log(1e-18) / math.log(step)))
+    ends = out.where(F.col("_j") == block - 1).select(*key, "_k", F.col("_in").alias("_end"))
+    before = F.collect_list("_end").over(Window.partitionBy(*key).orderBy("_k").rowsBetween(-reach + 1, 0))
+    carried = ends.select(*key, (F.col("_k") + 1).alias("_k"), F.aggregate(before, F.lit(0.0), lambda s, e: s * step + e).alias("_from"))
+    met = out.join(carried, [*key, "_k"], "left")
+    return met.withColumn(name, F.col("_in") + F.coalesce("_from", F.lit(0.0)) * F.pow(F.lit(alpha), F.col("_j") + 1)).drop("_i", "_k", "_j", "_in", "_from")
 
 
 def pair_geometry(rows: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -108,6 +108,29 @@ def additive_nll(test: DataFrame, train: DataFrame, key: Sequence[str], symbol:
     return joined.groupBy(*key).agg((F.sum(-F.col("m") * F.log2(p)) / F.sum("m")).alias("nll"), F.sum("m").alias("tested"))
 
 
-def zipf(counted: DataFrame, symbol: str) -> DataFrame:
-    """Rank and log2 count by falling count; the window runs over distinct symbols only."""
-    return counted.select(symbol, "n", F.row_number().over(Window.orderBy(F.col("n").desc(), symbol)).cast("long").alias("rank"), F.log2(F.col("n").cast("double")).alias("log2_n"))
+def quantiles(rows: DataFrame, key: Sequence[str], value: str, asked: dict[str, float], ranges: int = 1024) -> DataFrame:
+    """Exact quantiles by linear interpolation, one column for each name in ``asked``, without a group's values in one task.
+
+    Distinct values are counted, then counted by ``ranges`` equal ranges between a key's least and largest value;
+    running sums of these say in which ranges the asked places lie, and only those ranges are put in order. Null
+    values are left out; keys must not be null.
+    """
+    keys = list(key) or ["_all"]
+    source = rows if key else rows.withColumn("_all", F.lit(0))
+    n = source.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    ends = n.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    part = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * ranges), F.lit(ranges - 1))).otherwise(F.lit(0))
+    n = n.join(ends, keys).select(*keys, "_v", "_n", part.cast("int").alias("_b"))
+    sizes = n.groupBy(*keys, "_b").agg(F.sum("_n").alias("_s"))
+    run = Window.partitionBy(*keys).orderBy("_b")
+    places = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), F.lit(float(q)).alias("q")) for name, q in asked.items())))
+    sizes = sizes.withColumns({"_upto": F.sum("_s").over(run), "_total": F.sum("_s").over(Window.partitionBy(*keys))}).withColumn("_q", places)
+    sizes = sizes.withColumn("_at", F.col("_q.q") * (F.col("_total") - 1))
+    need = sizes.where((F.col("_upto") > F.floor("_at")) & (F.col("_upto") - F.col("_s") <= F.ceil("_at"))).select(*keys, "_b", (F.col("_upto") - F.col("_s")).alias("_ahead"), F.col("_q.name").alias("_name"), "_at")
+    found = n.join(need.select(*keys, "_b", "_ahead").distinct(), [*keys, "_b"])
+    upto = F.col("_ahead") + F.sum("_n").over(Window.partitionBy(*keys, "_b").orderBy("_v"))
+    met = found.withColumn("_to", upto).join(need.drop("_ahead"), [*keys, "_b"])
+    holds = lambda place: (F.col("_to") - F.col("_n") <= place) & (place < F.col("_to"))
+    ends_of = met.groupBy(*keys, "_name", "_at").agg(F.max(F.when(holds(F.floor("_at")), F.col("_v"))).alias("_low"), F.max(F.when(holds(F.ceil("_at")), F.col("_v"))).alias("_high"))
+    value_at = F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("_at") - F.floor("_at"))
+    return ends_of.groupBy(*keys).agg(*(F.max(F.when(F.col("_name") == name, value_at)).alias(name) for name in asked)).select(*key, *asked)

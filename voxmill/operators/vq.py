@@ -54,3 +54,24 @@ def mean_std(vectors: DataFrame, sample: str, vector: str = "vec") -> DataFrame:
 def overlay(current: DataFrame, pretrained: DataFrame) -> DataFrame:
     """Codewords of the pretrained book where it has the code, else the current ones."""
     return current.join(pretrained.select("code", F.col("vec").alias("pre")), "code", "left").select("code", F.coalesce("pre", "vec").alias("vec"))
+
+
+def kmeans(rows: DataFrame, key: str, vector: str, k: int, rounds: int) -> DataFrame:
+    """(code, n, vector): k centres after Lloyd's rounds, from the k rows least by the hash of their key; an empty centre stays where it is.
+
+    The centres (k, bounded by the codebook) travel with each round's plan; rows are read once a round and
+    only sums are shuffled.
+    """
+    spark = rows.sparkSession
+    first = rows.select(F.md5(F.col(key).cast("string")).alias("h"), key, vector).orderBy("h", key).limit(k).collect()
+    centres, counts = [[float(x) for x in r[vector]] for r in first], [None] * len(first)
+    for _ in range(rounds):
+        if not centres:
+            break
+        dist = F.array(*(F.struct(sum(((F.get(vector, F.lit(j)) - x) * (F.get(vector, F.lit(j)) - x) for j, x in enumerate(c)), F.lit(0.0)).alias("d"), F.lit(i).alias("code")) for i, c in enumerate(centres)))
+        near = rows.select(F.array_min(dist)["code"].alias("code"), vector)
+        got = near.groupBy("code").agg(F.count("*").alias("n"), F.array(*(F.avg(F.get(vector, F.lit(j))) for j in range(len(centres[0])))).alias("m")).collect()
+        counts = [None] * len(centres)
+        for r in got:
+            centres[r["code"]], counts[r["code"]] = list(r["m"]), r["n"]
+    return spark.createDataFrame([(i, n, c) for i, (c, n) in enumerate(zip(centres, counts, strict=True))], f"code int, n bigint, {vector} array<double>")

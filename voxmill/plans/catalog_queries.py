@@ -22,11 +22,14 @@ def left_results(spark, sf):
     return table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left").select("doc_id", "lang", "quality", "toxic")
 
 
-@query("select d.doc_id, p.page_id from (select doc_id, doc_id % 100 as k from documents) d join (select page_id, page_id % 100 as k from pages where page_id < 100) p on d.k = p.k")
+@query(r"""with p as (select page_id, lower(regexp_replace(regexp_replace(trim(url), '^.*://', ''), '[?#].*$', '')) as k from pages), m as (select k, min(page_id) as first, count(*) as copies from p group by k)
+select p.page_id, m.first, m.copies from p join m on p.k = m.k""")
 def inner_paths(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 100).alias("k"))
-    p = table(spark, sf, "pages").where("page_id < 100").select("page_id", (F.col("page_id") % 100).alias("k"))
-    return d.join(p, "k").select("doc_id", "page_id")
+    """All paths with the catalog entry of their normalised id (address without scheme, query and fragment, in lower case)."""
+    k = F.lower(F.regexp_replace(F.regexp_replace(F.trim("url"), "^.*://", ""), "[?#].*$", ""))
+    p = table(spark, sf, "pages").select("page_id", k.alias("k"))
+    m = p.groupBy("k").agg(F.min("page_id").alias("first"), F.count("*").alias("copies"))
+    return p.join(m, "k").select("page_id", "first", "copies")
 
 
 @query("""with m as (select distinct url, regexp_replace(trim(url), '^.*/', '') as k from pages)
@@ -111,11 +114,15 @@ def except_ids(spark, sf):
     return table(spark, sf, "documents").select("doc_id").subtract(table(spark, sf, "labels").select("doc_id"))
 
 
-@query("select count(*) as differing from ((select doc_id, lang from documents except all select doc_id, lang from documents) union all (select doc_id, lang from documents except all select doc_id, lang from documents))")
+CHANGED = "c as (select doc_id, case when doc_id % 7 = 0 then 'xx' else lang end as lang from documents where doc_id % 50 <> 3)"
+
+
+@query(f"with {CHANGED} select side, count(*) as n from (select 'left' as side, * from (select doc_id, lang from documents except all select * from c) union all select 'right', * from (select * from c except all select doc_id, lang from documents)) group by 1")
 def set_equality(spark, sf):
+    """Rows that only one of two tables has, here of the documents and a changed copy."""
     a = table(spark, sf, "documents").select("doc_id", "lang")
-    b = a.repartition("lang")
-    return a.exceptAll(b).unionAll(b.exceptAll(a)).agg(F.count("*").alias("differing"))
+    b = a.where("doc_id % 50 <> 3").withColumn("lang", F.when(F.col("doc_id") % 7 == 0, "xx").otherwise(F.col("lang")))
+    return catalog.differing(a, b).groupBy("side").agg(F.count("*").alias("n"))
 
 
 @query("with n as (select o_orderkey, row_number() over (order by o_orderkey) - 1 as row, count(*) over () as total from orders) select o_orderkey, row, (row // ceil(total / 7.0)::bigint)::int as shard, floor(((row + 1) * 7 - 1) / total)::int as even_shard from n")
@@ -166,13 +173,6 @@ def validity_issues(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.explode(found).alias("issue"))
 
 
-@query("select coalesce(a.k, b.k) as k, a.n as left_n, b.n as right_n, (a.n is distinct from b.n) as mismatch from (select doc_id % 50 as k, count(*) as n from documents group by 1) a full join (select doc_id % 50 as k, count(*) as n from labels group by 1) b on a.k = b.k")
-def positional_zip_check(spark, sf):
-    side = lambda t, n: table(spark, sf, t).groupBy((F.col("doc_id") % 50).alias("k")).agg(F.count("*").alias(n))
-    both = side("documents", "left_n").join(side("labels", "right_n"), "k", "full")
-    return both.withColumn("mismatch", ~F.col("left_n").eqNullSafe(F.col("right_n")))
-
-
 @query("select source, list_aggregate(list(doc_id order by md5(doc_id::varchar), doc_id)[1:5], 'min') as low, count(*) as n from documents group by source")
 def reservoir(spark, sf):
     """Five rows of each source by hash order, as a bounded sample that any partitioning reproduces."""

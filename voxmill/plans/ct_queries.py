@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import ct
+from ..operators import ct, stats
 from ..sources.readers import parse_log
 from .base import V, query, table, voxels
 
@@ -105,8 +105,10 @@ def log_rows(spark, sf):
 @query(f"with {LOG} select count(*) as n, round(min(ratio), 6) as low, round(max(ratio), 6) as high, round(avg(ratio), 6) as mean, round(stddev_pop(ratio), 6) as std, round(quantile_cont(ratio, 0.25), 6) as p25, round(quantile_cont(ratio, 0.5), 6) as p50, round(quantile_cont(ratio, 0.99), 6) as p99 from l")
 def summary_quantiles(spark, sf):
     r = F.col("oor_ratio")
-    q = lambda p: F.round(F.percentile(r, F.lit(p)), 6)
-    return log_rows(spark, sf).agg(F.count("*").alias("n"), F.round(F.min(r), 6).alias("low"), F.round(F.max(r), 6).alias("high"), F.round(F.avg(r), 6).alias("mean"), F.round(F.stddev_pop(r), 6).alias("std"), q(0.25).alias("p25"), q(0.5).alias("p50"), q(0.99).alias("p99"))
+    rows = log_rows(spark, sf)
+    all_of = rows.agg(F.count("*").alias("n"), F.round(F.min(r), 6).alias("low"), F.round(F.max(r), 6).alias("high"), F.round(F.avg(r), 6).alias("mean"), F.round(F.stddev_pop(r), 6).alias("std"))
+    q = stats.quantiles(rows, [], "oor_ratio", {"p25": 0.25, "p50": 0.5, "p99": 0.99})
+    return all_of.join(F.broadcast(q.select(*(F.round(c, 6).alias(c) for c in q.columns))))
 
 
 @query(f"with {LOG} select step, round(max(ratio), 6) as high, round(min(ratio), 6) as low, round(avg(ratio), 6) as mean from l group by step")

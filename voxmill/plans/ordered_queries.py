@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import sequence
-from .base import query, table, voxels
+from .base import V, query, table, voxels
+from .layout_queries import fps_sql
 
 
 def events(spark, sf):
@@ -36,21 +37,24 @@ def linear_fit(spark, sf):
 r as (select u, d, i, value as s from n where i = 1 union all select n.u, n.d, n.i, 0.9 * r.s + 0.1 * n.value from r join n on n.u = r.u and n.d = r.d and n.i = r.i + 1)
 select u, d::varchar as day, count(*)::int as n, round(arg_max(s, i), 6) as last from r group by 1, 2""")
 def ema_trend(spark, sf):
-    """Trend within a day: the arrays stay bounded by what one key gets in a day."""
-    e = events(spark, sf).groupBy((F.col("user_id") % 20).alias("u"), F.to_date("ts").cast("string").alias("day")).agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "value"))).alias("r"))
-    s = e.withColumn("s", sequence.ema(F.transform("r", lambda t: t["value"]), 0.9))
-    return s.select("u", "day", F.size("s").alias("n"), F.round(F.element_at("s", -1), 6).alias("last"))
+    """The last value of each day's trend; windows carry it in blocks, so no key's rows are gathered in one array."""
+    e = events(spark, sf).select((F.col("user_id") % 20).alias("u"), F.to_date("ts").cast("string").alias("day"), "ts", "event_id", "value")
+    s = sequence.trend(e, ["u", "day"], ["ts", "event_id"], "value", 0.9)
+    return s.groupBy("u", "day").agg(F.count("*").cast("int").alias("n"), F.round(F.max_by("trend", F.struct("ts", "event_id")), 6).alias("last"))
 
 
-@query()
+@query(f"with {V}, {fps_sql('sid', 16, 'v')} " + " union all ".join(f"select sid, x, y, z, {k}::bigint as nth from f{k}" for k in range(16)))
 def farthest_points(spark, sf):
     return sequence.farthest_points(voxels(spark, sf), ["sid"], 16).select("sid", "x", "y", "z", "nth")
 
 
-@query()
+@query("""with recursive l as (select o_custkey % 64 as k, round(sum(o_totalprice), 2) as n from orders group by 1), o as (select k, n, row_number() over (order by n desc, k) as i from l),
+g as (select 0::bigint as i, null::bigint as k, 0 as grp, [0.0, 0.0, 0.0, 0.0, 0.0]::double[] as t union all
+select o.i, o.k, (list_position(g.t, list_min(g.t)) - 1)::int, list_transform(range(5), lambda j: case when j = list_position(g.t, list_min(g.t)) - 1 then g.t[j + 1] + o.n else g.t[j + 1] end) from g join o on o.i = g.i + 1)
+select k, grp::bigint as grp from g where k is not null""")
 def lpt_groups(spark, sf):
     """Sources (a bounded list of shards) grouped by load."""
-    loads = [(int(r["k"]), float(r["n"])) for r in table(spark, sf, "orders").groupBy((F.col("o_custkey") % 64).alias("k")).agg(F.sum("o_totalprice").alias("n")).collect()]
+    loads = [(int(r["k"]), float(r["n"])) for r in table(spark, sf, "orders").groupBy((F.col("o_custkey") % 64).alias("k")).agg(F.round(F.sum("o_totalprice"), 2).alias("n")).collect()]
     return spark.createDataFrame(sequence.balanced_groups(loads, 5), "k bigint, grp bigint")
 
 

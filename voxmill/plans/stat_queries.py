@@ -236,41 +236,107 @@ def held_out_nll(spark, sf):
 
 @query(f"with {W}, c as (select w, count(*) as n from w group by 1) select w, n, row_number() over (order by n desc, w) as rank, round(log2(n), 6) as log2_n from c")
 def zipf(spark, sf):
-    """Ranks over all distinct words without a global window: buckets of equal counts carry the offset."""
+    """Ranks over all distinct words without a global window: buckets of equal counts and first letters carry the offset."""
     n = words(spark, sf).groupBy("w").agg(F.count("*").alias("n"))
     from ..operators import catalog
 
-    out = catalog.numbered(n.withColumn("neg", -F.col("n")), F.col("neg"), "w", name="rank")
+    out = catalog.numbered(n, F.struct((-F.col("n")).alias("neg"), F.substring("w", 1, 3).alias("head")), "w", name="rank")
     return out.select("w", "n", (F.col("rank") + 1).alias("rank"), F.round(F.log2(F.col("n").cast("double")), 6).alias("log2_n"))
 
 
-@query()
+def uniform_sql(key: str, seed: int) -> str:
+    h = f"((({key}) * 7919 + {seed * 104729 + 12345}) % 2147483647)"
+    for _ in range(3):
+        h = f"(({h} * 48271 + 1) % 2147483647)"
+    return f"({h} / 2147483647.0::double)"
+
+
+def bootstrap_sql(rows: str, draws: int = 200) -> str:
+    """Mean and interval of ``rows`` (k, v)."""
+    limits = "[" + ", ".join(f"{x!r}::double" for x in experiments.poisson_limits()) + "]"
+    return f"""w as (select b, v, len(list_filter({limits}, lambda t: t < {uniform_sql('k * 1000 + b', 17)})) as w from {rows}, range(1, {draws + 1}) r(b)), m as (select b, sum(w * v) / sum(w) as m from w group by 1)
+select round((select avg(v) from {rows}), 6) as mean, round(quantile_cont(m, 0.025), 6) as low, round(quantile_cont(m, 0.975), 6) as high from m"""
+
+
+@query(f"with {V}, q as (select sid * 32 + x as k, count(distinct tok) / count(*) as v from v group by sid, x), {bootstrap_sql('q')}")
 def bootstrap_ratio(spark, sf):
     n = voxels(spark, sf).groupBy("sid", "x").agg((F.countDistinct("tok") / F.count("*")).alias("ratio"))
-    return experiments.bootstrap_mean(n, "ratio").select(r6("mean"), r6("low"), r6("high"))
+    return experiments.bootstrap_mean(n, "ratio", F.col("sid") * 32 + F.col("x")).select(r6("mean"), r6("low"), r6("high"))
+
 
+@query(f"with {V}, q as (select sid * 32 + x as k, avg(tok) filter (where y < 16) - avg(tok) filter (where y >= 16) as v from v group by sid, x having count(*) filter (where y < 16) > 0 and count(*) filter (where y >= 16) > 0), {bootstrap_sql('q')}")
+def paired_bootstrap(spark, sf):
+    """Interval of the mean difference between the two halves of each slice."""
+    half = lambda t: F.avg(F.when(t, F.col("tok")))
+    d = voxels(spark, sf).groupBy("sid", "x").agg((half(F.col("y") < 16) - half(F.col("y") >= 16)).alias("delta")).where("delta is not null")
+    return experiments.bootstrap_mean(d, "delta", F.col("sid") * 32 + F.col("x")).select(r6("mean"), r6("low"), r6("high"))
 
-@query()
+
+@query(f"""with {V}, d as (select sid, x, avg(tok) - 7.5 as d from v group by 1, 2), n as (select count(*) filter (where d > 0) as positive, count(*) filter (where d < 0) as negative from d), t as (select *, (positive + negative)::double as n from n)
+select positive, negative, case when n = 0 then 1.0 else least(1.0, 2 * (select sum(exp(lgamma(n + 1) - lgamma(i + 1.0) - lgamma(n - i + 1) - n * ln(2.0))) from range((select least(positive, negative) + 1 from n)) r(i))) end as p from t""")
 def sign_test(spark, sf):
     n = voxels(spark, sf).groupBy("sid", "x").agg((F.avg("tok") - 7.5).alias("delta"))
     return experiments.sign_test(n, "delta")
 
 
-@query(f"with {V}, c as (select sid, tok, count(*)::double as n from v group by 1, 2) {h_sql('c', 'sid')}")
+def _shuffle_sql(columns: str, kept: str) -> str:
+    h = lambda s: f"row_number() over (partition by sid order by md5(concat_ws('|', '5', '{s}', sid, x, y, z, tok)), sid, x, y, z, tok)"
+    return f"a as (select *, {h(0)} as i from v), b as (select *, {h(1)} as i from v), sh as (select a.sid, {kept}, {columns} from a join b on a.sid = b.sid and a.i = b.i)"
+
+
+PAIR_H = "pr as (select a.sid, a.tok as s, b.tok as t, count(*)::double as n from sh a cross join (values (1, 0, 0), (0, 1, 0), (0, 0, 1)) o(dx, dy, dz) join sh b on a.sid = b.sid and a.x + dx = b.x and a.y + dy = b.y and a.z + dz = b.z group by 1, 2, 3)"
+
+
+@query(f"with {V}, {_shuffle_sql('b.tok', 'a.x, a.y, a.z')}, {PAIR_H} {h_sql('pr', 'sid')}")
 def control_token_shuffle(spark, sf):
-    """Shuffling tokens within samples leaves the unigram entropy as it is."""
+    """Control: entropy of face pairs after the tokens of each sample are dealt anew."""
     mixed = experiments.shuffled(voxels(spark, sf), ["sid"], ["tok"], 5)
-    return stats.entropy(mixed, ["sid"], "tok").select("sid", r6("entropy"))
+    return stats.entropy(voxel.neighbours(mixed), ["sid"], "tok", "other").select("sid", r6("entropy"))
+
+
+@query(f"with {V}, {_shuffle_sql('b.x, b.y, b.z', 'a.tok')}, {PAIR_H} {h_sql('pr', 'sid')}")
+def control_coord_shuffle(spark, sf):
+    """Control: the same after the places of each sample are dealt anew."""
+    mixed = experiments.shuffled(voxels(spark, sf), ["sid"], ["x", "y", "z"], 5)
+    return stats.entropy(voxel.neighbours(mixed), ["sid"], "tok", "other").select("sid", r6("entropy"))
+
+
+CELL = "((sid::bigint * 1024 + x) * 1024 + y) * 1024 + z"
+TRANSFORMS = {
+    "none": "select sid, x, y, z, tok from v",
+    "noise": f"select sid, x, y, z, case when {uniform_sql(CELL, 3)} < 0.05 then floor({uniform_sql(CELL, 4)} * 16)::int else tok end as tok from v",
+    "drop": f"select sid, x, y, z, tok from v where {uniform_sql(CELL, 3)} >= 0.05",
+    "translate": "select sid, x + 3 as x, y + 1 as y, z + 2 as z, tok from v",
+    "permute": "select sid, z as x, x as y, y as z, tok from v",
+    "first_half": "select sid, x, y, z, tok from v where x % 2 = 0",
+    "second_half": "select sid, x, y, z, tok from v where x % 2 = 1",
+}
 
 
-@query()
+def _robust_sql(name: str) -> str:
+    return f"""select '{name}' as transform, a.sid, a.entropy as h1, b.entropy as h_pair from ({h_sql(f"(select sid, tok, count(*)::double as n from t_{name} group by 1, 2)", 'sid')}) a join ({h_sql(f"(select a.sid, a.tok as s, b.tok as t, count(*)::double as n from t_{name} a cross join (values (1, 0, 0), (0, 1, 0), (0, 0, 1)) o(dx, dy, dz) join t_{name} b on a.sid = b.sid and a.x + dx = b.x and a.y + dy = b.y and a.z + dz = b.z group by 1, 2, 3)", 'sid')}) b on a.sid = b.sid"""
+
+
+@query(f"with {V}, " + ", ".join(f"t_{n} as ({q})" for n, q in TRANSFORMS.items()) + " " + " union all ".join(map(_robust_sql, TRANSFORMS)))
 def robustness(spark, sf):
-    """Unigram and face-pair entropies under token noise and dropped voxels."""
+    """Unigram and face-pair entropies under token noise, dropped voxels, moves, exchanged axes, and in split halves."""
     v = voxels(spark, sf)
+    forms = {"none": v, "noise": experiments.noisy(v, "tok", 16, 0.05, 3), "drop": experiments.thinned(v, 0.05, 3), "translate": experiments.translated(v, (3, 1, 2)), "permute": experiments.permuted(v, "zxy"), "first_half": v.where("x % 2 = 0"), "second_half": v.where("x % 2 = 1")}
     out = None
-    for name, rows in (("none", v), ("noise", experiments.noisy(v, "tok", 16, 0.05, 3)), ("drop", experiments.thinned(v, 0.05, 3)), ("translate", experiments.translated(v, (3, 1, 2)))):
+    for name, rows in forms.items():
         h = stats.entropy(rows, ["sid"], "tok", name="h1")
         pairs = stats.entropy(voxel.neighbours(rows), ["sid"], "tok", "other", name="h_pair")
         part = h.join(pairs, "sid").select(F.lit(name).alias("transform"), "sid", r6("h1"), r6("h_pair"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+@query(f"""with {V}, n as (select sid, count(*) as n, count(distinct tok) / count(*)::double as r from v group by 1), c as (select quantile_cont(n, 1 / 3.0) as a, quantile_cont(n, 2 / 3.0) as b from n),
+g as (select case when n <= a then 'low' when n <= b then 'mid' else 'high' end as stratum, (sid % 2)::int as half, n, r from n, c) select stratum, half, count(*) as samples, round(avg(r), 6) as mean, round(coalesce(stddev_samp(r), 0), 6) as std, sum(n)::bigint as voxels from g group by 1, 2""")
+def stability_panel(spark, sf):
+    """A ratio's mean and deviation by size stratum and split half: whether it holds across both."""
+    n = voxels(spark, sf).groupBy("sid").agg(F.count("*").alias("n"), (F.countDistinct("tok") / F.count("*")).alias("r"))
+    cuts = stats.quantiles(n, [], "n", {"a": 1 / 3, "b": 2 / 3})
+    stratum = F.when(F.col("n") <= F.col("a"), "low").when(F.col("n") <= F.col("b"), "mid").otherwise("high")
+    g = n.join(F.broadcast(cuts)).groupBy(stratum.alias("stratum"), (F.col("sid") % 2).alias("half"))
+    return g.agg(F.count("*").alias("samples"), F.round(F.avg("r"), 6).alias("mean"), F.round(F.coalesce(F.stddev_samp("r"), F.lit(0.0)), 6).alias("std"), F.sum("n").alias("voxels"))

@@ -39,11 +39,56 @@ def packed_lex_rank(spark, sf):
     return voxel.ranked(coded, F.col("code")).select("sid", "x", "y", "z", "code", "rank")
 
 
-@query()
+def hilbert_sql(rows: str, bits: int = 5, coords: tuple[str, str, str] = ("x", "y", "z"), tag: str = "h") -> str:
+    """Relations of the Hilbert key by Skilling's transpose of (a, b, c): <tag>_code adds the column code to ``rows``."""
+    out, at = [f"{tag}0 as (select *, {', '.join(f'{c}::bigint as {n}' for n, c in zip('abc', coords, strict=True))} from {rows})"], 0
+    for i in range(bits - 1, 0, -1):
+        for n in "abc":
+            q, p = 1 << i, (1 << i) - 1
+            on = f"{n} & {q} <> 0"
+            t = f"(xor(a, {n}) & {p})"
+            new = {"a": f"case when {on} then xor(a, {p}) else {'a' if n == 'a' else f'xor(a, {t})'} end"}
+            if n != "a":
+                new[n] = f"case when {on} then {n} else xor({n}, {t}) end"
+            out.append(f"{tag}{at + 1} as (select * exclude ({', '.join(new)}), {', '.join(f'{e} as {c}' for c, e in new.items())} from {tag}{at})")
+            at += 1
+    out.append(f"{tag}g as (select * exclude (b, c), xor(a, b) as b, xor(c, xor(a, b)) as c from {tag}{at})")
+    fold = "0"
+    for i in range(bits - 1, 0, -1):
+        fold = f"case when c & {1 << i} <> 0 then xor({fold}, {(1 << i) - 1}) else {fold} end" if i == bits - 1 else f"xor({fold}, case when c & {1 << i} <> 0 then {(1 << i) - 1} else 0 end)"
+    out.append(f"{tag}t as (select * exclude (a, b, c), xor(a, t) as a, xor(b, t) as b, xor(c, t) as c from (select *, {fold} as t from {tag}g))")
+    code = " | ".join(f"((({n} >> {i}) & 1) << {3 * i + 2 - k})" for i in range(bits) for k, n in enumerate("abc"))
+    return ", ".join(out) + f", {tag}_code as (select * exclude (a, b, c, t), ({code})::bigint as code from {tag}t)"
+
+
+@query(f"with {V}, {hilbert_sql('v')} select sid, x, y, z, code, row_number() over (partition by sid order by code, x, y, z) - 1 as rank from h_code")
 def hilbert_rank(spark, sf):
     return voxel.ranked(voxels(spark, sf).withColumn("code", space.hilbert()), F.col("code")).select("sid", "x", "y", "z", "code", "rank")
 
 
+def _rank(name: str, order: str) -> str:
+    return f"row_number() over (partition by sid order by {order}, x, y, z) - 1 as {name}"
+
+
+TRANSPOSED = MORTON.replace("(x::", "(_::").replace("(y::", "(x::").replace("(_::", "(y::")
+
+
+@query(f"""with {V}, g as (select *, max(x) over (partition by sid) as mx, max(y) over (partition by sid) as my, max(z) over (partition by sid) as mz from v), e as (select sid, x, y, z, tok, (x * 255 // (greatest(mx, my, mz) + 1))::int as ex, (y * 255 // (greatest(mx, my, mz) + 1))::int as ey, (z * 255 // (greatest(mx, my, mz) + 1))::int as ez from g),
+{hilbert_sql('e', 8, ('ex', 'ey', 'ez'), 'w')}, {hilbert_sql('v', 5, ('y', 'x', 'z'), 'u')}
+select w.sid, w.x, w.y, w.z, {_rank('generic', MORTON).replace('(x::', '(w.x::').replace('(y::', '(w.y::').replace('(z::', '(w.z::').replace('sid', 'w.sid').replace(', x, y, z)', ', w.x, w.y, w.z)')}, row_number() over (partition by w.sid order by {TRANSPOSED.replace('(x::', '(w.x::').replace('(y::', '(w.y::').replace('(z::', '(w.z::')}, w.x, w.y, w.z) - 1 as transposed,
+row_number() over (partition by w.sid order by w.code, w.x, w.y, w.z) - 1 as hilbert_scaled, row_number() over (partition by w.sid order by u.code, w.x, w.y, w.z) - 1 as hilbert_transposed, row_number() over (partition by w.sid order by w.z, w.y, w.x) - 1 as zyx
+from w_code w join u_code u on w.sid = u.sid and w.x = u.x and w.y = u.y and w.z = u.z""")
+def order_ranks(spark, sf):
+    """Places under the other orders: Z-order of more bits than needed, Z-order and Hilbert with x and y exchanged, Hilbert on coordinates scaled to eight bits, z-y-x."""
+    v = voxels(spark, sf)
+    top = v.groupBy("sid").agg((F.greatest(F.max("x"), F.max("y"), F.max("z")) + 1).alias("top"))
+    v = v.join(top, "sid").withColumns({f"e{c}": F.floor(F.col(c) * 255 / F.col("top")).cast("int") for c in "xyz"})
+    orders = {"generic": space.morton(bits=10), "transposed": space.morton("y", "x", "z"), "hilbert_scaled": space.hilbert("ex", "ey", "ez", bits=8), "hilbert_transposed": space.hilbert("y", "x", "z"), "zyx": space.raster((32, 32, 32), "z", "y", "x")}
+    for name, code in orders.items():
+        v = voxel.ranked(v, code, name)
+    return v.select("sid", "x", "y", "z", *orders)
+
+
 @query(f"with {V} select sid, ((((x + 2) // 8) * 8 + ((y + 2) // 8)) * 8 + ((z + 2) // 8))::bigint as win, count(*) as n, sum(tok)::bigint as s from v group by 1, 2")
 def window_partition(spark, sf):
     v = voxels(spark, sf).withColumn("win", space.window_id((2, 2, 2), (8, 8, 8), 8))
