@@ -216,7 +216,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> dict:
     start = F.greatest(F.lit(1), ((F.length("text") - width) / 2).cast("int"))
     near = known.where("text is not null and text <> ''").select("doc_id", "lang", F.substring("text", start, F.lit(width)).alias("text"), h.alias("_h"))
     # a threshold a language first: what its window gathers doesn't grow with the input
-    near = near.join(total, "lang").where(F.col("_h") < F.lit((2 * sample + 1000) * span) / F.col("_total"))
+    # one row a language, as many as the model has classes: broadcast, so that rows are filtered where they are read
+    near = near.join(F.broadcast(total), "lang").where(F.col("_h") < F.lit((2 * sample + 1000) * span) / F.col("_total"))
     order = Window.partitionBy("lang").orderBy("_h", "doc_id", "text")
     got = near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample).orderBy("lang", "_n").select("text", "lang").toArrow()
     return train(got["text"].to_pylist(), got["lang"].to_pylist())
