@@ -31,6 +31,30 @@ def test_shard_search_is_exact(kind):
         assert [(int(x), int(y)) for x, y in zip(a, b, strict=True)] == brute(ids, m, q, ids[i], 5)
 
 
+@pytest.mark.parametrize("kind", ["dense", "sparse", "ties", "negative", "skew", "wide"])
+@pytest.mark.parametrize("floor", [False, True])
+def test_block_search_is_exact(kind, floor):
+    r = np.random.default_rng(4)
+    n, d = 5000, 24
+    m = np.rint(r.normal(0, 40, (n, d))).astype(np.int64)
+    if kind == "sparse":
+        m[r.random((n, d)) < 0.9] = 0
+    if kind == "ties":
+        m = r.integers(-1, 2, (n, d))
+    if kind == "skew":
+        m = (m * np.logspace(0, -2, d)).astype(np.int64)
+    if kind == "wide":
+        m *= 1 << 20  # beyond what doubles hold exactly
+    ids = r.permutation(n).astype(np.int64)
+    q = np.abs(m[:60]) if kind == "negative" else m[:60]
+    m = -np.abs(m) if kind == "negative" else m
+    want = [brute(ids, m, q[i], ids[i], 5) for i in range(60)]
+    floors = np.array([w[-1][0] - (i % 2) if floor else -(1 << 62) for i, w in enumerate(want)], np.int64)
+    row, score, found = T.Shard(ids, m).search_block(q, ids[:60], 5, floors)
+    for i in range(60):
+        assert [(int(a), int(b)) for a, b in zip(score[row == i], found[row == i], strict=True)] == want[i]
+
+
 def test_search_edge_cases(spark):
     rows = [(0, [1.0, 2.0], 1), (50, [0.5, 0.1], 2), (1, None, 3), (2, [], 4), (3, [float("nan"), 1.0], 5), (4, [None, 1.0], 6), (5, [1.0, 2.0], 7), (6, [float("inf"), 1.0], 8), (100, [0.0, 0.0], 9), (7, [3.0], 10), (5, [1.0, 2.0], 7)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int")

@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import Written, table
 
-#: Vectors of the sample shard, queries of a block, vectors that a shard scores at a time.
-SHARD, BLOCK, STEP = 8192, 4096, 2048
+#: Vectors of the sample shard, queries of a block, vectors that a shard scores at a time, and queries with them.
+SHARD, BLOCK, STEP, TOGETHER = 8192, 4096, 2048, 256
 
 
 def quantised(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", scale: float = 256.0) -> DataFrame:
@@ -113,19 +113,72 @@ class Shard:
         return best_s, best_i
 
 
+    def search_block(self, queries: np.ndarray, owns: np.ndarray, k: int, floors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query row, score, id) of the k best for each row of ``queries``; ``floors``: scores below aren't asked for (-2^62: none).
+
+        As ``search``, for all queries together: terms come in one order for the block, by the sum of their bounds,
+        and eight at a time; partial scores of essential terms are a matrix product (in doubles, where these are
+        exact), and once few pairs still compete only those go on.
+        """
+        d = min(queries.shape[1], len(self.columns))
+        q = queries[:, :d]
+        if d * self.most * int(np.abs(q).max(initial=0)) >= 1 << 53:
+            found = [self.search(row, int(own), k, int(f) if f > -(1 << 62) else None) for row, own, f in zip(queries, owns, floors, strict=True)]
+            return np.repeat(np.arange(len(found)), [len(s) for s, _ in found]), *(np.concatenate(x) for x in zip(*found, strict=True))
+        bound = np.maximum(0, np.where(q > 0, self.high[:d] * q, -self.low[:d] * q))
+        order = np.argsort(-bound.sum(axis=0), kind="stable")
+        rest = np.concatenate([np.cumsum(bound[:, order][:, ::-1], axis=1)[:, ::-1], np.zeros((len(q), 1))], axis=1)
+        qf = q[:, order].astype(np.float64)
+        theta = floors.astype(np.float64) - 1
+        best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))
+        for a in range(0, len(self.ids), STEP):
+            ids = self.ids[a : a + STEP]
+            v = self.columns[order, a : a + STEP].astype(np.float64)
+            partial, i, live = np.zeros((len(q), len(ids))), 0, None
+            while i < d:
+                j = min(d, i + 8)
+                partial += qf[:, i:j] @ v[i:j]
+                i = j
+                live = partial + rest[:, i, None] > theta[:, None]
+                if live.mean() < 0.1:
+                    break
+            live = np.ones(partial.shape, bool) if live is None else live
+            row, col = np.nonzero(live)
+            keep = ids[col] != owns[row]
+            row, col = row[keep], col[keep]
+            score = partial[row, col]
+            while i < d and len(row):
+                j = min(d, i + 8)
+                score = score + np.einsum("nd,dn->n", qf[row, i:j], v[i:j, col])
+                i = j
+                keep = score + rest[row, i] > theta[row]
+                row, col, score = row[keep], col[keep], score[keep]
+            best = tuple(np.concatenate(x) for x in zip(best, (row, np.rint(score).astype(np.int64), ids[col]), strict=True))
+            place = np.lexsort((best[2], -best[1], best[0]))
+            best = tuple(x[place] for x in best)
+            begins = np.searchsorted(best[0], best[0])
+            nth = np.arange(len(begins)) - begins
+            last = nth == k - 1
+            theta[best[0][last]] = np.maximum(theta[best[0][last]], best[1][last])
+            best = tuple(x[nth < k] for x in best)
+        return best
+
+
 def _scan(vectors: DataFrame, queries: list[tuple[int, int, np.ndarray]], k: int, floors: dict[int, int]) -> DataFrame:
     """(_q, query_id, vec_id, score): the k best of each Arrow batch of ``vectors`` for each query (number, id, vector)."""
 
+    numbers, owns = (np.array([q[i] for q in queries], np.int64) for i in (0, 1))
+    asked = matrix([q[2] for q in queries]) if queries else np.zeros((0, 0), np.int64)
+    least = np.array([floors.get(q[0], -(1 << 62)) for q in queries], np.int64)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if not len(batch):
                 continue
             shard = Shard(batch["vec_id"].to_numpy(np.int64), matrix(list(batch["v"])))
-            found = []
-            for n, own, v in queries:
-                s, i = shard.search(v, own, k, floors.get(n))
-                found.append((np.full(len(s), n), np.full(len(s), own), i, s))
-            yield pd.DataFrame(dict(zip(("_q", "query_id", "vec_id", "score"), (np.concatenate(x) for x in zip(*found, strict=True)), strict=True)))
+            for a in range(0, len(queries), TOGETHER):
+                row, score, found = shard.search_block(asked[a : a + TOGETHER], owns[a : a + TOGETHER], k, least[a : a + TOGETHER])
+                yield pd.DataFrame({"_q": numbers[a + row], "query_id": owns[a + row], "vec_id": found, "score": score})
 
     return vectors.select("vec_id", "v").mapInPandas(run, "_q bigint, query_id bigint, vec_id bigint, score bigint")
 
