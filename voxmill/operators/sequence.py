@@ -111,3 +111,13 @@ def balanced_groups(loads: list[tuple[int, float]], groups: int) -> list[tuple[i
 
 def linear_fit(rows: DataFrame, key: Sequence[str], x: str, y: str) -> DataFrame:
     return rows.groupBy(*key).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))
+
+
+def reduce_leaves(rows: DataFrame, key: Sequence[str], special: dict | None = None) -> DataFrame:
+    """(key, path, value) of flattened records (path, v): the mean of each leaf, or the aggregate that ``special`` names for the last part of its path."""
+    name = F.element_at(F.split("path", r"\."), -1)
+    value = None
+    for leaf, f in (special or {}).items():
+        value = F.when(F.max(name) == leaf, f("v")) if value is None else value.when(F.max(name) == leaf, f("v"))
+    value = F.avg("v") if value is None else value.otherwise(F.avg("v"))
+    return rows.groupBy(*key, "path").agg(value.alias("value"))

@@ -328,3 +328,55 @@ select a, b, n from k order by h, a, b limit 1""")
 def random_pair_1d(spark, sf):
     """Control: the first rule of the baseline drawn at random among all pairs that occur twice, by a seeded hash."""
     return bpe3d.random_pair_1d(bpe3d.pair_counts_1d(sequences(spark, sf)), 5, 0)
+
+
+def trained(spark, sf):
+    """Leaves, rules, encoded samples (written once)."""
+    lv = leaves(spark, sf)
+    rules = bpe3d.train(lv, BASE, MERGES)
+    return lv, rules, bpe3d.Cut(spark)(bpe3d.encode(lv, rules))
+
+
+@query(f"with {TRAINED}, {MOTIFS}, us as (select token, count(*) as n from s{MERGES} where token >= {BASE} group by 1) select size_x, size_y, size_z, count(*) as motifs, sum(n)::bigint as uses, sum(n * cells)::bigint as covered from us join mo on token = new_id group by 1, 2, 3")
+def shape_histogram(spark, sf):
+    """Macros and their uses by the box of their footprint."""
+    _, rules, enc = trained(spark, sf)
+    f = F.broadcast(bpe3d.motif_features(bpe3d.rules_frame(spark, rules)).withColumnRenamed("new_id", "token"))
+    return enc.groupBy("token").agg(F.count("*").alias("n")).join(f, "token").groupBy("size_x", "size_y", "size_z").agg(F.count("*").alias("motifs"), F.sum("n").alias("uses"), F.sum(F.col("n") * F.col("cells")).alias("covered"))
+
+
+@query(f"with {TRAINED}, {MOTIFS}, us as (select token, count(*) as n from s{MERGES} group by 1) select token, n, (n * coalesce(cells, 1))::bigint as leaves, round(n * coalesce(cells, 1) / (select count(*) from s0), 6) as share from us left join mo on token = new_id")
+def motif_coverage(spark, sf):
+    """Share of all leaves that each token of the encoded corpus stands for."""
+    lv, rules, enc = trained(spark, sf)
+    f = F.broadcast(bpe3d.motif_features(bpe3d.rules_frame(spark, rules)).select(F.col("new_id").alias("token"), "cells"))
+    total = F.broadcast(lv.agg(F.count("*").alias("total")))
+    covered = F.col("n") * F.coalesce("cells", F.lit(1))
+    return enc.groupBy("token").agg(F.count("*").alias("n")).join(f, "token", "left").join(total).select("token", "n", covered.alias("leaves"), F.round(covered / F.col("total"), 6).alias("share"))
+
+
+def _metric_sql(k: int) -> str:
+    return f"select {k}::int as k, sum(n)::bigint as tokens, ln(sum(n)) - sum(n * ln(n)) / sum(n) as h from (select token, count(*)::double as n from s{k} group by 1)"
+
+
+@query(f"with {TRAINED}, e as ({_metric_sql(0)} union all {_metric_sql(MERGES)}), z as (select *, tokens / (select tokens from e where k = 0) as ratio, h * tokens / (select tokens from e where k = 0) as per_leaf from e) select k, tokens, round(ratio, 6) as ratio, round(h, 6) as h, round(per_leaf, 6) as per_leaf, round(per_leaf - (select per_leaf from z where k = 0), 6) as delta from z")
+def bpe_metrics(spark, sf):
+    """Compression ratio, entropy and entropy a leaf before and after the rules, with the change."""
+    lv, _, enc = trained(spark, sf)
+    out = None
+    for k, rows in ((0, lv), (MERGES, enc)):
+        c = rows.groupBy("token").agg(F.count("*").cast("double").alias("n"))
+        part = c.agg(F.lit(k).alias("k"), F.sum("n").cast("long").alias("tokens"), (F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")).alias("h"))
+        out = part if out is None else out.unionByName(part)
+    first = F.broadcast(out.where("k = 0").select(F.col("tokens").alias("leaves"), F.col("h").alias("h0")))
+    per = F.col("h") * F.col("tokens") / F.col("leaves")
+    return out.join(first).select("k", "tokens", F.round(F.col("tokens") / F.col("leaves"), 6).alias("ratio"), F.round("h", 6).alias("h"), F.round(per, 6).alias("per_leaf"), F.round(per - F.col("h0"), 6).alias("delta"))
+
+
+@query(f"with {TRAINED}, r as (select a.sid, a.n / b.n as r from (select sid, count(*) as n from s0 group by 1) a join (select sid, count(*) as n from s{MERGES} group by 1) b on a.sid = b.sid) select count(*) as samples, round(avg(r), 6) as mean, round(min(r), 6) as low, round(max(r), 6) as high, round(coalesce(stddev_samp(r), 0), 6) as std from r")
+def compression_summary(spark, sf):
+    """Leaves a token over the samples: mean, extremes, deviation."""
+    lv, _, enc = trained(spark, sf)
+    n = lambda rows, name: rows.groupBy("sid").agg(F.count("*").alias(name))
+    r = n(lv, "a").join(n(enc, "b"), "sid").select((F.col("a") / F.col("b")).alias("r"))
+    return r.agg(F.count("*").alias("samples"), F.round(F.avg("r"), 6).alias("mean"), F.round(F.min("r"), 6).alias("low"), F.round(F.max("r"), 6).alias("high"), F.round(F.coalesce(F.stddev_samp("r"), F.lit(0.0)), 6).alias("std"))

@@ -69,3 +69,12 @@ def prefix_offsets(spark, sf):
 @query("select o_orderpriority as k, round(sum(o_totalprice), 2) as total, max(o_totalprice) as high, min(o_totalprice) as low, count(distinct o_orderstatus) as states from orders group by 1")
 def dict_reduce(spark, sf):
     return table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("k")).agg(F.round(F.sum("o_totalprice"), 2).alias("total"), F.max("o_totalprice").alias("high"), F.min("o_totalprice").alias("low"), F.size(F.array_distinct(F.collect_set("o_orderstatus"))).cast("long").alias("states"))
+
+
+@query("""with r as (select o_orderpriority as k, unnest(['loss.price', 'loss.part.key', 'top', 'low']) as path, unnest([o_totalprice, o_custkey::double, o_orderkey::double, o_orderkey::double]) as v from orders)
+select k, path, round(case path when 'top' then max(v) when 'low' then min(v) else avg(v) end, 4) as value from r group by k, path""")
+def nested_reduce(spark, sf):
+    """Nested records of one run reduced leaf by leaf: the mean, or what the leaf's name asks for."""
+    leaves = F.create_map(F.lit("loss.price"), F.col("o_totalprice"), F.lit("loss.part.key"), F.col("o_custkey").cast("double"), F.lit("top"), F.col("o_orderkey").cast("double"), F.lit("low"), F.col("o_orderkey").cast("double"))
+    rows = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("k"), F.explode(leaves).alias("path", "v"))
+    return sequence.reduce_leaves(rows, ["k"], {"top": F.max, "low": F.min}).withColumn("value", F.round("value", 4))

@@ -268,3 +268,12 @@ def bbox_rescale(spark, sf):
     ends = part.agg(F.min("p_retailprice").alias("lo"), F.max("p_retailprice").alias("hi"))
     unit = (F.col("p_retailprice") - F.col("lo")) / (F.col("hi") - F.col("lo"))
     return part.join(F.broadcast(ends)).select("p_partkey", F.round(unit - 0.5, 6).alias("pos"), F.least(F.greatest((unit * 64).cast("int"), F.lit(0)), F.lit(63)).alias("cell"))
+
+
+@query(f"""with {V}, g as (select sid, x, y, z, row_number() over (partition by sid order by x * 1024 + y * 32 + z) - 1 as i from v where (x + y) % 3 <> 0)
+select v.sid, v.x, v.y, v.z, coalesce(g.i, -1) as place from v left join g on v.sid = g.sid and v.x = g.x and v.y = g.y and v.z = g.z""")
+def lookup_places(spark, sf):
+    """Place of each output voxel in its sample's sorted truth keys, -1 where the truth lacks it."""
+    v = voxels(spark, sf)
+    truth = voxel.ranked(v.where("(x + y) % 3 <> 0"), space.raster((32, 32, 32)), "place").select("sid", "x", "y", "z", "place")
+    return v.join(truth, ["sid", "x", "y", "z"], "left").select("sid", "x", "y", "z", F.coalesce("place", F.lit(-1)).cast("long").alias("place"))
