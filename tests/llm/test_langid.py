@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from voxmill.llm import langid as L
 
@@ -52,3 +53,34 @@ def test_held_out_accuracy_and_edges(spark):
     assert {r.doc_id: r.lang_pred for r in L.identify(df, model).collect()} == {1: "aa", 2: "und"}
     assert L.fit(df.selectExpr("doc_id", "text", "cast(null as string) as lang"))["classes"] == []
     assert L.predict({"classes": []}, ["abc"]) == (["und"], [0.0])
+
+
+def test_prediction_equals_plain_loops():
+    """Each position by itself: gates, candidate state, both directions, the mean over all positions of whole texts."""
+    r = np.random.default_rng(3)
+    p = {"classes": ["a", "b", "c"], **L._new(r, 3)}
+    L._shut(p)
+
+    def states(side, raw):
+        h, out = np.zeros(L.H), []
+        for byte in raw:
+            g, a = p["E" + side][:, byte].astype(float), p["U" + side].astype(float) @ h
+            z, u = (np.clip(0.5 + (g[i * L.H : (i + 1) * L.H] + a[i * L.H : (i + 1) * L.H]) / 4, 0, 1) for i in (0, 1))
+            n = np.tanh(g[2 * L.H :] + u * a[2 * L.H :])
+            h = h + z * (n - h)
+            out.append(h)
+        return out
+
+    texts = ["One short text.", "é" * 50 + " and a longer one, of several segments " * 6, "x"]
+    langs, scores = L.predict(p, [*texts, None, "123"])
+    for t, lang, score in zip(texts, langs, scores, strict=False):
+        raw, total, n = t.encode(), np.zeros(3), 0
+        for at in range(0, len(raw), L.T):
+            part = raw[at : at + L.T]
+            for f, b in zip(states("f", part), states("b", part[::-1])[::-1], strict=True):
+                e = p["Wf"].astype(float) @ f + p["Wb"].astype(float) @ b + p["c"][:, 0]
+                e = np.exp(e - e.max())
+                total += e / e.sum()
+                n += 1
+        assert lang == p["classes"][int(np.argmax(total))] and score == pytest.approx(total.max() / n, abs=1e-4)
+    assert langs[3:] == ["und", "und"] and scores[3:] == [0.0, 0.0]

@@ -52,3 +52,42 @@ def test_empty_tables(spark, tmp_path):
     df.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def odd_rows(spark):
+    """Repeated ids with differing and equal texts, null ids, null and empty texts, null sources, extra columns with names that the stages use."""
+    r = [(1, words(1, 80), LANG, "a"), (1, words(2, 80), LANG, "a"), (1, words(1, 80), LANG, "a"), (2, words(3, 90), None, None), (None, words(4, 70), LANG, "b"), (None, words(5, 70), LANG, "b"), (3, None, LANG, "a"), (4, "", LANG, None), (5, words(6, 4), LANG, "b")]
+    rows = [(i, t, g, s, len(t or ""), 7, 0.25, "x", k) for k, (i, t, g, s) in enumerate(r)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, size int, score double, node string, _n int")
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Each stage keeps what its docstring says and the columns as they are."""
+    docs = odd_rows(spark)
+    spark.createDataFrame([(1, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    texts = lambda d: sorted((r.text or "") for r in d.collect())
+    everything = texts(docs)
+    stages = dict(P.STAGES)
+    for name in ("toxicity", "line_dedup", "near_dedup", "mixing"):
+        out = stages[name](spark, docs, str(tmp_path)).cache()
+        assert out.columns == docs.columns, name
+        got = texts(out)
+        if name == "toxicity":
+            assert got == everything
+        elif name == "line_dedup":
+            assert got == sorted([*everything[:2], *(t for t in set(everything) if t)])
+        elif name == "near_dedup":
+            assert got == sorted(set(everything))
+        else:
+            assert set(got) <= set(everything) and all(r.size == 7 and r.node == "x" for r in out.collect())
+    assert stages["bpe"](spark, docs, str(tmp_path)).count() == 9
+
+
+def test_rows_of_one_id_are_told_apart(spark):
+    """Two documents that share an id are no near duplicates of each other; a copy of another document's text goes whatever its id."""
+    from voxmill.llm import simhash
+
+    rows = [(0, words(0, 60)), (1, words(1, 60)), (1, words(0, 60))]
+    docs = spark.createDataFrame([(i, t, LANG, "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for keep in (lambda d: P.drop_near_duplicates(spark, d, ""), simhash.keep_one):
+        assert sorted((r.doc_id, r.text) for r in keep(docs).collect()) == [rows[0], rows[1]]

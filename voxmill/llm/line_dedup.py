@@ -20,6 +20,10 @@ For that each line with a word begins one window (up to the line of the ``LONG``
 ends one (back to the line of the ``LONG``-th word). A repeated run contains the windows that begin or
 end at its lines, these cover it, and they depend on its bytes alone. Each line of a repeated window
 is compared by its bytes with the line of the first such window.
+
+A hash that a large share of the rows has (a licence in every document) meets one row of the other side in
+each sort-merge join; adaptive execution splits its rows over tasks. Texts travel twice: to their own
+candidates, and to what is taken out of them.
 """
 
 from __future__ import annotations
