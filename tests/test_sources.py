@@ -78,3 +78,37 @@ def test_small_operators(spark):
     assert sequence.balanced_groups([(1, 5.0), (2, 4.0), (3, 3.0), (4, 3.0)], 2) == [(1, 0), (2, 1), (3, 1), (4, 0)]
     e = spark.createDataFrame([([1.0, 2.0, 4.0],)], "v array<double>").select(sequence.ema(F.col("v"), 0.5).alias("e")).first().e
     assert e == [1.0, 1.5, 2.75]
+
+
+def test_older_archives_masks_and_time_limits(spark, tmp_path):
+    """A dense grid is read as its band; masks take their shape from the file name; a row that takes too long is an error."""
+    import time
+
+    import numpy as np
+
+    from voxmill.sources import readers
+
+    grid = np.ones((4, 4, 4), np.float32)
+    grid[1, 2, 3] = -0.5
+    (tmp_path / "npz").mkdir()
+    np.savez(tmp_path / "npz" / "old.npz", sdf=grid)
+    np.savez(tmp_path / "npz" / "new.npz", sparse_index=np.array([[0, 1, 9]]), sparse_sdf=np.array([0.25]), resolution=np.array([8]))
+    got = {r.path.rsplit("/", 1)[-1]: r for r in readers.read_voxel_archives(spark, str(tmp_path / "npz")).collect()}
+    assert (got["old.npz"].x, got["old.npz"].y, got["old.npz"].z, got["old.npz"].sdf, got["old.npz"].edge) == (1, 2, 3, -0.5, False)
+    assert "beyond the resolution" in got["new.npz"].error
+    mask = np.zeros((2, 3, 4, 5))
+    mask[1, 2, 3, 4] = 7
+    flat = mask.reshape(2, -1)
+    (tmp_path / "masks").mkdir()
+    cols = np.nonzero(flat[1])[0]
+    np.savez(tmp_path / "masks" / "mask_(2, 3, 4, 5).npz", indptr=np.array([0, 0, 1]), indices=cols, data=flat[1][cols])
+    np.savez(tmp_path / "masks" / "mask.npz", indptr=np.array([0]), indices=np.array([]), data=np.array([]))
+    rows = readers.read_csr_masks(spark, str(tmp_path / "masks")).collect()
+    assert sorted((r.channel, r.x, r.y, r.z, r.value) for r in rows if r.error is None) == [(1, 2, 3, 4, 7.0)] and sum(r.error is not None for r in rows) == 1
+
+    def slow(row):
+        time.sleep(3 if row["id"] == 1 else 0)
+        return {"id": row["id"]}
+
+    out = {r.id: r.error for r in readers.foreach_instance(spark.range(3), slow, "id bigint", seconds=1.0).collect()}
+    assert out[0] is None and out[2] is None and "took more than" in out[1]

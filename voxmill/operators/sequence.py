@@ -27,6 +27,12 @@ def rolling_percentile(rows: DataFrame, key: Sequence[str], order: Sequence[str]
     return rows.withColumn(name, F.when(F.count(value).over(w) >= width, F.percentile(value, F.lit(q)).over(w)))
 
 
+def ema(values: Column, alpha: float) -> Column:
+    """Exponential trend of an ordered array of bounded length: s = alpha s + (1 - alpha) v, from the first value. Tables take ``trend``."""
+    step = lambda out, v: F.concat(out, F.array(F.when(F.size(out) == 0, v).otherwise(F.element_at(out, -1) * alpha + v * (1 - alpha))))
+    return F.aggregate(values, F.array().cast("array<double>"), lambda out, v: F.when(F.size(out) == 0, F.array(v)).otherwise(step(out, v)))
+
+
 def trend(rows: DataFrame, key: Sequence[str], order: Sequence[str], value: str, alpha: float, name: str = "trend", block: int = 64) -> DataFrame:
     """Exponential trend s = alpha s + (1 - alpha) v of each key's rows in order, from the first value.
 

@@ -101,12 +101,6 @@ def unless_empty(filtered: DataFrame, original: DataFrame) -> DataFrame:
     return filtered if filtered.limit(1).count() else original
 
 
-def touching_edge(voxels: DataFrame, margin: int, resolution: int, key: Sequence[str] = KEY) -> DataFrame:
-    """Samples with a voxel within ``margin`` of the grid's edge."""
-    near = [(F.col(c) < margin) | (F.col(c) >= resolution - margin) for c in XYZ]
-    return voxels.groupBy(*key).agg(F.bool_or(near[0] | near[1] | near[2]).alias("touches")).where("touches").select(*key)
-
-
 def classify(output: DataFrame, truth: DataFrame, flag: str = "sharp", key: Sequence[str] = KEY) -> DataFrame:
     """Output voxels as inside, sharp (inside and flagged in the truth), extra, or out_of_range (their sample has no truth)."""
     keys = [*key, *XYZ]
