@@ -9,8 +9,9 @@ whole fingerprint (at most ``FAR`` of its bits may differ, which a pair at 0.8 e
 by the exact Jaccard similarity of the two texts' shingle sets. Components are formed from the links that hold.
 
 Of the clusters that a word's trie links, those of up to ``simhash.ALL_PAIRS`` members are compared in all
-pairs. In larger ones each member is compared with four leaders; members that are then still apart from
-the first leader are compared with every member of the cluster, so that no link of a cluster is lost.
+pairs. In larger ones each member is compared with a leader, one of the cluster's four outermost ids; members
+that are then still apart from the rest are compared with every member of the cluster, so that no link of a
+cluster is lost.
 
 Texts with equal sets are one node. Texts of fewer than five words are one shingle; null and empty
 texts have none and are one node together. Rows are told apart by the id and a hash of all columns.
@@ -121,11 +122,14 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", cap: i
 
     per = 64 // WIDTH
     word = F.posexplode(F.flatten(F.transform("print", lambda x: F.array(*(F.shiftrightunsigned(x, 64 - WIDTH * (i + 1)).bitwiseAND(F.lit((1 << WIDTH) - 1)) for i in range(per))))))
-    found = kept.put(linked_words(nodes.where("print is not null").select(F.col("node").alias("id"), word.alias("g", "word")), kept, BUDGET, cap, WIDTH, _pairs_to_compare))
-    edges = checked(found.where("v is not null").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    found = linked_words(nodes.where("print is not null").select(F.col("node").alias("id"), word.alias("g", "word")), kept, BUDGET, cap, WIDTH, _pairs_to_compare)
+    found = kept.put(found.withColumn("of", F.monotonically_increasing_id()))
+    outer = F.array(*(F.element_at("members", i) for i in (1, 2, -2, -1)))
+    large = found.where("members is not null").select("of", F.element_at(outer, (F.pmod("of", F.lit(4)) + 1).cast("int")).alias("leader"), F.explode("members").alias("node"))
+    both = found.where("members is null").select("u", "v").unionByName(large.where("node <> leader").select(F.col("node").alias("u"), F.col("leader").alias("v")))
+    edges = checked(both.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     roots = kept.put(components(edges, kept))
-    member = found.where("v is null").select("of", F.col("u").alias("node")).join(roots.hint("merge"), "node", "left").select("of", "node", F.coalesce("root", "node").alias("root"))
-    member = kept.put(member)
+    member = kept.put(large.join(roots.hint("merge"), "node", "left").select("of", "node", F.coalesce("root", "node").alias("root")))
     apart = member.join(member.groupBy("of").agg(F.min_by("root", "node").alias("main")), "of").where("root <> main").select("of", F.col("node").alias("other"), F.col("root").alias("other_root"))
     rest = member.join(apart, "of").where("root <> other_root").select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct()
     rest = kept.put(rest.join(edges, ["u", "v"], "left_anti"))

@@ -173,14 +173,14 @@ def _forest_of_links(start: int, budget: int, width: int):
         values, at = np.unique(ids, return_inverse=True)
         root = _forest(len(values), at[i], at[j])
         linked = np.flatnonzero(root != np.arange(len(values)))
-        return pd.DataFrame({"u": values[linked], "v": values[root[linked]], "of": 0})
+        return pd.DataFrame({"u": values[linked], "v": values[root[linked]], "members": None})
 
     return run
 
 
 def _pairs_to_compare(start: int, budget: int, width: int):
     def run(_key, rows: pd.DataFrame) -> pd.DataFrame:
-        """Pairs (u, v) of ids in one cluster of linked words: all of a small cluster; of a larger one each with four leaders, and (u, null, of) says who is in it."""
+        """Of each cluster of linked words: all pairs (u, v) of its ids, or, of a large one, one row with its sorted members."""
         rows, keys, once, groups = _node_pairs(rows)
         i, j = walk(keys[once], groups, start, budget, width)
         root = _forest(len(once), i, j)
@@ -192,23 +192,16 @@ def _pairs_to_compare(start: int, budget: int, width: int):
         ids, cluster = ids[~again], cluster[~again]
         lo = np.flatnonzero(np.concatenate([[True], cluster[1:] != cluster[:-1]]))
         size = np.diff(np.append(lo, len(ids)))
-        u, v, of = [], [], []
+        u, v = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for n in np.unique(size[(size > 1) & (size <= ALL_PAIRS)]):
             x, y = np.triu_indices(n, 1)
             members = ids[lo[size == n][:, None] + np.arange(n)]
             u.append(members[:, x].ravel())
             v.append(members[:, y].ravel())
-        out = [pd.DataFrame({"u": np.concatenate(u), "v": np.concatenate(v), "of": 0})] if u else []
-        for a, n in zip(lo[size > ALL_PAIRS], size[size > ALL_PAIRS], strict=True):
-            members = ids[a : a + n]
-            for leader in members[[0, 1, -2, -1]]:
-                out.append(pd.DataFrame({"u": members, "v": leader, "of": 0}))
-            r = rows.iloc[once[cluster[a]]]
-            label = hash((int(r["g"]), int(r["r"]), int(r["k"]), int(r["a"]), int(r["b"]), int(members[0])))  # of integers: the same in every process
-            of.append(pd.DataFrame({"u": members, "v": None, "of": label}))
-        made = pd.concat([*out, *of]) if out or of else pd.DataFrame({"u": [], "v": [], "of": []})
-        made = made[(made["u"] != made["v"])]
-        return made.astype({"u": "int64", "v": "Int64", "of": "int64"})
+        pairs = pd.DataFrame({"u": np.concatenate(u), "v": np.concatenate(v), "members": None})
+        large = [ids[a : a + n] for a, n in zip(lo[size > ALL_PAIRS], size[size > ALL_PAIRS], strict=True)]
+        made = pd.concat([pairs, pd.DataFrame({"u": None, "v": None, "members": large})]) if large else pairs
+        return made.astype({"u": "Int64", "v": "Int64"})
 
     return run
 
@@ -221,7 +214,7 @@ def _rotated(word: Column, r: int, sizes: list[int], width: int) -> Column:
 
 
 def linked_words(words: DataFrame, kept: Written, budget: int = BUDGET, cap: int = CAP, width: int = 64, leaf=_forest_of_links) -> DataFrame:
-    """What ``leaf`` makes (u, v, of) of the words (id, g, word) of ``width`` bits that differ in at most ``budget`` bits within their group g."""
+    """What ``leaf`` makes (u, v, members) of the words (id, g, word) of ``width`` bits that differ in at most ``budget`` bits within their group g."""
     blocks = budget + 1
     sizes = [width // blocks + (i < width % blocks) for i in range(blocks)]
     start = min(sizes)
@@ -256,7 +249,7 @@ def linked_words(words: DataFrame, kept: Written, budget: int = BUDGET, cap: int
     leaves = kept.put(leaves.select("id", "g", "r", "k", "a", "b", "depth", "right"))
     buckets = max(1, -(-leaves.count() // BUCKET))
     leaves = leaves.withColumn("bucket", F.pmod(F.xxhash64(*names), F.lit(buckets)))
-    return leaves.groupBy("bucket").applyInPandas(leaf(start, budget, width), "u bigint, v bigint, of bigint")
+    return leaves.groupBy("bucket").applyInPandas(leaf(start, budget, width), "u bigint, v bigint, members array<bigint>")
 
 
 def links(nodes: DataFrame, kept: Written, budget: int = BUDGET, cap: int = CAP) -> DataFrame:
