@@ -51,18 +51,19 @@ def merge_once(spark, sf):
 
 def bpe_sql(merges: int, leaf: str = "select sid, x, y, z, tok::bigint as token from v", tag: str = "") -> str:
     """The training and encoding of ``merges`` rules, one set of relations a rule: s<k> slots, c<k> cells, r<k> the rule, m<k> its matches (chains of equal tokens: every other one)."""
-    out = [f"s0{tag} as materialized (select sid, x::bigint * 1048576 + y * 1024 + z as slot, token, x, y, z from ({leaf}))", f"c0{tag} as materialized (select sid, x, y, z, slot from s0{tag})", "ofs(ox, oy, oz) as (values (1, 0, 0), (0, 1, 0), (0, 0, 1))"]
+    cell = "sid::bigint * 1073741824 + x * 1048576 + y * 1024 + z"  # one number for a place of a sample: joins have a single key
+    out = [f"s0{tag} as materialized (select sid, {cell} as slot, token, x, y, z from ({leaf}))", f"c0{tag} as materialized (select sid, slot as cell, x, y, z, slot from s0{tag})", "ofs(ox, oy, oz, st) as (values (1, 0, 0, 1048576), (0, 1, 0, 1024), (0, 0, 1, 1))"]
     for k in range(merges):
         p, q = f"{k}{tag}", f"{k + 1}{tag}"
-        out.append(f"p{p} as materialized (select distinct a.sid, a.slot as sa, b.slot as sb from c{p} a cross join ofs join c{p} b on a.sid = b.sid and a.x + ox = b.x and a.y + oy = b.y and a.z + oz = b.z where a.slot <> b.slot)")
-        out.append(f"q{p} as materialized (select p.sid, sa, sb, s.token as a, t.token as b, t.x - s.x as dx, t.y - s.y as dy, t.z - s.z as dz, s.x, s.y, s.z from p{p} p join s{p} s on p.sid = s.sid and p.sa = s.slot join s{p} t on p.sid = t.sid and p.sb = t.slot)")
+        out.append(f"p{p} as materialized (select distinct a.sid, a.slot as sa, b.slot as sb from (select sid, slot, cell + st as cell from c{p} cross join ofs) a join c{p} b on a.cell = b.cell where a.slot <> b.slot)")
+        out.append(f"q{p} as materialized (select p.sid, sa, sb, s.token as a, t.token as b, t.x - s.x as dx, t.y - s.y as dy, t.z - s.z as dz, s.x, s.y, s.z from p{p} p join s{p} s on p.sa = s.slot join s{p} t on p.sb = t.slot)")
         out.append(f"r{p} as materialized (select a, b, dx, dy, dz, count(*) as n from q{p} group by 1, 2, 3, 4, 5 order by n desc, a, b, dx, dy, dz limit 1)")
         out.append(f"h{p} as (select q.*, (case when dx <> 0 then floor(x / dx) when dy <> 0 then floor(y / dy) else floor(z / dz) end)::bigint as i from q{p} q join r{p} r using (a, b, dx, dy, dz))")
         out.append(f"i{p} as (select *, i - row_number() over (partition by sid, x - dx * i, y - dy * i, z - dz * i order by i) as run from h{p})")
         out.append(f"m{p} as materialized (select sid, sa, sb, dx, dy, dz from (select *, row_number() over (partition by sid, x - dx * i, y - dy * i, z - dz * i, run order by i) as nth from i{p}) where a <> b or nth % 2 = 1)")
         low = "(dx, dy, dz) < (0, 0, 0)"
-        out.append(f"s{q} as materialized (select s.sid, s.slot, case when m.sid is not null then {BASE + k} else s.token end as token, (s.x + case when {low} then dx else 0 end)::int as x, (s.y + case when {low} then dy else 0 end)::int as y, (s.z + case when {low} then dz else 0 end)::int as z from s{p} s left join m{p} m on s.sid = m.sid and s.slot = m.sa where not exists (select 1 from m{p} g where g.sid = s.sid and g.sb = s.slot))")
-        out.append(f"c{q} as materialized (select c.sid, x, y, z, coalesce(m.sa, c.slot) as slot from c{p} c left join m{p} m on c.sid = m.sid and c.slot = m.sb)")
+        out.append(f"s{q} as materialized (select s.sid, s.slot, case when m.sid is not null then {BASE + k} else s.token end as token, (s.x + case when {low} then dx else 0 end)::int as x, (s.y + case when {low} then dy else 0 end)::int as y, (s.z + case when {low} then dz else 0 end)::int as z from s{p} s left join m{p} m on s.slot = m.sa where not exists (select 1 from m{p} g where g.sb = s.slot))")
+        out.append(f"c{q} as materialized (select c.sid, cell, x, y, z, coalesce(m.sa, c.slot) as slot from c{p} c left join m{p} m on c.slot = m.sb)")
     return ", ".join(out)
 
 
@@ -143,8 +144,8 @@ def directed_sql(pairs: str) -> str:
     return ", ".join((h("hp", "s, t, d"), h("hs", "s, d"), h("ht", "t")))
 
 
-@query(f"""with {V}, {bpe_sql(2)}, ow as (select c.sid, c.x, c.y, c.z, c.slot, s.token as tok from c2 c join s2 s on c.sid = s.sid and c.slot = s.slot),
-bp as (select a.sid, a.tok as s, b.tok as t, ox + 2 * oy + 3 * oz as d from ow a cross join ofs join ow b on a.sid = b.sid and a.x + ox = b.x and a.y + oy = b.y and a.z + oz = b.z where a.slot <> b.slot), {directed_sql('bp')},
+@query(f"""with {V}, {bpe_sql(2)}, ow as materialized (select c.sid, c.cell, c.slot, s.token as tok from c2 c join s2 s on c.slot = s.slot),
+bp as (select a.sid, a.tok as s, b.tok as t, d from (select sid, slot, tok, cell + st as cell, ox + 2 * oy + 3 * oz as d from ow cross join ofs) a join ow b on a.cell = b.cell where a.slot <> b.slot), {directed_sql('bp')},
 mi as (select hp.sid, hp.n::bigint as pairs, hp.h as h_pair, greatest(0.0, hp.h - hs.h) as cond, greatest(0.0, ht.h - greatest(0.0, hp.h - hs.h)) as mi from hp join hs on hp.sid = hs.sid join ht on hp.sid = ht.sid)
 select sid, pairs, round(h_pair, 6) as h_pair, round(cond, 6) as cond, round(mi, 6) as mi, round(coalesce(round(mi, 6) / nullif(round(h_pair, 6), 0), 0), 6) as mi_ratio from mi""")
 def boundary_mi(spark, sf):
@@ -238,9 +239,9 @@ def jsonl_apply(spark, sf):
     return out.select("sid", "turn", F.md5("text").alias("text_md5"))
 
 
-@query(f"""with {V}, {bpe_sql(1)}, lf as (select a.sid, a.tok as s, b.tok as t, ox + 2 * oy + 3 * oz as d from v a cross join ofs join v b on a.sid = b.sid and a.x + ox = b.x and a.y + oy = b.y and a.z + oz = b.z),
-an as (select a.sid, a.token as s, b.token as t, ox + 2 * oy + 3 * oz as d from s1 a cross join ofs join s1 b on a.sid = b.sid and a.x + ox = b.x and a.y + oy = b.y and a.z + oz = b.z),
-ow as (select c.sid, c.x, c.y, c.z, c.slot, s.token as tok from c1 c join s1 s on c.sid = s.sid and c.slot = s.slot), bo as (select a.sid, a.tok as s, b.tok as t, ox + 2 * oy + 3 * oz as d from ow a cross join ofs join ow b on a.sid = b.sid and a.x + ox = b.x and a.y + oy = b.y and a.z + oz = b.z where a.slot <> b.slot),
+@query(f"""with {V}, {bpe_sql(1)}, ow as materialized (select c.sid, c.cell, c.slot, s.token as tok from c1 c join s1 s on c.slot = s.slot), la as (select slot as cell, token as tok from s0), aa as (select sid::bigint * 1073741824 + x * 1048576 + y * 1024 + z as cell, token as tok from s1),
+lf as (select a.tok as s, b.tok as t, d from (select tok, cell + st as cell, ox + 2 * oy + 3 * oz as d from la cross join ofs) a join la b on a.cell = b.cell), an as (select a.tok as s, b.tok as t, d from (select tok, cell + st as cell, ox + 2 * oy + 3 * oz as d from aa cross join ofs) a join aa b on a.cell = b.cell),
+bo as (select a.tok as s, b.tok as t, d from (select slot, tok, cell + st as cell, ox + 2 * oy + 3 * oz as d from ow cross join ofs) a join ow b on a.cell = b.cell where a.slot <> b.slot),
 al as (select 'leaf' as level, d, s, t, count(*)::double as n from lf group by 2, 3, 4 union all select 'anchor', d, s, t, count(*)::double from an group by 2, 3, 4 union all select 'boundary', d, s, t, count(*)::double from bo group by 2, 3, 4),
 x as (select level, d, log2(sum(n)) - sum(n * log2(n)) / sum(n) as h, sum(n) as n from al group by 1, 2), y as (select level, d, log2(sum(n)) - sum(n * log2(n)) / sum(n) as h from (select level, d, s, sum(n) as n from al group by 1, 2, 3) group by 1, 2)
 select x.level, x.d as dir, x.n::bigint as pairs, round(x.h, 6) as h_pair, round(greatest(0.0, x.h - y.h), 6) as cond from x join y on x.level = y.level and x.d = y.d""")
@@ -292,7 +293,7 @@ def lm_by_k(spark, sf):
     return out
 
 
-@query(f"""with {VM}, {bpe_sql(MERGES).replace("s0 as", "b0 as").replace("from s0)", "from b0)").replace("s0 s", "b0 s").replace("s0 t", "b0 t")}, {bpe1d_sql(MERGES)}, o as (select sid, count(*) as n from v group by 1), a as (select sid, count(*) as n from t{MERGES} group by 1), e as (select sid, count(*) as n from s{MERGES} group by 1)
+@query(f"""with {VM}, {bpe_sql(MERGES)}, {bpe1d_sql(MERGES)}, o as (select sid, count(*) as n from v group by 1), a as (select sid, count(*) as n from t{MERGES} group by 1), e as (select sid, count(*) as n from s{MERGES} group by 1)
 select o.sid, o.n as leaves, a.n as tokens_1d, e.n as tokens_3d, round(a.n / o.n, 6) as ratio_1d, round(e.n / o.n, 6) as ratio_3d, round((e.n - a.n) / o.n, 6) as gain from o join a on o.sid = a.sid join e on o.sid = e.sid""")
 def baseline_1d_3d(spark, sf):
     """Tokens a leaf of the one-dimensional baseline (along Z-order) beside those of the three-dimensional encoder, after as many rules."""
