@@ -1,6 +1,7 @@
 """Compares a query with its SQL on one folder of driver tables."""
 
 import os
+import tempfile
 
 import duckdb
 import pandas as pd
@@ -11,7 +12,7 @@ KINDS = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VA
 
 
 def connect(folder: str = SF):
-    con = duckdb.connect()
+    con = duckdb.connect(config={"temp_directory": os.path.join(tempfile.gettempdir(), "voxmill-duckdb")})  # not the working folder
     for t in TABLES:
         if os.path.exists(f"{folder}/{t}.parquet"):
             con.execute(f"create view {t} as select * from '{folder}/{t}.parquet{'/*.parquet' if os.path.isdir(f'{folder}/{t}.parquet') else ''}'")
