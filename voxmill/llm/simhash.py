@@ -28,7 +28,7 @@ from .common import Written, add_columns, table
 #: Bits by which linked fingerprints may differ; fingerprints of a node pair that one task takes; of a task's bucket of node pairs.
 BUDGET, CAP, BUCKET, STEP = 2, 4096, 1 << 15, 4
 #: Rows of a cluster of which all pairs are compared.
-ALL_PAIRS = 32
+ALL_PAIRS = 8
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
