@@ -25,6 +25,7 @@ their ids are the partition's number times 2^40 plus a count.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -38,7 +39,7 @@ from .bpe import _L, _N, _S, MEMO, TreeEncoder, tokenizer_path
 from .common import table
 
 #: Tokens of a sequence, id that ends a document, prices of the cuts and of a sequence, longest sentence without cuts and their distance in longer ones, tokens of a chunk.
-LENGTH, END, SENTENCE, INSIDE, EACH, LONG, STEP, CHUNK = 4096, 2, 8, 64, 16, 256, 64, 1 << 20
+LENGTH, END, SENTENCE, INSIDE, EACH, LONG, STEP, CHUNK = 4096, 2, 8, 64, 128, 256, 64, 1 << 20
 
 #: The bit that marks the last id of a sentence in the encoder's output.
 _MARK = 1 << 31
@@ -58,14 +59,14 @@ class SentenceEncoder(TreeEncoder):
     def _known(self, part: str, latin: bool) -> bytes:
         if latin:
             bare = part.rstrip(_WHITE)
-            ids = self.encode_word("".join([self._bytes[b] for b in bare.encode()]))
+            plain = bare.isascii() and bare.isprintable()  # these bytes are their own code points
+            ids = self.encode_word(bare if plain else "".join([self._bytes[b] for b in bare.encode()]))
             ends = part.endswith("\n") or (bare != part and _STOP.search(bare))
         else:
             ids, ends = self.encode_unit(part), _STOP.search(part)
-        coded = np.array(ids, "<u4")
-        if ends and len(coded):
-            coded[-1] |= _MARK
-        found = coded.tobytes()
+        if ends and ids:
+            ids[-1] |= _MARK
+        found = struct.pack(f"<{len(ids)}I", *ids)
         if len(part) <= 64:
             memo = self.memo[latin]
             if len(memo) >= MEMO:
