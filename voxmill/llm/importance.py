@@ -2,7 +2,8 @@
 
 A document's features (runs of one and two words) fall into ``BUCKETS`` buckets by crc32. One pass over the texts
 makes blocks of documents and, for each block and each of ``RANGES`` ranges of buckets, one row of postings:
-(document in the block, bucket, count) as three small arrays, written once. From these every task sums
+(document in the block, bucket, count), by document, as three small arrays, written once. A count takes a byte; a
+larger one is several postings. From these every task sums
 its buckets, so that at most ``BUCKETS`` rows a task are shuffled; the same sums of the target texts are grouped with
 them by bucket range, and each bucket's gain is computed there from the two counts. The postings are
 shuffled by (range, salt) and meet the gains of their own range, also on each salt; a task streams over its rows and
@@ -31,11 +32,13 @@ from pyspark.sql import functions as F
 from .common import Written, table
 
 #: Buckets of features; ranges of them; groups of a range; documents and features of a block; words of a document that may be drawn, share drawn in percent, seed.
-BUCKETS, RANGES, SALTS, BLOCK, FULL, WORDS, PERCENT, SEED = 10000, 16, 256, 512, 1 << 20, 20, 25, 7
+BUCKETS, RANGES, SALTS, BLOCK, FULL, WORDS, PERCENT, SEED = 10000, 16, 256, 512, 1 << 18, 20, 25, 7
 
 #: In UTF-8 a code point beyond ASCII has bytes from 80 on only, so words can be taken from bytes.
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-_MEMO = 1 << 18
+_MEMO = 1 << 16
+#: Of each row of postings: how many each document of the block has, then the bucket within the range and the count of each.
+_KINDS, MOST = {"docs": "<u4", "buckets": "<u2", "counts": "u1"}, 255
 _POSTINGS = "block bigint, range int, docs binary, buckets binary, counts binary, ids array<{id}>, n_features array<bigint>, n_words array<bigint>"
 
 
@@ -73,16 +76,24 @@ def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket
             doc = np.repeat(np.arange(n, dtype=np.int64), sizes)
             bucket = np.concatenate(found) % buckets
             key, count = np.unique((bucket // width * n + doc) * width + bucket % width, return_counts=True)
+            if count.max(initial=0) > MOST:
+                times = -(-count // MOST)
+                rest = count - (times - 1) * MOST
+                last = np.cumsum(times) - 1
+                key, count = np.repeat(key, times), np.full(times.sum(), MOST)
+                count[last] = rest
             within, rest = key % width, key // width
             of, doc = rest // n, rest % n
             edges = np.searchsorted(of, np.arange(ranges + 1))
             spans = [(r, slice(edges[r], edges[r + 1])) for r in range(ranges) if edges[r] < edges[r + 1]]
-            column = lambda x, kind: [None, *(x[s].astype(kind).tobytes() for _, s in spans)]
+            column = lambda made: pa.array([None, *made], pa.binary())
             lists = lambda x, kind: pa.array([x, *[None] * len(spans)], pa.list_(kind))
             out = [
                 pa.array([block] * (len(spans) + 1), pa.int64()),
                 pa.array([-1, *(r for r, _ in spans)], pa.int32()),
-                *(pa.array(column(x, k), pa.binary()) for x, k in ((doc, "<u2"), (within, "<u2"), (count, "<u4"))),
+                column(np.bincount(doc[s], minlength=n).astype("<u4").tobytes() for _, s in spans),
+                column(within[s].astype("<u2").tobytes() for _, s in spans),
+                column(count[s].astype("u1").tobytes() for _, s in spans),
                 lists(ids, id_type),
                 lists(sizes, pa.int64()),
                 lists(n_words, pa.int64()),
@@ -92,7 +103,7 @@ def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket
 
         for b in batches:
             id_type = b.column("id").type
-            for i, part, t in zip(*(b.column(c).to_pylist() for c in ("id", "part", "text")), strict=True):
+            for i, part, t in zip(b.column("id").to_pylist(), b.column("part").to_pylist(), map(pa.StringScalar.as_py, b.column("text")), strict=True):
                 block = part << 40 if block is None else block
                 n, codes = features(t, memo)
                 ids.append(i)
@@ -108,9 +119,9 @@ def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket
     return rows.mapInArrow(run, _POSTINGS.format(id=kind))
 
 
-def _arrays(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
-    for row in zip(*(b.column(c).to_pylist() for c in ("docs", "buckets", "counts")), strict=True):
-        yield tuple(np.frombuffer(x, k) for x, k in zip(row, ("<u2", "<u2", "<u4"), strict=True))
+def _arrays(b: pa.RecordBatch, *columns: str) -> Iterator[tuple[np.ndarray, ...]]:
+    for row in zip(*(b.column(c) for c in columns), strict=True):
+        yield tuple(np.frombuffer(x.as_buffer(), _KINDS[c]) for c, x in zip(columns, row, strict=True))
 
 
 def sums(rows: DataFrame, name: str, buckets: int = BUCKETS, ranges: int = RANGES) -> DataFrame:
@@ -120,12 +131,12 @@ def sums(rows: DataFrame, name: str, buckets: int = BUCKETS, ranges: int = RANGE
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((ranges, width), np.int64)
         for b in batches:
-            for r, (_, within, count) in zip(b.column("range").to_pylist(), _arrays(b), strict=True):
+            for r, (within, count) in zip(b.column("range").to_pylist(), _arrays(b, "buckets", "counts"), strict=True):
                 total[r] += np.bincount(within, count, width).astype(np.int64)
         r, within = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(r, pa.int32()), pa.array(within, pa.int32()), pa.array(total[r, within], pa.int64())], names=["range", "bucket", "n"])
 
-    partial = rows.where("range >= 0").select("range", "docs", "buckets", "counts").mapInArrow(run, "range int, bucket int, n bigint")
+    partial = rows.where("range >= 0").select("range", "buckets", "counts").mapInArrow(run, "range int, bucket int, n bigint")
     return partial.groupBy("range", "bucket").agg(F.sum("n").alias(name))
 
 
@@ -150,10 +161,11 @@ def _contributions(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for block, g, (doc, within, count) in zip(b.column("block").to_pylist(), b.column("gains"), _arrays(b), strict=True):
+            for block, g, (own, within, count) in zip(b.column("block").to_pylist(), b.column("gains"), _arrays(b, "docs", "buckets", "counts"), strict=True):
                 worth = g.values.to_numpy()[within] * count
-                has = np.flatnonzero(np.diff(doc, prepend=-1))  # postings come by document
-                out.append((np.full(len(has), block, np.int64), doc[has].astype(np.int32), np.add.reduceat(worth, has)))
+                doc = np.flatnonzero(own)
+                begins = (np.cumsum(own, dtype=np.int64) - own)[doc]  # postings come by document
+                out.append((np.full(len(doc), block, np.int64), doc.astype(np.int32), np.add.reduceat(worth, begins)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["block", "doc", "part"])
 
@@ -169,12 +181,11 @@ def weights(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: st
     dealt = rows.where("range >= 0").withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(SALTS)).cast("int"))
     parts = _contributions(dealt.join(salted.hint("shuffle_hash"), ["range", "salt"]))
     each = rows.where("range = -1").select("block", F.posexplode(F.arrays_zip("ids", "n_features", "n_words")).alias("doc", "d"))
-    each = each.select("block", "doc", F.lit(0).cast("long").alias("part"), F.struct(F.col("d.ids").alias("doc_id"), "d.n_features", "d.n_words").alias("of"))
-    parts = parts.withColumn("of", F.lit(None).cast(each.schema["of"].dataType))
-    whole = each.unionByName(parts).groupBy("block", "doc").agg(F.sum("part").alias("sum"), F.max("of").alias("of"))
-    n = F.col("of.n_features")
-    mean = F.when(n > 0, F.expr("(sum - pmod(sum, of.n_features)) div of.n_features")).otherwise(0).cast("long")
-    return whole.select("of.doc_id", "of.n_features", "of.n_words", mean.alias("weight"))
+    each = each.select("block", "doc", F.lit(0).cast("long").alias("part"), F.col("d.ids").alias("doc_id"), "d.n_features", "d.n_words")
+    parts = parts.select(*(c if c in parts.columns else F.lit(None).cast(t).alias(c) for c, t in each.dtypes))
+    whole = each.unionByName(parts).groupBy("block", "doc").agg(F.sum("part").alias("sum"), *(F.max(c).alias(c) for c in ("doc_id", "n_features", "n_words")))
+    mean = F.when(F.col("n_features") > 0, F.expr("(sum - pmod(sum, n_features)) div n_features")).otherwise(0).cast("long")
+    return whole.select("doc_id", "n_features", "n_words", mean.alias("weight"))
 
 
 def noise(doc_id: str = "doc_id", seed: int = SEED) -> Column:
