@@ -29,17 +29,20 @@ import struct
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import _L, _N, _S, MEMO, TreeEncoder, tokenizer_path
+from .bpe import _L, _N, _S, TreeEncoder, tokenizer_path
 from .common import table
 
 #: Tokens of a sequence, id that ends a document, prices of the cuts and of a sequence, longest sentence without cuts and their distance in longer ones, tokens of a chunk.
 LENGTH, END, SENTENCE, INSIDE, EACH, LONG, STEP, CHUNK = 4096, 2, 8, 64, 128, 256, 64, 1 << 20
+#: Words whose ids an encoder keeps at most; a worker keeps its encoder from task to task.
+MEMO = 1 << 19
 
 #: The bit that marks the last id of a sentence in the encoder's output.
 _MARK = 1 << 31
@@ -79,6 +82,12 @@ class SentenceEncoder(TreeEncoder):
         return np.frombuffer(b"".join(self._coded(text)), "<u4")
 
 
+@cache
+def encoder(path: str) -> SentenceEncoder:
+    """One encoder for all tasks of a worker process: loading the file and meeting the common words takes longer than many a task."""
+    return SentenceEncoder(path)
+
+
 def places(lengths: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """(place, price) of the cuts that may be made in documents of ``lengths`` tokens; ``ends``: places (tokens before) at which sentences end."""
     of_docs = np.cumsum(lengths)
@@ -155,7 +164,7 @@ def pack(docs: DataFrame, path: str | None = None, text: str = "text", doc_id: s
     fields = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = SentenceEncoder(path or tokenizer_path())
+        coder = encoder(path or tokenizer_path())
         ids: list = []
         held: list[np.ndarray] = []
         n, made = 0, None
