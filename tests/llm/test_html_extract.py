@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import pytest
 
@@ -82,3 +83,71 @@ def test_weights_are_fitted_on_containers(spark):
     prose, link = H.blocks(f"<div><p>{SENTENCE}</p></div><div><a href=x>More</a></div>")
     assert H.costs(*prose, False, weights)[0] > H.costs(*prose, False, weights)[1] and H.costs(*link, False, weights)[0] < H.costs(*link, False, weights)[1]
     assert H.fit(spark.createDataFrame([], "page_id long, html string")) == H.PLAIN
+
+
+PROSE = "".join(f"<p>Paragraph {i}. {SENTENCE}</p>" for i in range(3))
+TEXT = " ".join(f"Paragraph {i}. {SENTENCE}" for i in range(3))
+MENU = "<ul><li><a href=x>Home</a></li><li><a href=y>About us</a></li><li><a href=z>More</a></li></ul>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<div class="layout has-sidebar"><article>{PROSE}</article></div>',
+        f'<div id="page" class="header-fixed"><main>{PROSE}</main></div>',
+        f'<form id="aspnetForm">{PROSE}</form>',
+        f'<form id="aspnetForm"><nav>{MENU}</nav><div class="ad">Buy now, it is cheap today.</div><div>{PROSE}</div><footer>© 2020</footer></form>',
+        f'<form><div class="content"><article>{PROSE}</article></div></form>',
+        f'<div class="layout sidebar-left"><div class="sidebar">{MENU}</div><div class="main-content"><article>{PROSE}</article></div></div>',
+        f'<div class="sidebar"><article>{PROSE}</article></div>',
+        f'<div class="page-header">Site name</div><div class="content-with-sidebar"><main>{PROSE}</main><div class="cookie-notice">We use cookies here, as others do.</div></div>',
+        f'<article>{PROSE}<aside>{SENTENCE}</aside></article><div id="comments"><article class="comment"><p>{SENTENCE}</p></article><article><p>{SENTENCE}</p></article></div>',
+        f'<article>{PROSE}<div class="ad-slot">{SENTENCE}</div></article><aside><article><p>{SENTENCE}</p></article></aside>',
+        f'<main>{PROSE}</main><div hidden><main>{SENTENCE}</main></div>',
+        f'<nav>{MENU}</nav>{PROSE}<div class="comments">{PROSE}{PROSE}{PROSE}</div>',
+    ],
+)
+def test_the_innermost_container_decides(page):
+    assert H.extract_text(page) == TEXT
+
+
+def test_paragraphs_without_their_element_and_menus_with_it():
+    assert H.extract_text(f"<div><p><a href=x>Home</a></p><p><a href=y>About</a></p></div><div>{SENTENCE}</div><div>{SENTENCE}</div>") == f"{SENTENCE} {SENTENCE}"
+
+
+def test_labels_are_the_cheapest_of_all_labellings():
+    r = random.Random(8)
+    bits = [f"<p>{SENTENCE}</p>", "<p>Home</p>", "<div class=ad>Buy.</div>", "<article><p>In it.</p>", "</article>", f"<div><div>{SENTENCE}</div>", "</div>", "<li><a href=x>Link</a></li>", "<aside>", "</aside>", "<h2>Head</h2>"]
+    for _ in range(150):
+        found = H.blocks("".join(r.choices(bits, k=r.randrange(1, 12))))[:9]
+        if found:
+            source, sink, edges = H.graph(found)
+            assert cost(H.label(found), source, sink, edges) == min(cost(x, source, sink, edges) for x in itertools.product((False, True), repeat=len(found)))
+
+
+def stripped(page):
+    """The page without what its containers say."""
+    page = re.sub(r"(</?)(?:article|main|nav|header|footer|aside|form)(?=[\s/>])", r"\1div", page, flags=re.I)
+    return re.sub(r"\s(?:class|id|role)=(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", "", page)
+
+
+def agreement(pages, weights):
+    """Share of blocks that get the label of their container once the containers are gone: by the costs alone, and by the cut; blocks that the cut changes."""
+    n = alone = cut = changed = 0
+    for page in pages:
+        truth, bare = H.blocks(page), H.blocks(stripped(page))
+        assert [x[0] for x in truth] == [x[0] for x in bare]
+        source, sink, _ = H.graph(bare, weights)
+        own, joint = [a >= b for a, b in zip(source, sink, strict=True)], H.label(bare, weights)
+        for (_, _, node), a, b in zip(truth, own, joint, strict=True):
+            if node.kind:
+                n, alone, cut, changed = n + 1, alone + (a == (node.kind > 0)), cut + (b == (node.kind > 0)), changed + (a != b)
+    return n, alone / n, cut / n, changed
+
+
+def test_the_cut_raises_agreement_on_stripped_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    weights = H.fit(pages.where("page_id % 5 <> 0"))
+    held = [x.html for x in pages.where("page_id % 5 = 0").collect() if x.html]
+    n, alone, cut, changed = agreement(held, weights)
+    assert n > 500 and changed > 0 and cut > alone and cut > 0.95

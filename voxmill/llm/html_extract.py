@@ -1,21 +1,26 @@
 """Main text of HTML pages by minimum-cut labelling.
 
-A page becomes a list of text blocks. A logistic regression over the block's own features (length, link
-density, punctuation, element, class and id words) gives each block a cost of being called content and
-one of being called boilerplate, of the order of the smoothness; explicit containers (article, nav,
-footer, advert classes and the like) add to these. The sums are the capacities of the block's edges to
+A page becomes a list of text blocks. A logistic regression over the block's own text (length, link density,
+punctuation, heading, words by which boilerplate names itself, class and id words) and that of its two
+neighbours gives each block a cost of being called content and one of being called boilerplate. What the
+innermost explicit container says (article, nav, footer, advert classes and the like) adds to these, by amounts of the
+order of the smoothness, so that neighbours can overrule it. The sums are the capacities of the block's edges to
 the two terminals. Blocks that follow each other, or that are the nearest blocks under one DOM parent or
 grandparent, are joined by smoothness edges. The minimum cut of that graph is the labelling of least
-total cost; content blocks are joined in page order. A block that no container explains is so decided by
-its features and its neighbours together.
+total cost; content blocks are joined in page order.
+
+Of nested containers the innermost decides: an ``article`` or ``main`` inside a wrapper with a boilerplate word is
+content again, but an ``article`` among comments, or in a ``nav``, ``aside`` or ``footer``, isn't. A class or id counts
+as a whole (``sidebar``, ``cookie-notice``, ``ad-slot``), not by a part of it (``has-sidebar``, ``header-fixed``). On a page
+without content containers, a form or a class that holds most of the page's prose is a wrapper and says nothing.
 
 The regression is fitted on the blocks inside explicit containers of a bounded sample of pages (``SAMPLE``
-pages least by the hash of their id, ``BLOCKS`` blocks of each), whose containers are their labels; without
-blocks of both kinds the weights in ``PLAIN`` hold.
+pages least by the hash of their id, ``BLOCKS`` blocks of each), whose containers are their labels and no features. It
+is held near the weights in ``PLAIN``, which decide alone where there are no blocks of both kinds.
 
 Null, empty and text-free pages give an empty string. Nothing is truncated; broken markup (unclosed
 elements, cut-off pages) is read as far as it goes. Character references to no code point, however long,
-become U+FFFD.
+become U+FFFD. Repeated rows and null ids are pages of their own; columns of the outputs' names are replaced.
 """
 
 from __future__ import annotations
@@ -57,40 +62,61 @@ BOILER_HINTS = frozenset(
 )
 CONTENT_HINTS = frozenset("article content main post entry story body text prose".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar alertdialog".split())
+#: Boilerplate whose articles are no main text either: containers, and class words that count on articles, too.
+SEALED_TAGS = frozenset("nav footer aside menu dialog".split())
+SEALED_HINTS = frozenset("comment comments disqus respond reply replies discussion related recommended".split())
+#: Parts of a class that leave its meaning to the others.
+NEUTRAL = frozenset("box slot unit block wrapper wrap container area panel section list bar links item items content inner outer text site page main global top bottom left right primary secondary article post entry".split())
+#: Words by which a short block says itself that it is boilerplate.
+_NAMES_ITSELF = re.compile(r"^©|all rights reserved|^(?:advertisement|sponsored|promoted|share this|related (?:articles|posts|stories)|read more|subscribe|sign up|log in|leave a (?:comment|reply)|we use cookies)\b", re.I)
 
 #: Capacities (integers, so that flows are exact): of a boilerplate container, of a content container and of being outside all of a page that has one, the most that the classifier adds and what it adds for each unit of log odds; smoothness.
-BOILER, CONTENT, OUTSIDE, MOST, ODDS, SMOOTH_NEXT, SMOOTH_PARENT, SMOOTH_GRAND = 30, 16, 12, 10, 3, 2, 3, 1
-#: Pages of the fitting sample, blocks read of each.
-SAMPLE, BLOCKS = 2000, 64
+BOILER, CONTENT, OUTSIDE, MOST, ODDS, SMOOTH_NEXT, SMOOTH_PARENT, SMOOTH_GRAND = 18, 16, 16, 10, 3, 2, 3, 1
+#: Pages of the fitting sample, blocks read of each; pull towards PLAIN for each row of the fit.
+SAMPLE, BLOCKS, PULL = 2000, 64, 0.01
 #: Weights of ``features`` where nothing can be learned.
-PLAIN = (-1.5, 1.0, -4.0, 1.0, 1.5, 1.0, -0.5, -2.5, 1.5)
+PLAIN = (-1.5, 1.0, -4.0, 2.5, 1.0, -0.5, -2.5, 1.5, 1.0, -0.5)
+
+
+def _named(value: str, words: frozenset[str]) -> bool:
+    """Is one of the classes, as a whole, one of ``words`` (or made of them and neutral parts)?"""
+    for token in value.lower().split():
+        parts = [x for x in re.split(r"[-_]+|\d+", token) if x]
+        if any(x in words for x in parts) and all(x in words or x in NEUTRAL or x in BOILER_HINTS for x in parts):
+            return True
+    return False
 
 
 class _Node:
-    __slots__ = ("boiler", "content", "hint", "parent", "serial", "tag")
+    """An element. kind: 1 content, -1 boilerplate, 0 neither, as the innermost container ``by`` says; sealed: 1 no article, 2 nothing inside is content."""
+
+    __slots__ = ("by", "hint", "kind", "parent", "sealed", "serial", "tag")
 
     def __init__(self, tag: str, parent: _Node | None, serial: int, attrs: str = ""):
         self.tag, self.parent, self.serial = tag, parent, serial
-        self.boiler = bool(parent and parent.boiler) or tag in BOILER_TAGS
-        self.content = bool(parent and parent.content) or tag in CONTENT_TAGS
-        self.hint = parent.hint if parent else 0
-        if attrs:
-            for m in _ATTR.finditer(attrs):
-                name = m[1].lower()
-                if name in ("class", "id"):
-                    words = {w.lower() for w in _HINT.findall(m[2] or m[3] or m[4] or "")}
-                    if words & BOILER_HINTS and tag not in ("html", "body", "article", "main"):
-                        self.boiler = True
-                    elif words & CONTENT_HINTS:
-                        self.hint += 1
-                elif name == "role":
-                    role = (m[2] or m[3] or m[4] or "").lower()
-                    if role in BOILER_ROLES:
-                        self.boiler = True
-                    elif role in ("main", "article"):
-                        self.content = True
-                elif name == "hidden" or name == "aria-hidden" and (m[2] or m[3] or m[4]) == "true" or name == "style" and re.search(r"display\s*:\s*none", m[2] or m[3] or ""):
-                    self.boiler = True
+        self.kind, self.by, self.sealed, self.hint = (parent.kind, parent.by, parent.sealed, parent.hint) if parent else (0, None, 0, 0)
+        says = -1 if tag in BOILER_TAGS else 1 if tag in CONTENT_TAGS else 0
+        seal, whole = int(tag in SEALED_TAGS), tag == "main"
+        for m in _ATTR.finditer(attrs) if attrs else ():
+            name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+            if name in ("class", "id"):
+                if _named(value, SEALED_HINTS) and tag not in ("html", "body", "main"):
+                    says, seal = -1, max(seal, 1)
+                elif tag not in ("html", "body", "article", "main") and _named(value, BOILER_HINTS):
+                    says = -1
+                elif set(_HINT.findall(value.lower())) & CONTENT_HINTS:
+                    self.hint += 1
+            elif name == "role":
+                if value.lower() in BOILER_ROLES:
+                    says = -1
+                elif value.lower() in ("main", "article"):
+                    says, whole = 1, value.lower() == "main"
+            elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
+                says, seal = -1, 2
+        if says < 0:
+            self.kind, self.by, self.sealed = -1, self, max(seal, self.sealed)
+        elif says > 0 and self.sealed < (2 if whole else 1):
+            self.kind, self.by, self.sealed = 1, self, 0
 
 
 def unescape(text: str) -> str:
@@ -199,7 +225,7 @@ def blocks(page: str) -> list[tuple[str, int, _Node]]:
             in_link = in_link or tag == "a"
             if attrs and ("class" in attrs or "id" in attrs or "hidden" in attrs or "display" in attrs):
                 trial = _Node(tag, node, serial + 1, attrs)
-                if trial.boiler and not node.boiler:
+                if trial.kind < 0 <= node.kind:
                     flush()
                     serial += 1
                     node = trial
@@ -226,40 +252,76 @@ def blocks(page: str) -> list[tuple[str, int, _Node]]:
     return out
 
 
-def features(text: str, linked: int, node: _Node) -> list[float]:
-    """What the classifier sees of a block (its containers are left out: they are the labels)."""
+def features(text: str, linked: int, node: _Node, near: tuple[float, float] = (0.0, 0.0)) -> list[float]:
+    """What the classifier sees of a block (its containers are left out: they are the labels); ``near``: length and link density of its neighbours."""
     words = text.count(" ") + 1
-    density = min(1.0, linked / len(text))
+    length, density = size(text, linked)
     return [
         1.0,
-        min(1.0, float(np.log1p(words)) / 4),
+        length,
         density,
         float(text[-1] in ".!?…\"”»" and words > 4),
-        float(node.tag in ("p", "blockquote", "pre")),
         float(node.tag in ("h1", "h2", "h3", "h4", "h5", "h6")),
         float(words < 3),
-        float(text.startswith("©") or "all rights reserved" in text.lower()),
+        float(words < 25 and bool(_NAMES_ITSELF.search(text))),
         float(min(2, node.hint)) / 2,
+        *near,
     ]
 
 
+def size(text: str, linked: int) -> tuple[float, float]:
+    """Length (logarithm of the words, 1 for about 50) and link density of a block."""
+    return min(1.0, float(np.log1p(text.count(" ") + 1)) / 4), min(1.0, linked / len(text))
+
+
+def surroundings(found: list[tuple[str, int, _Node]]) -> list[tuple[float, float]]:
+    """Mean length and link density of the blocks before and after each one."""
+    own = [size(t, n) for t, n, _ in found]
+    out = []
+    for i in range(len(own)):
+        side = own[max(0, i - 1) : i] + own[i + 1 : i + 2]
+        out.append((sum(x[0] for x in side) / len(side), sum(x[1] for x in side) / len(side)) if side else (0.0, 0.0))
+    return out
+
+
+def kinds(found: list[tuple[str, int, _Node]]) -> list[int]:
+    """What the innermost container says of each block; on pages without content containers, one that holds most of the prose (and three blocks of it) says nothing."""
+    out = [n.kind for _, _, n in found]
+    if 1 in out:
+        return out
+    prose: dict[int, list[int]] = {}
+    total = 0
+    for i, (text, linked, node) in enumerate(found):
+        if node.sealed:
+            continue
+        total += max(0, len(text) - linked)
+        if node.kind < 0 and text.count(" ") > 9 and text[-1] in ".!?…\"”»" and linked * 2 < len(text):
+            prose.setdefault(node.by.serial, []).append(i)
+    for serial, at in prose.items():
+        if len(at) > 2 and 2 * sum(len(found[i][0]) for i in at) > total:
+            out = [0 if n.kind < 0 and n.by.serial == serial else k for k, (_, _, n) in zip(out, found, strict=True)]
+    return out
+
+
 def seeds(page: str | None) -> np.ndarray:
     """Features and label (last column) of up to BLOCKS blocks inside explicit containers, evenly spread over the page."""
-    found = [(*features(*x), float(not x[2].boiler)) for x in blocks(page or "") if x[2].boiler or x[2].content]
-    return np.array(found[:: max(1, -(-len(found) // BLOCKS))], np.float32).reshape(-1, len(PLAIN) + 1)
+    found = blocks(page or "")
+    rows = [(*features(*x, near), float(x[2].kind > 0)) for x, near in zip(found, surroundings(found), strict=True) if x[2].kind]
+    return np.array(rows[:: max(1, -(-len(rows) // BLOCKS))], np.float32).reshape(-1, len(PLAIN) + 1)
 
 
-def fit_weights(rows: np.ndarray, steps: int = 12, ridge: float = 1.0) -> tuple[float, ...]:
-    """Logistic regression by Newton's method; both labels weigh the same in all."""
+def fit_weights(rows: np.ndarray, steps: int = 12, pull: float = PULL) -> tuple[float, ...]:
+    """Logistic regression by Newton's method, held near PLAIN; both labels weigh the same in all."""
     x, y = rows[:, :-1].astype(np.float64), rows[:, -1].astype(np.float64)
     if not len(y) or y.min() == y.max():
         return PLAIN
     share = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
-    w = np.zeros(x.shape[1])
+    prior, ridge = np.array(PLAIN), 1.0 + pull * len(y)
+    w = prior.copy()
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         h = (x * (share * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        w -= np.linalg.solve(h, x.T @ (share * (p - y)) + ridge * w)
+        w -= np.linalg.solve(h, x.T @ (share * (p - y)) + ridge * (w - prior))
     return tuple(float(v) for v in w)
 
 
@@ -271,14 +333,15 @@ def fit(pages: DataFrame, html: str = "html", page_id: str = "page_id", sample:
     return fit_weights(np.frombuffer(b"".join(got), np.float32).reshape(-1, len(PLAIN) + 1))
 
 
-def costs(text: str, linked: int, node: _Node, has_content: bool, weights: tuple[float, ...] = PLAIN) -> tuple[int, int]:
+def costs(text: str, linked: int, node: _Node, has_content: bool, weights: tuple[float, ...] = PLAIN, near: tuple[float, float] = (0.0, 0.0), kind: int | None = None) -> tuple[int, int]:
     """Cost of calling the block boilerplate, cost of calling it content."""
-    odds = sum(a * b for a, b in zip(weights, features(text, linked, node), strict=True))
+    odds = sum(a * b for a, b in zip(weights, features(text, linked, node, near), strict=True))
     part = round(min(MOST, ODDS * abs(odds)))
     as_boiler, as_content = (1 + part, 1) if odds > 0 else (1, 1 + part)
-    if node.boiler:
+    kind = node.kind if kind is None else kind
+    if kind < 0:
         as_content += BOILER
-    elif node.content:
+    elif kind > 0:
         as_boiler += CONTENT
     elif has_content:
         as_content += OUTSIDE
@@ -357,22 +420,26 @@ def min_cut(source: list[int], sink: list[int], edges: list[tuple[int, int, int]
     return [not reach[i] for i in range(n)]
 
 
-def label(found: list[tuple[str, int, _Node]], weights: tuple[float, ...] = PLAIN) -> list[bool]:
-    """Content (True) or boilerplate of each block, by the minimum cut."""
-    has_content = any(b[2].content and not b[2].boiler for b in found)
-    source, sink = zip(*(costs(*b, has_content, weights) for b in found), strict=True)
+def graph(found: list[tuple[str, int, _Node]], weights: tuple[float, ...] = PLAIN) -> tuple[list[int], list[int], list[tuple[int, int, int]]]:
+    """Capacities from the source and to the sink, and the smoothness edges, of the blocks of a page."""
+    said = kinds(found)
+    terminal = [costs(*x, 1 in said, weights, near, kind) for x, near, kind in zip(found, surroundings(found), said, strict=True)]
     edges: list[tuple[int, int, int]] = []
-    near: dict[tuple[int, int], int] = {}
+    before: dict[tuple[int, int], int] = {}
     for i, (_, _, node) in enumerate(found):
         if i:
             edges.append((i - 1, i, SMOOTH_NEXT))
         up = node.parent or node
         for kind, anchor, weight in ((0, up.serial, SMOOTH_PARENT), (1, (up.parent or up).serial, SMOOTH_GRAND)):
-            before = near.get((kind, anchor))
-            if before is not None:
-                edges.append((before, i, weight))
-            near[kind, anchor] = i
-    return min_cut(list(source), list(sink), edges)
+            if (kind, anchor) in before:
+                edges.append((before[kind, anchor], i, weight))
+            before[kind, anchor] = i
+    return [c for c, _ in terminal], [c for _, c in terminal], edges
+
+
+def label(found: list[tuple[str, int, _Node]], weights: tuple[float, ...] = PLAIN) -> list[bool]:
+    """Content (True) or boilerplate of each block, by the minimum cut."""
+    return min_cut(*graph(found, weights))
 
 
 def extract_text(page: str | None, weights: tuple[float, ...] = PLAIN) -> str:
