@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import add_columns, table
 
-#: Payloads are padded to a multiple of this; it is also the width of the stored image. Side of the NPY tile. Rows from which a text is stored as BMP.
-UNIT, TILE, TALL = 576, 16, 64
+#: Payloads are padded to a multiple of this; it is also the width of the stored image. Side of the NPY tile.
+UNIT, TILE = 576, 16
 _HEADER = re.compile(rb"P([1-6])(?:\s|#[^\n\r]*[\n\r])+(\d+)(?:\s|#[^\n\r]*[\n\r])+(\d+)(?:(?:\s|#[^\n\r]*[\n\r])+(\d+))?")
 
 
@@ -213,7 +213,7 @@ def media_digests(stored: DataFrame, media: str = "media") -> DataFrame:
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document stored as an image, read back, with digests and features."""
+    """Every document stored as an image (P5 whatever its size), read back, with digests and features."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = media_digests(text_to_media(docs, tall=TALL))
+    out = media_digests(text_to_media(docs))
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile")
