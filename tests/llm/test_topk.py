@@ -95,3 +95,26 @@ def test_scores_never_wrap(spark, x):
     v = T.quantised(spark.createDataFrame([(0, [x, 1.0]), (1, [x, 1.0])], "vec_id long, embedding array<double>"))
     with pytest.raises(Exception, match="beyond"):
         T.search(v, v.where("vec_id = 0"), 1).collect()
+
+
+@pytest.mark.parametrize("share", [0.9, 0.5, 0.0])
+def test_only_candidates_of_essential_postings_are_scored(share):
+    """Of sparse vectors most are never scored; no vector outside a query's essential postings ever is, and no query scores more than it meets there."""
+    r = np.random.default_rng(11)
+    n, d = 3000, 32
+    m = np.rint(r.normal(0, 40, (n, d)) * np.logspace(0, -1.5, d)).astype(np.int64)
+    m[r.random((n, d)) < share] = 0
+    ids, q = np.arange(n), m[:40]
+    want = [brute(ids, m, q[i], i, 5) for i in range(40)]
+    floors = np.array([w[-1][0] for w in want], np.int64)
+    shard, probed = T.Shard(ids, m), []
+    row, score, found = shard.search_block(q, ids[:40], 5, floors, probed)
+    for i in range(40):
+        assert [(int(a), int(b)) for a, b in zip(score[row == i], found[row == i], strict=True)] == want[i]
+    needed = shard.essential(q, floors.astype(float) - 1)
+    met = ((m[None, :, :] * q[:, None, :] > 0) & needed[:, None, :]).any(axis=2)
+    assert not needed.all() and needed.any(axis=1).all()
+    pairs = [(i, x) for rows, x in probed for i, x in zip(rows, x, strict=True)]
+    assert pairs and all(met[i, x] or floors[i] <= 0 for i, x in pairs) and len(set(pairs)) == len(pairs)  # a score of 0 needs no posting
+    pairs = [(i, x) for i, x in pairs if met[i, x]]
+    assert len(pairs) < 0.5 * met.sum() if share else len(pairs) <= met.sum()

@@ -1,15 +1,16 @@
 """Exact top-k inner products by MaxScore over sharded postings.
 
 A vector's components, turned into integers, are its terms: a term is a dimension and a sign, its
-postings are the vectors with that component, its bound is the largest magnitude in the shard. A query
-meets positive contributions only in the terms of its own signs, so the sum of their bounds limits any
-score. With a threshold from the k best so far, the terms with the smallest bounds whose sum can't
-exceed it are non-essential: a vector outside the postings of the others can't enter the result. The
-essential postings are traversed in blocks; the other terms, and the contributions of opposite sign,
-are probed only for candidates whose partial score plus remaining bound still competes. Results of
-shards are merged by query.
-
-Queries go through in blocks of about ``BLOCK``, whose rows travel with the tasks; vectors stay where they
+postings are the vectors of a shard with that component, in order of their ids, and its bound is the largest magnitude
+among them. A query meets positive contributions only in the terms of its own signs, so the sum of their bounds
+limits any score. With a threshold from the k best so far, the terms with the smallest bounds whose sum can't
+exceed it are non-essential for this query: a vector outside the postings of all others can't enter the result and is
+never scored. The postings of the essential terms are traversed; what they meet is a candidate while its partial score and
+the bounds of the other terms still exceed the threshold. Only candidates are probed, eight dimensions at a time: for
+the other terms, and for contributions of opposite sign. Results of shards are merged by query.
+
+Queries go through in blocks of about ``BLOCK``, whose rows travel with the tasks, and up to ``TOGETHER`` of them share
+the traversal of a posting list, each with its own threshold and its own essential terms. Vectors stay where they
 are: each Arrow batch of a written partition is a shard, which meets all queries of the block. A first job
 over one sample shard gives each query a threshold (its k-th best score there, a lower bound of the final
 one), so that every shard prunes from its first vector on. Only the k best of a shard are shuffled.
@@ -57,13 +58,27 @@ def matrix(rows: list) -> np.ndarray:
 
 
 class Shard:
-    """Postings of a shard's vectors: for each dimension the components by vector, and each sign's bound."""
+    """Postings of a shard's vectors: for each dimension and sign the vectors (by id) with their components, and the bound; ``columns`` has the components for probes."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.columns = ids[order], np.ascontiguousarray(vectors[order].T)
         self.high, self.low = self.columns.max(axis=1), -self.columns.min(axis=1)
         self.most = max(map(abs, (int(self.columns.max(initial=0)), int(self.columns.min(initial=0)))))
+        self.postings = [tuple((at := np.flatnonzero(column > 0 if sign > 0 else column < 0), column[at].astype(np.float64)) for sign in (1, -1)) for column in self.columns]
+
+    def bounds(self, queries: np.ndarray) -> np.ndarray:
+        """The most that each dimension can add to a score of each query."""
+        d = queries.shape[1]
+        return np.maximum(0, np.where(queries > 0, self.high[:d] * queries, -self.low[:d] * queries))
+
+    def essential(self, queries: np.ndarray, theta: np.ndarray) -> np.ndarray:
+        """For each query the dimensions whose postings have to be traversed: all but those of the smallest bounds that don't exceed ``theta`` together."""
+        bound = self.bounds(queries)
+        order = np.argsort(bound, axis=1, kind="stable")
+        out = np.empty(bound.shape, bool)
+        np.put_along_axis(out, order, np.cumsum(np.take_along_axis(bound, order, 1), axis=1) > theta[:, None], 1)
+        return out
 
     def search(self, query: np.ndarray, own: int, k: int, floor: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(scores, ids) of the k best, by score, then smaller id; ``floor``: scores below it aren't asked for."""
@@ -112,57 +127,82 @@ class Shard:
                 best_s, best_i = s[order], x[order]
         return best_s, best_i
 
-
-    def search_block(self, queries: np.ndarray, owns: np.ndarray, k: int, floors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def search_block(self, queries: np.ndarray, owns: np.ndarray, k: int, floors: np.ndarray, probed: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query row, score, id) of the k best for each row of ``queries``; ``floors``: scores below aren't asked for (-2^62: none).
 
-        As ``search``, for all queries together: terms come in one order for the block, by the sum of their bounds,
-        and eight at a time; partial scores of essential terms are a matrix product (in doubles, where these are
-        exact), and once few pairs still compete only those go on.
+        As ``search``, for all queries together and in doubles, where these are exact. ``probed`` gets the (row, id)
+        of all pairs that are scored beyond their essential postings.
         """
         d = min(queries.shape[1], len(self.columns))
         q = queries[:, :d]
         if d * self.most * int(np.abs(q).max(initial=0)) >= 1 << 53:
             found = [self.search(row, int(own), k, int(f) if f > -(1 << 62) else None) for row, own, f in zip(queries, owns, floors, strict=True)]
             return np.repeat(np.arange(len(found)), [len(s) for s, _ in found]), *(np.concatenate(x) for x in zip(*found, strict=True))
-        bound = np.maximum(0, np.where(q > 0, self.high[:d] * q, -self.low[:d] * q))
-        order = np.argsort(-bound.sum(axis=0), kind="stable")
-        rest = np.concatenate([np.cumsum(bound[:, order][:, ::-1], axis=1)[:, ::-1], np.zeros((len(q), 1))], axis=1)
-        qf = q[:, order].astype(np.float64)
+        bound, qf = self.bounds(q), q.astype(np.float64)
         theta = floors.astype(np.float64) - 1
         best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))
         for a in range(0, len(self.ids), STEP):
             ids = self.ids[a : a + STEP]
-            v = self.columns[order, a : a + STEP].astype(np.float64)
-            partial, i, live = np.zeros((len(q), len(ids))), 0, None
-            while i < d:
-                j = min(d, i + 8)
-                partial += qf[:, i:j] @ v[i:j]
-                i = j
-                live = partial + rest[:, i, None] > theta[:, None]
-                if live.mean() < 0.1:
-                    break
-            live = np.ones(partial.shape, bool) if live is None else live
-            row, col = np.nonzero(live)
-            keep = ids[col] != owns[row]
-            row, col = row[keep], col[keep]
-            score = partial[row, col]
-            while i < d and len(row):
-                j = min(d, i + 8)
-                score = score + np.einsum("nd,dn->n", qf[row, i:j], v[i:j, col])
-                i = j
-                keep = score + rest[row, i] > theta[row]
-                row, col, score = row[keep], col[keep], score[keep]
+            needed = self.essential(q, theta)
+            partial = self._traversed(np.where(needed, qf, 0.0), a, len(ids))
+            rest = np.where(needed, 0, bound)
+            # with a threshold below 0 a vector may enter without any positive contribution
+            live = (partial + rest.sum(axis=1)[:, None] > theta[:, None]) & ((partial > 0) | (theta < 0)[:, None]) & (ids != owns[:, None])
+            row, col, score = self._probed(qf, needed, rest, theta, partial, live, a, None if probed is None else (probed, ids))
             best = tuple(np.concatenate(x) for x in zip(best, (row, np.rint(score).astype(np.int64), ids[col]), strict=True))
             place = np.lexsort((best[2], -best[1], best[0]))
             best = tuple(x[place] for x in best)
-            begins = np.searchsorted(best[0], best[0])
-            nth = np.arange(len(begins)) - begins
+            nth = np.arange(len(place)) - np.searchsorted(best[0], best[0])
             last = nth == k - 1
             theta[best[0][last]] = np.maximum(theta[best[0][last]], best[1][last])
             best = tuple(x[nth < k] for x in best)
         return best
 
+    def _traversed(self, asked: np.ndarray, a: int, n: int) -> np.ndarray:
+        """Sums (query, vector) of the positive contributions of the postings of vectors a to a + n; ``asked`` has zeros for dimensions that aren't essential."""
+        out = np.zeros((n, len(asked)))
+        for dim, lists in enumerate(self.postings[: asked.shape[1]]):
+            for sign, (at, value) in zip((1, -1), lists, strict=True):
+                with_it = np.flatnonzero(asked[:, dim] * sign > 0)
+                i, j = np.searchsorted(at, (a, a + n))
+                if len(with_it) and i < j:
+                    if 2 * len(with_it) > len(asked):  # a row of sums at a time; zeros for the others
+                        out[at[i:j] - a] += np.outer(value[i:j], np.where(asked[:, dim] * sign > 0, asked[:, dim], 0.0))
+                    else:
+                        out[np.ix_(at[i:j] - a, with_it)] += np.outer(value[i:j], asked[with_it, dim])
+        return np.ascontiguousarray(out.T)
+
+    def _probed(self, q: np.ndarray, needed: np.ndarray, rest: np.ndarray, theta: np.ndarray, partial: np.ndarray, live: np.ndarray, a: int, trace) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query row, vector, score) of the candidates ``live`` that stay competitive through all probes."""
+        d = q.shape[1]
+        order = np.argsort(-(needed * np.abs(q)).sum(axis=0) - np.abs(q).sum(axis=0) / len(q), kind="stable")
+        left = np.concatenate([np.cumsum(rest[:, order][:, ::-1], axis=1)[:, ::-1], np.zeros((len(q), 1))], axis=1)
+        column = np.flatnonzero(live.any(axis=0))
+        v = self.columns[np.ix_(order, a + column)].astype(np.float64)
+        q, needed, partial, live = q[:, order], needed[:, order], partial[:, column], live[:, column]
+        if trace is not None:
+            row, col = np.nonzero(live)
+            trace[0].append((row, trace[1][column[col]]))
+        i = 0
+        while i < d and live.mean() > 0.1 if live.size else False:  # many pairs: what they lack, as products of small matrices
+            j = min(d, i + 8)
+            own = np.where(needed[:, i:j], q[:, i:j], 0.0)
+            w = v[i:j]
+            partial += np.maximum(own, 0) @ np.minimum(w, 0) + np.minimum(own, 0) @ np.maximum(w, 0) + np.where(needed[:, i:j], 0.0, q[:, i:j]) @ w
+            i = j
+            live &= partial + left[:, i, None] > theta[:, None]
+        row, col = np.nonzero(live)
+        score = partial[row, col]
+        while i < d and len(row):
+            j = min(d, i + 8)
+            part = q[row, i:j] * v[i:j, col].T
+            part[needed[row, i:j] & (part > 0)] = 0
+            score = score + part.sum(axis=1)
+            i = j
+            keep = score + left[row, i] > theta[row]
+            row, col, score = row[keep], col[keep], score[keep]
+        return row, column[col], score
+
 
 def _scan(vectors: DataFrame, queries: list[tuple[int, int, np.ndarray]], k: int, floors: dict[int, int]) -> DataFrame:
     """(_q, query_id, vec_id, score): the k best of each Arrow batch of ``vectors`` for each query (number, id, vector)."""
