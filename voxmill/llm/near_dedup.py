@@ -9,9 +9,12 @@ whole fingerprint (at most ``FAR`` of its bits may differ, which a pair at 0.8 e
 by the exact Jaccard similarity of the two texts' shingle sets. Components are formed from the links that hold.
 
 Of the clusters that a word's trie links, those of up to ``simhash.ALL_PAIRS`` members are compared in all
-pairs. In larger ones each member is compared with a leader, one of the cluster's four outermost ids; members
-that are then still apart from the rest are compared with every member of the cluster, so that no link of a
-cluster is lost.
+pairs. In larger ones each member is compared with a leader, one of the cluster's four outermost ids, which joins most
+of them. Clusters that still hold several components are taken up again. The largest such cluster of a node is its home:
+there it is compared with all members. Both meet in blocks of about ``BLOCK``, and a task compares two blocks, prints first
+and then shingle sets, and gives the links alone. Pairs of which neither is in the other's home are compared if a word links
+them directly (the two agree on one of the word's blocks, by which they are joined). So no pair that a word links is
+left out, and a large group of texts that are alike, but not enough, doesn't become a row for each of its pairs.
 
 Texts with equal sets are one node. Texts of fewer than five words are one shingle; null and empty
 texts have none and are one node together. Rows are told apart by the id and a hash of all columns.
@@ -20,6 +23,7 @@ texts have none and are one node together. Rows are told apart by the id and a h
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +33,8 @@ from .simhash import CAP, _pairs_to_compare, components, linked_words, row_of, t
 SHINGLE, SIMILARITY = 5, 0.8
 #: Words of the fingerprint, bits of each, bits of all in which a candidate may differ; bits within a word.
 WORDS, WIDTH, FAR, BUDGET = 32, 32, 230, 2
+#: Owners and members of a home that one task holds.
+BLOCK = 512
 _ODD = np.random.default_rng(5).integers(1 << 62, size=WORDS * WIDTH // 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -101,6 +107,78 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -
     return pairs.join(left.hint("merge"), "u").join(right.hint("merge"), "v").where(common >= similarity * (F.size("su") + F.size("sv") - common)).select("u", "v")
 
 
+def _mixed(member: DataFrame) -> DataFrame:
+    """The members (of, g, node, root) of clusters that hold several components, with the cluster's size, the node's home (its largest such cluster) and all its clusters (one a word at most), and ``apart`` from the cluster's largest component."""
+    classes = member.groupBy("of", "root").agg(F.count("*").alias("n"))
+    mixed = classes.groupBy("of").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("classes"), F.sum("n").alias("size")).where("classes > 1").drop("classes")
+    rows = member.join(mixed, "of")
+    home = rows.groupBy("node").agg(F.max(F.struct("size", "of"))["of"].alias("home"), F.collect_set("of").alias("clusters"))
+    return rows.join(home, "node").select("of", "g", "node", "root", "size", (F.col("root") != F.col("main")).alias("apart"), "home", "clusters")
+
+
+def _links_of_blocks(_key, rows: pd.DataFrame) -> pd.DataFrame:
+    """The links (u, v) of a block of owners of a home with a block of its members, of different components so far."""
+    rows = rows.sort_values(["owner", "node"], kind="stable")
+    node, root, owner, at_home = (rows[c].to_numpy() for c in ("node", "root", "owner", "at_home"))
+    prints = np.stack(rows["print"].to_numpy()).astype(np.int64).view(np.uint64)  # of negative numbers numpy counts the bits of the absolute value
+    sizes = np.array([len(x) for x in rows["set"]])
+    _, flat = np.unique(np.concatenate(rows["set"].to_numpy()).astype(np.int64), return_inverse=True)
+    ends = np.cumsum(sizes)
+    held = np.zeros(flat.max(initial=0) + 1, bool)
+    out = []
+    members = np.flatnonzero(~owner)
+    for x in np.flatnonzero(owner):
+        # two owners meet twice: the smaller one compares
+        y = members[(root[members] != root[x]) & ~(at_home[members] & (node[members] < node[x]))]
+        y = y[np.bitwise_count(prints[y] ^ prints[x]).sum(axis=1) <= FAR]
+        if not len(y):
+            continue
+        own = flat[ends[x] - sizes[x] : ends[x]]
+        held[own] = True
+        common = np.array([held[flat[ends[k] - sizes[k] : ends[k]]].sum() for k in y])
+        held[own] = False
+        out += [(min(node[x], node[k]), max(node[x], node[k])) for k in y[common >= SIMILARITY * (sizes[x] + sizes[y] - common)]]
+    return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+
+
+def _home_links(mixed: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links of the nodes of each home with its members; a row of either comes once for each block of the others."""
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    homes = mixed.where("of = home").groupBy("of").agg(F.count("*").alias("owners"))
+    rows = mixed.join(homes, "of").select("of", "node", "root", (F.col("home") == F.col("of")).alias("at_home"), blocks("owners").alias("p"), blocks("size").alias("q"))
+    mine = lambda n: F.pmod(F.xxhash64("node", "of"), F.col(n)).cast("int")
+    names = ("of", "node", "root", "at_home")
+    owners = rows.where("at_home").select(*names, F.lit(True).alias("owner"), mine("p").alias("i"), F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("j"))
+    members = rows.select(*names, F.lit(False).alias("owner"), F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("i"), mine("q").alias("j"))
+    met = owners.unionByName(members).join(nodes.select("node", "print").hint("merge"), "node").join(sets.hint("merge"), "node")
+    return met.groupBy("of", "i", "j").applyInPandas(_links_of_blocks, "u bigint, v bigint")
+
+
+def _direct_links(mixed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (u, v) of a cluster's members in different components, neither in the other's home, whose words of group g differ in at most BUDGET bits.
+
+    One of the two is outside the cluster's largest component. The two words agree on one of BUDGET + 1 blocks.
+    """
+    per = 64 // WIDTH
+    word = F.expr(f"shiftrightunsigned(print[cast(g div {per} as int)], cast(64 - {WIDTH} * (g % {per} + 1) as int)) & {(1 << WIDTH) - 1}")
+    rows = mixed.join(nodes.select("node", "print").hint("merge"), "node").select("of", "node", "root", "home", "clusters", "apart", word.alias("word"))
+    sizes = [WIDTH // (BUDGET + 1) + (i < WIDTH % (BUDGET + 1)) for i in range(BUDGET + 1)]
+    block = lambda i: F.shiftrightunsigned("word", sum(sizes[:i])).bitwiseAND(F.lit((1 << sizes[i]) - 1))
+    rows = rows.withColumn("b", F.explode(F.array(*(F.struct(F.lit(i).alias("r"), block(i).alias("k")) for i in range(BUDGET + 1)))))
+    side = lambda x: rows.select("of", F.col("b.r").alias("r"), F.col("b.k").alias("k"), *(F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "home", "clusters", "word", "apart")))
+    one, other = side("a").where("apart_a").drop("apart_a"), side("b")
+    met_at_home = F.array_contains("clusters_b", F.col("home_a")) | F.array_contains("clusters_a", F.col("home_b"))
+    linked = (F.col("root_a") != F.col("root_b")) & (F.bit_count(F.col("word_a").bitwiseXOR(F.col("word_b"))) <= BUDGET) & (~F.col("apart_b") | (F.col("node_a") < F.col("node_b"))) & ~met_at_home
+    # a pair that agrees on several blocks is met on the first alone
+    masks = [((1 << sizes[i]) - 1) << sum(sizes[:i]) for i in range(BUDGET)]
+    for i, m in enumerate(masks):
+        linked = linked & ((F.col("a.r") <= i) | (F.col("word_a").bitwiseXOR(F.col("word_b")).bitwiseAND(F.lit(m)) != 0))
+    for c in ("of", "r", "k"):
+        linked = linked & (F.col(f"a.{c}") == F.col(f"b.{c}"))
+    met = one.alias("a").join(other.hint("merge").alias("b"), linked)
+    return met.select(F.least("node_a", "node_b").alias("u"), F.greatest("node_a", "node_b").alias("v")).distinct()
+
+
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", cap: int = CAP) -> DataFrame:
     """One row of each component: the least doc_id (null last), then the least row hash."""
     kept = Written(docs.sparkSession, "near")
@@ -109,15 +187,18 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", cap: i
     nodes = kept.put(marked.groupBy("node").agg(F.min("at").alias("at"), F.min("print").alias("print")))
     kept.drop(marked)
 
+    def sets_of(asked: DataFrame) -> DataFrame:
+        """(node, set): only texts that are asked for are read again."""
+        asked = nodes.join(asked.distinct(), "node").select("node", F.col("at.row").alias("row"))
+        texts = rows.select(F.col("at.row").alias("row"), "text").join(asked.hint("merge"), "row").dropDuplicates(["row"]).select("node", "text")
+        return kept.put(add_columns(texts, ["text"], {"set": "array<bigint>"}, _sets, drop=("text",)))
+
     def checked(pairs: DataFrame) -> DataFrame:
-        """The links among the pairs; only texts that are asked for are read again."""
+        """The links among the pairs."""
         pairs = kept.put(nearby(pairs, nodes))
-        asked = nodes.join(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node").select("node", F.col("at.row").alias("row"))
-        texts = rows.select(F.col("at.row").alias("row"), "text").join(asked.hint("merge"), "row").dropDuplicates(["row"]).select("node", "text")
-        sets = kept.put(add_columns(texts, ["text"], {"set": "array<bigint>"}, _sets, drop=("text",)))
+        sets = sets_of(pairs.select(F.explode(F.array("u", "v")).alias("node")))
         out = kept.put(similar(pairs, sets))
-        kept.drop(sets)
-        kept.drop(pairs)
+        kept.drop(sets, pairs)
         return out
 
     per = 64 // WIDTH
@@ -125,16 +206,20 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", cap: i
     found = linked_words(nodes.where("print is not null").select(F.col("node").alias("id"), word.alias("g", "word")), kept, BUDGET, cap, WIDTH, _pairs_to_compare)
     found = kept.put(found.withColumn("of", F.monotonically_increasing_id()))
     outer = F.array(*(F.element_at("members", i) for i in (1, 2, -2, -1)))
-    large = found.where("members is not null").select("of", F.element_at(outer, (F.pmod("of", F.lit(4)) + 1).cast("int")).alias("leader"), F.explode("members").alias("node"))
+    large = found.where("members is not null").select("of", F.col("u").alias("g"), F.element_at(outer, (F.pmod("of", F.lit(4)) + 1).cast("int")).alias("leader"), F.explode("members").alias("node"))
     both = found.where("members is null").select("u", "v").unionByName(large.where("node <> leader").select(F.col("node").alias("u"), F.col("leader").alias("v")))
     edges = checked(both.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     roots = kept.put(components(edges, kept))
-    member = kept.put(large.join(roots.hint("merge"), "node", "left").select("of", "node", F.coalesce("root", "node").alias("root")))
-    apart = member.join(member.groupBy("of").agg(F.min_by("root", "node").alias("main")), "of").where("root <> main").select("of", F.col("node").alias("other"), F.col("root").alias("other_root"))
-    rest = member.join(apart, "of").where("root <> other_root").select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct()
-    rest = kept.put(rest.join(edges, ["u", "v"], "left_anti"))
-    if rest.limit(1).count():
-        roots = kept.put(components(edges.unionByName(checked(rest)), kept))
+    member = kept.put(large.join(roots.hint("merge"), "node", "left").select("of", "g", "node", F.coalesce("root", "node").alias("root")))
+    mixed = kept.put(_mixed(member))
+    kept.drop(member, found)
+    if mixed.limit(1).count():
+        sets = sets_of(mixed.select("node"))
+        more = kept.put(_home_links(mixed, nodes, sets))
+        kept.drop(sets)
+        rest = kept.put(_direct_links(mixed, nodes).join(edges, ["u", "v"], "left_anti"))
+        roots = kept.put(components(edges.unionByName(more).unionByName(checked(rest)), kept))
+    kept.drop(mixed)
     named = nodes.select("node", "at").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     stay = kept.put(named.groupBy("root").agg(F.min("at").alias("at")).select("at.row"))
     return take_rows(docs, stay)

@@ -180,16 +180,16 @@ def _forest_of_links(start: int, budget: int, width: int):
 
 def _pairs_to_compare(start: int, budget: int, width: int):
     def run(_key, rows: pd.DataFrame) -> pd.DataFrame:
-        """Of each cluster of linked words: all pairs (u, v) of its ids, or, of a large one, one row with its sorted members."""
+        """Of each cluster of linked words: all pairs (u, v) of its ids, or, of a large one, one row with its group (as u) and its sorted members."""
         rows, keys, once, groups = _node_pairs(rows)
         i, j = walk(keys[once], groups, start, budget, width)
         root = _forest(len(once), i, j)
         counts = np.diff(np.append(once, len(rows)))
         cluster = np.repeat(root, counts)  # of each row
         order = np.lexsort((rows["id"].to_numpy(), cluster))
-        ids, cluster = rows["id"].to_numpy()[order], cluster[order]
+        ids, cluster, group = rows["id"].to_numpy()[order], cluster[order], rows["g"].to_numpy()[order]
         again = np.concatenate([[False], (ids[1:] == ids[:-1]) & (cluster[1:] == cluster[:-1])])
-        ids, cluster = ids[~again], cluster[~again]
+        ids, cluster, group = ids[~again], cluster[~again], group[~again]
         lo = np.flatnonzero(np.concatenate([[True], cluster[1:] != cluster[:-1]]))
         size = np.diff(np.append(lo, len(ids)))
         u, v = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
@@ -200,7 +200,7 @@ def _pairs_to_compare(start: int, budget: int, width: int):
             v.append(members[:, y].ravel())
         pairs = pd.DataFrame({"u": np.concatenate(u), "v": np.concatenate(v), "members": None})
         large = [ids[a : a + n] for a, n in zip(lo[size > ALL_PAIRS], size[size > ALL_PAIRS], strict=True)]
-        made = pd.concat([pairs, pd.DataFrame({"u": None, "v": None, "members": large})]) if large else pairs
+        made = pd.concat([pairs, pd.DataFrame({"u": group[lo[size > ALL_PAIRS]], "v": None, "members": large})]) if large else pairs
         return made.astype({"u": "Int64", "v": "Int64"})
 
     return run
