@@ -2,9 +2,10 @@
 
 Slots (sid, slot, token, x, y, z) carry a token at an anchor; cells (sid, x, y, z, slot) say which slot
 owns a voxel. A pair of touching slots has the key (token a, token b, anchor b - anchor a). Training finds
-the pairs once by joins over cells; each rule then takes the most frequent key (ties to the smallest), merges
-its matches and renames the merged slots in the table of pairs, so that no rule looks at cells again. The
-tables are written out in between. Whether slots touch follows from
+the pairs once by a join over voxels and keeps a table of counts by key. Each rule then takes the most frequent key
+(ties to the smallest), merges its matches, and rewrites only the pairs of the merged slots: they are appended anew as a
+generation, their old rows are outdated by a log of merged slots, and the counts take the signed difference. No rule
+looks at cells again or recounts what it doesn't touch. Whether slots touch follows from
 the key, so encoding needs anchors alone: a sample's voxels are bounded by its grid, and one Arrow task
 replays the rules for each sample.
 """
@@ -23,6 +24,7 @@ from ..functions import text as T
 from ..sources.writers import shared_folder
 
 XYZ = ("x", "y", "z")
+FACES6 = (*space.FACES, *(tuple(-v for v in f) for f in space.FACES))
 #: Voxels of a sample that one task encodes (a filled grid of 128^3).
 LARGEST = 1 << 21
 
@@ -107,8 +109,12 @@ def matches(slots: DataFrame, a: int, b: int, rel: tuple[int, int, int]) -> Data
     """
     left = slots.where(F.col("token") == a).select("sid", F.col("slot").alias("slot_a"), *XYZ)
     right = slots.where(F.col("token") == b).select("sid", F.col("slot").alias("slot_b"), *((F.col(c) - d).alias(c) for c, d in zip(XYZ, rel, strict=True)))
-    met = left.join(right, ["sid", *XYZ])
-    if a != b:
+    return disjoint(left.join(right, ["sid", *XYZ]), a == b, rel)
+
+
+def disjoint(met: DataFrame, same: bool, rel: tuple[int, int, int]) -> DataFrame:
+    """Of the matches (sid, slot_a, slot_b, anchor of a) of a key those that the pass picks; ``same``: both tokens are one."""
+    if not same:
         return met.select("sid", "slot_a", "slot_b")
     axis = next(i for i, d in enumerate(rel) if d)
     step = F.floor(F.col(XYZ[axis]) / rel[axis])
@@ -157,12 +163,14 @@ def renamed_pairs(pairs: DataFrame, met: DataFrame, rule: Rule) -> DataFrame:
         to = moved.select("sid", F.col("slot").alias(f"slot_{s}"), F.col("new").alias("_new"), *(F.col(f"m{c}").alias(f"_m{c}") for c in XYZ))
         out = out.join(to, ["sid", f"slot_{s}"], "left")
         shift = {f"d{c}": (F.col(f"d{c}") + sign * F.coalesce(F.col(f"_m{c}"), F.lit(0))).cast("int") for c in XYZ}
+        if s == "a" and "x" in pairs.columns:
+            shift |= {c: (F.col(c) + F.coalesce(F.col(f"_m{c}"), F.lit(0))).cast("int") for c in XYZ}
         out = out.withColumns({s: F.when(F.col("_new").isNotNull(), F.lit(rule.new_id)).otherwise(F.col(s)).cast("long"), f"slot_{s}": F.coalesce("_new", f"slot_{s}"), **shift}).drop("_new", *(f"_m{c}" for c in XYZ))
     return out.where("slot_a <> slot_b").select(*pairs.columns).distinct()
 
 
 class Cut:
-    """Writes tables to the session's shared checkpoint folder so that loops keep short plans."""
+    """Writes tables to the session's shared checkpoint folder so that loops keep short plans; ``drop`` removes all of them."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.n = spark, shared_folder(spark, "bpe3d"), 0
@@ -172,32 +180,107 @@ class Cut:
         df.write.parquet(f"{self.root}/{self.n}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{self.n}")
 
+    def drop(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+KEY = ("a", "b", "dx", "dy", "dz")
+
+
+def leaf_pairs(slots: DataFrame) -> DataFrame:
+    """Touching pairs of single voxels with their key and the anchor of a: one join, as each voxel is a slot."""
+    left = slots.withColumn("o", F.explode(space.offsets(space.FACES)))
+    left = left.select("sid", F.col("slot").alias("slot_a"), F.col("token").alias("a"), *XYZ, *(F.col(f"o.d{c}").alias(f"d{c}") for c in XYZ), *((F.col(c) + F.col(f"o.d{c}")).alias(f"_{c}") for c in XYZ))
+    right = slots.select("sid", F.col("slot").alias("slot_b"), F.col("token").alias("b"), *(F.col(c).alias(f"_{c}") for c in XYZ))
+    return left.join(right, ["sid", *(f"_{c}" for c in XYZ)]).select("sid", "slot_a", "slot_b", *KEY, *XYZ)
+
+
+class PairLog:
+    """The pairs of a corpus in training, as a log: generations of rows, sorted by key, and the slots that merges have touched.
+
+    A row of generation g is outdated once a rule of number g or later has touched one of its slots. A rule reads
+    the rows of its key (pruned by the order of the files) and the rows of its slots, and appends what replaces
+    them; every ``compact`` rules the valid rows are written anew as one generation.
+    """
 
-def train(leaves: DataFrame, base_vocab: int, merges: int, min_freq: int = 2) -> list[Rule]:
-    """Learn up to ``merges`` rules; stops when no key occurs ``min_freq`` times. Only the best key of each round reaches the driver."""
-    cut = Cut(leaves.sparkSession)
-    slots = cut(slots_of(leaves))
-    pairs = cut(touching(slots, cells_of(slots)))
+    def __init__(self, leaves: DataFrame, compact: int = 64):
+        self.spark, self.cut, self.compact = leaves.sparkSession, Cut(leaves.sparkSession), compact
+        self.pairs = self._generation(leaf_pairs(self.cut(slots_of(leaves))), 0)
+        self.generations, self.touched = [self.pairs], []
+        self.counts = self.cut(pair_counts(self.pairs))
+        self.rewritten: list[int] = []
+
+    def _generation(self, rows: DataFrame, number: int) -> DataFrame:
+        return self.cut(rows.withColumn("gen", F.lit(number)).sortWithinPartitions(*KEY))
+
+    def _valid(self, rows: DataFrame) -> DataFrame:
+        """Rows whose slots no later rule has touched."""
+        if not self.touched:
+            return rows
+        log = self.touched[0]
+        for t in self.touched[1:]:
+            log = log.unionByName(t)
+        log = log.groupBy("sid", "slot").agg(F.max("rank").alias("_rank"))
+        for side in ("slot_a", "slot_b"):
+            rows = rows.join(log.withColumnRenamed("slot", side), ["sid", side], "left").where("_rank is null or _rank < gen").drop("_rank")
+        return rows
+
+    def _all(self) -> DataFrame:
+        out = self.generations[0]
+        for g in self.generations[1:]:
+            out = out.unionByName(g)
+        return out
+
+    def merge(self, rule: Rule) -> None:
+        """Apply a rule: outdate the pairs of its matches, append the renamed ones, and move the counts by the difference."""
+        is_key = F.lit(True)
+        for c, v in zip(KEY, (rule.a, rule.b, *rule.rel), strict=True):
+            is_key = is_key & (F.col(c) == v)
+        met = self.cut(disjoint(self._valid(self._all().where(is_key)), rule.a == rule.b, rule.rel))
+        slots = met.select("sid", F.explode(F.array("slot_a", "slot_b")).alias("slot"), F.lit(rule.rank).alias("rank"))
+        near = self._all()
+        for side in ("slot_a", "slot_b"):
+            near = near.join(slots.select("sid", F.col("slot").alias(side), F.lit(True).alias(f"_{side}")), ["sid", side], "left")
+        near = self.cut(self._valid(near.where("_slot_a or _slot_b").drop("_slot_a", "_slot_b")).drop("gen"))
+        fresh = self._generation(renamed_pairs(near, met, rule), rule.rank + 1)
+        moved = near.select(*KEY, F.lit(-1).alias("n")).unionByName(fresh.select(*KEY, F.lit(1).alias("n")))
+        moved = moved.groupBy(*KEY).agg(F.sum("n").alias("n"))
+        self.counts = self.cut(self.counts.unionByName(moved).groupBy(*KEY).agg(F.sum("n").alias("n")).where("n > 0"))
+        self.generations.append(fresh)
+        self.touched.append(slots)
+        if len(self.generations) > self.compact:
+            # generation numbers go on from here: rows written now are valid until a later rule touches them
+            self.generations, self.touched = [self._generation(self._valid(self._all()).drop("gen"), rule.rank + 1)], []
+
+
+def train(leaves: DataFrame, base_vocab: int, merges: int, min_freq: int = 2, choose=None, compact: int = 64) -> list[Rule]:
+    """Learn up to ``merges`` rules; stops when no key occurs ``min_freq`` times. Only the chosen key of each round reaches the driver.
+
+    ``choose(counts, rank)`` gives the one row of the next key (default: ``best_pair``).
+    """
+    log = PairLog(leaves, compact)
     rules: list[Rule] = []
     for rank in range(merges):
-        best = best_pair(pair_counts(pairs)).collect()
-        if not best or best[0]["n"] < min_freq:
-            break
-        r = best[0]
-        rule = Rule(rank, base_vocab + rank, r["a"], r["b"], (r["dx"], r["dy"], r["dz"]))
-        rules.append(rule)
-        if rank + 1 == merges:
+        frequent = log.counts.where(F.col("n") >= min_freq)
+        found = (choose(frequent, rank) if choose else best_pair(frequent)).collect()
+        if not found:
             break
-        if rule.a == rule.b:  # overlapping matches: the anchors decide
-            met = cut(matches(slots, rule.a, rule.b, rule.rel))
-        else:  # whether slots touch follows from the key, so its pairs are all matches
-            key = [F.col(c) == v for c, v in zip(("a", "b", "dx", "dy", "dz"), (rule.a, rule.b, *rule.rel), strict=True)]
-            met = cut(pairs.where(key[0] & key[1] & key[2] & key[3] & key[4]).select("sid", "slot_a", "slot_b"))
-        slots = cut(merge(slots, None, rule, met)[0])
-        pairs = cut(renamed_pairs(pairs, met, rule))
+        r = found[0]
+        rules.append(Rule(rank, base_vocab + rank, r["a"], r["b"], (r["dx"], r["dy"], r["dz"])))
+        if rank + 1 < merges:
+            log.merge(rules[-1])
+    log.cut.drop()
     return with_leaves(rules)
 
 
+def weighted_pair(counted: DataFrame, seed: int, step: int) -> DataFrame:
+    """Control: one key drawn by its frequency, the same for a seed and step on any partitioning: the least -ln(u) / n, u from a hash of the key."""
+    key = [c for c in KEY if c in counted.columns]
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(str(step)), *key)), 1, 8), 16, 10).cast("double")
+    return counted.orderBy(-F.log((h + 0.5) / 4294967296.0) / F.col("n"), *key).limit(1)
+
+
 def _spread(v: int) -> int:
     out = 0
     for i in range(v.bit_length()):
@@ -335,12 +418,13 @@ def random_pair_1d(counted: DataFrame, seed: int, step: int, min_freq: int = 2)
     return counted.where(F.col("n") >= min_freq).orderBy(h, "a", "b").limit(1)
 
 
-def train_1d(seq: DataFrame, base_vocab: int, merges: int, min_freq: int = 2) -> tuple[list[tuple[int, int, int]], DataFrame]:
-    """Learned (a, b, new id), and the sequences they leave."""
+def train_1d(seq: DataFrame, base_vocab: int, merges: int, min_freq: int = 2, choose=None) -> tuple[list[tuple[int, int, int]], DataFrame]:
+    """Learned (a, b, new id), and the sequences they leave; ``choose`` as in ``train``."""
     cut, rules = Cut(seq.sparkSession), []
     for k in range(merges):
-        best = best_pair_1d(pair_counts_1d(seq)).collect()
-        if not best or best[0]["n"] < min_freq:
+        frequent = pair_counts_1d(seq).where(F.col("n") >= min_freq)
+        best = (choose(frequent, k) if choose else best_pair_1d(frequent)).collect()
+        if not best:
             break
         rules.append((best[0]["a"], best[0]["b"], base_vocab + k))
         seq = cut(merge_1d(seq, *rules[-1]))
@@ -359,5 +443,25 @@ def motif_features(rules: DataFrame) -> DataFrame:
     near = leaf.withColumn("o", F.explode(space.offsets(space.FACES))).select("new_id", F.struct("dx", "dy", "dz").alias("p"), (F.col("dx") + F.col("o.dx")).alias("dx"), (F.col("dy") + F.col("o.dy")).alias("dy"), (F.col("dz") + F.col("o.dz")).alias("dz"))
     edges = near.join(leaf, ["new_id", "dx", "dy", "dz"]).select("new_id", "p", F.struct("dx", "dy", "dz").alias("q"))
     degree = edges.select("new_id", F.explode(F.array("p", "q")).alias("v")).groupBy("new_id", "v").agg(F.count("*").alias("d"))
-    shape = degree.groupBy("new_id").agg((F.sum("d") / 2).cast("long").alias("edges"), F.max("d").alias("top_degree"))
+    each = degree.groupBy("new_id", "d").agg(F.count("*").alias("m"))
+    shape = each.groupBy("new_id").agg((F.sum(F.col("d") * F.col("m")) / 2).cast("long").alias("edges"), F.max("d").alias("top_degree"))
     return box.join(shape, "new_id", "left")
+
+
+def motif_shapes(rules: DataFrame) -> DataFrame:
+    """Of each rule's footprint: cells by their number of face neighbours (a map), and the shape's name.
+
+    ``line``, ``plane`` or ``volume`` by how many sides of the box are longer than 1; a plane or volume whose cells
+    form one path (two ends, no cell with more than two neighbours) is a ``chain``.
+    """
+    leaf = rules.select("new_id", F.explode("leaf").alias("l")).select("new_id", "l.dx", "l.dy", "l.dz")
+    side = lambda c: (F.max(c) > F.min(c)).cast("int")
+    box = leaf.groupBy("new_id").agg((side("dx") + side("dy") + side("dz")).alias("rank"), F.count("*").alias("cells"))
+    around = leaf.withColumn("o", F.explode(space.offsets(FACES6))).select("new_id", *(F.col(f"d{c}").alias(f"p{c}") for c in XYZ), *((F.col(f"d{c}") + F.col(f"o.d{c}")).alias(f"d{c}") for c in XYZ))
+    met = around.join(leaf.withColumn("hit", F.lit(1)), ["new_id", *(f"d{c}" for c in XYZ)], "left")
+    degree = met.groupBy("new_id", *(f"p{c}" for c in XYZ)).agg(F.count("hit").alias("d"))
+    each = degree.groupBy("new_id", "d").agg(F.count("*").alias("m"))
+    # a map aggregate: at most seven degrees a rule
+    hist = each.groupBy("new_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("d", "m")))).alias("degrees"), F.max("d").alias("top"), F.sum(F.when(F.col("d") == 1, F.col("m")).otherwise(0)).alias("ends"))
+    named = F.when(F.col("rank") < 2, "line").when((F.col("top") < 3) & (F.col("ends") == 2), "chain").when(F.col("rank") == 2, "plane").otherwise("volume")
+    return box.join(hist, "new_id").select("new_id", "cells", "degrees", named.alias("shape"))
