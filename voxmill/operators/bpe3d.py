@@ -335,14 +335,14 @@ def encode(leaves: DataFrame, rules: list[Rule]) -> DataFrame:
     return once.groupBy("sid").applyInPandas(run, f"sid {sid_type}, x int, y int, z int, token bigint")
 
 
-def decode(encoded: DataFrame, rules: list[Rule], base_vocab: int) -> DataFrame:
-    """Leaf voxels of encoded samples; an unknown id raises."""
+def decode(encoded: DataFrame, rules: list[Rule], base_vocab: int, *carried: str) -> DataFrame:
+    """Leaf voxels of encoded samples, with the columns ``carried``; an unknown id raises."""
     table = F.broadcast(rules_frame(encoded.sparkSession, rules).select(F.col("new_id").alias("token"), "leaf"))
     met = encoded.join(table, "token", "left")
     own = F.array(F.struct(F.col("token").cast("long").alias("token"), F.lit(0).alias("dx"), F.lit(0).alias("dy"), F.lit(0).alias("dz")))
     unknown = F.raise_error(F.concat(F.lit("unknown token "), F.col("token").cast("string"))).cast("array<struct<token:bigint,dx:int,dy:int,dz:int>>")
     leaf = F.when(F.col("leaf").isNotNull(), F.col("leaf")).when(F.col("token") < base_vocab, own).otherwise(unknown)
-    return met.select("sid", *XYZ, F.explode(leaf).alias("l")).select("sid", *((F.col(c) + F.col(f"l.d{c}")).cast("int").alias(c) for c in XYZ), F.col("l.token").alias("token"))
+    return met.select("sid", *XYZ, *carried, F.explode(leaf).alias("l")).select("sid", *((F.col(c) + F.col(f"l.d{c}")).cast("int").alias(c) for c in XYZ), F.col("l.token").alias("token"), *carried)
 
 
 def apply_to_texts(rows: DataFrame, column: str, rules: list[Rule], max_id: int) -> DataFrame:
@@ -448,20 +448,40 @@ def motif_features(rules: DataFrame) -> DataFrame:
     return box.join(shape, "new_id", "left")
 
 
+#: Names of shapes (fixed values).
+SHAPES = ("singleton", "linear_chain_like", "planar_like", "volumetric_like", "_branched")
+
+
 def motif_shapes(rules: DataFrame) -> DataFrame:
-    """Of each rule's footprint: cells by their number of face neighbours (a map), and the shape's name.
+    """Of each rule's footprint: the cells by their number of face neighbours, as a map, and the rank of its shape.
 
-    ``line``, ``plane`` or ``volume`` by how many sides of the box are longer than 1; a plane or volume whose cells
-    form one path (two ends, no cell with more than two neighbours) is a ``chain``.
+    A line fills the only long side of its box; other footprints are planar if a side is 1 and volumetric if none
+    is. One that has a cell with three neighbours or more is branched.
     """
-    leaf = rules.select("new_id", F.explode("leaf").alias("l")).select("new_id", "l.dx", "l.dy", "l.dz")
-    side = lambda c: (F.max(c) > F.min(c)).cast("int")
-    box = leaf.groupBy("new_id").agg((side("dx") + side("dy") + side("dz")).alias("rank"), F.count("*").alias("cells"))
+    leaf = rules.select("new_id", F.explode("leaf").alias("l")).select("new_id", "l.dx", "l.dy", "l.dz").distinct()
+    side = lambda c: F.max(c) - F.min(c) + 1
+    sides = [side(f"d{c}") for c in XYZ]
+    box = leaf.groupBy("new_id").agg(F.count("*").alias("cells"), F.least(*sides).alias("short"), F.greatest(*sides).alias("long"))
     around = leaf.withColumn("o", F.explode(space.offsets(FACES6))).select("new_id", *(F.col(f"d{c}").alias(f"p{c}") for c in XYZ), *((F.col(f"d{c}") + F.col(f"o.d{c}")).alias(f"d{c}") for c in XYZ))
     met = around.join(leaf.withColumn("hit", F.lit(1)), ["new_id", *(f"d{c}" for c in XYZ)], "left")
-    degree = met.groupBy("new_id", *(f"p{c}" for c in XYZ)).agg(F.count("hit").alias("d"))
-    each = degree.groupBy("new_id", "d").agg(F.count("*").alias("m"))
-    # a map aggregate: at most seven degrees a rule
-    hist = each.groupBy("new_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("d", "m")))).alias("degrees"), F.max("d").alias("top"), F.sum(F.when(F.col("d") == 1, F.col("m")).otherwise(0)).alias("ends"))
-    named = F.when(F.col("rank") < 2, "line").when((F.col("top") < 3) & (F.col("ends") == 2), "chain").when(F.col("rank") == 2, "plane").otherwise("volume")
-    return box.join(hist, "new_id").select("new_id", "cells", "degrees", named.alias("shape"))
+    degree = met.groupBy("new_id", *(f"p{c}" for c in XYZ)).agg(F.count("hit").cast("int").alias("degree"))
+    each = degree.groupBy("new_id", "degree").agg(F.count("*").alias("n"))  # seven rows a rule at most
+    hist = each.groupBy("new_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("degree", "n")))).alias("degrees"), F.max("degree").alias("top"))
+    single, line, plane, volume, branched = map(F.lit, SHAPES)
+    name = F.when((F.col("short") == 1) & (F.col("long") == F.col("cells")), line).when(F.col("short") == 1, plane).otherwise(volume)
+    name = F.when(F.col("cells") < 2, single).otherwise(F.when(F.col("top") >= 3, F.concat(name, branched)).otherwise(name))
+    return box.join(hist, "new_id").select("new_id", "cells", "degrees", name.alias("shape"))
+
+
+def owners(encoded: DataFrame, rules: list[Rule], base_vocab: int) -> DataFrame:
+    """(sid, x, y, z, own): each leaf voxel with the anchor and token that own it, as a struct; an unknown id raises."""
+    anchored = encoded.select("sid", *XYZ, "token", F.struct(*XYZ, "token").alias("own"))
+    return decode(anchored, rules, base_vocab, "own").drop("token")
+
+
+def boundary_pairs(owned: DataFrame) -> DataFrame:
+    """Face neighbours of different owners: (sid, dir, tok, other), dir 1 to 3 for x to z."""
+    from . import voxel
+
+    p = voxel.neighbours(owned, value="own").where("own <> other")
+    return p.select("sid", (F.col("dx") + 2 * F.col("dy") + 3 * F.col("dz")).alias("dir"), F.col("own.token").alias("tok"), F.col("other.token").alias("other"))

@@ -57,13 +57,13 @@ def overlay(current: DataFrame, pretrained: DataFrame) -> DataFrame:
 
 
 def kmeans(rows: DataFrame, key: str, vector: str, k: int, rounds: int) -> DataFrame:
-    """(code, n, vector): k centres after Lloyd's rounds, from the k rows least by the hash of their key; an empty centre stays where it is.
+    """(code, n, vector): k centres after Lloyd's rounds, from the k rows least by the hash of their key (ties by key, then vector); an empty centre stays where it is.
 
     The centres (k, bounded by the codebook) travel with each round's plan; rows are read once a round and
     only sums are shuffled.
     """
     spark = rows.sparkSession
-    first = rows.select(F.md5(F.col(key).cast("string")).alias("h"), key, vector).orderBy("h", key).limit(k).collect()
+    first = rows.select(F.md5(F.col(key).cast("string")).alias("h"), key, vector).orderBy("h", key, vector).limit(k).collect()
     centres, counts = [[float(x) for x in r[vector]] for r in first], [None] * len(first)
     for _ in range(rounds):
         if not centres:

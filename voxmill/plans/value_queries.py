@@ -128,7 +128,7 @@ def _step_sql(k: int) -> str:
     return near + f", k{k + 1} as materialized (select k.id, coalesce(any_value(m), any_value(k.p)) as p from k{k} k left join (select c, [avg(p[1]), avg(p[2]), avg(p[3])] as m from a{k} group by 1) n on k.id = n.c group by 1)"
 
 
-@query(f"""with e as materialized (select row_number() over () as r, l_orderkey * 10 + l_linenumber as i, [l_quantity / 50.0, l_discount * 10.0, l_tax * 12.5]::double[] as p from lineitem), k0 as materialized (select row_number() over (order by h, i) - 1 as id, p from (select i, p, md5(i::varchar) as h from e order by h, i limit 6)),
+@query(f"""with e as materialized (select row_number() over () as r, l_orderkey * 10 + l_linenumber as i, [l_quantity / 50.0, l_discount * 10.0, l_tax * 12.5]::double[] as p from lineitem), k0 as materialized (select row_number() over (order by h, i, p) - 1 as id, p from (select i, p, md5(i::varchar) as h from e order by h, i, p limit 6)),
 {", ".join(_step_sql(k) for k in range(3))} select k.id::int as code, n, round(p[1], 6) as a, round(p[2], 6) as b, round(p[3], 6) as c from k3 k left join (select c, count(*) as n from a2 group by 1) s on k.id = s.c""")
 def kmeans_codebook(spark, sf):
     """A codebook re-estimated by three rounds of k-means from rows drawn by hash."""
