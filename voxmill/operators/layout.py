@@ -179,3 +179,48 @@ def fit_limit(voxels: DataFrame, limit: int, policy: str, order: Column, key: Se
         raise ValueError(f"unknown policy {policy}")
     place = F.row_number().over(Window.partitionBy(*key).orderBy(order, *XYZ)) - 1
     return fits.withColumn("place", place.cast("long"))
+
+
+def csr_cells(rows: DataFrame, key: str, shape: str = "shape", indptr: str = "indptr", indices: str = "indices", data: str = "data") -> DataFrame:
+    """(key, c0, c1, ..., value, error): the stored cells of compressed sparse row matrices in array columns, by their place in the full shape.
+
+    Row r of a matrix has the elements from indptr[r] to indptr[r + 1]; rows are the first side of ``shape`` (four
+    sides), columns the others in C order. A matrix whose pointers or indices don't fit gives one row with its error.
+    """
+    ptr, ind, val, sides = F.col(indptr), F.col(indices), F.col(data), F.col(shape)
+    n = F.size(ptr) - 1
+    width = F.aggregate(F.slice(sides, 2, 3), F.lit(1).cast("long"), lambda a, b: a * b)
+    falls = F.exists(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.get(indptr, i + 1) < F.get(indptr, i))
+    problem = (
+        F.when(sides.isNull() | ptr.isNull() | ind.isNull() | val.isNull(), "missing part")
+        .when(F.size(sides) != 4, "no shape of four sides")
+        .when(n != F.get(shape, F.lit(0)), "as many pointers as rows and one more are needed")
+        .when((F.get(indptr, F.lit(0)) != 0) | falls, "pointers must rise from 0")
+        .when((F.get(indptr, n) != F.size(ind)) | (F.size(ind) != F.size(val)), "the last pointer must be the number of elements")
+        .when(F.exists(ind, lambda i: i.isNull() | (i < 0) | (i >= width)), "column beyond the shape")
+    )
+    checked = rows.select(key, sides.alias(shape), ptr.alias(indptr), ind.alias(indices), val.alias(data), problem.alias("error"))
+    span = lambda a, r: F.slice(a, F.get(indptr, r) + 1, F.get(indptr, r + 1) - F.get(indptr, r))
+    good = checked.where("error is null and size(" + indptr + ") > 1")
+    good = good.select(key, shape, indptr, indices, data, F.explode(F.sequence(F.lit(0), F.size(indptr) - 2)).alias("c0"))
+    good = good.select(key, shape, "c0", F.explode(F.arrays_zip(span(F.col(indices), F.col("c0")).alias("i"), span(F.col(data), F.col("c0")).alias("v"))).alias("e"))
+    i, b, c = F.col("e.i").cast("long"), F.get(shape, F.lit(2)), F.get(shape, F.lit(3))
+    cells = good.select(key, "c0", F.expr(f"e.i div ({shape}[2] * {shape}[3])").cast("int").alias("c1"), F.expr(f"(e.i div {shape}[3]) % {shape}[2]").cast("int").alias("c2"), (i % c).cast("int").alias("c3"), F.col("e.v").cast("double").alias("value"), F.lit(None).cast("string").alias("error"))
+    return cells.unionByName(checked.where("error is not null").select(key, *(F.lit(None).cast("int").alias(f"c{j}") for j in range(4)), F.lit(None).cast("double").alias("value"), "error"))
+
+
+def sample_views(points: DataFrame, maps: DataFrame, key: Sequence[str], side: int) -> DataFrame:
+    """(key, views, feature): mean over the views of each point of its view's feature map, read between cells.
+
+    ``points`` (key, view, u, v) has places in [0, 1) of the map's width and height, ``maps`` (view, row, col, value) the
+    cells of side x side maps. Cell centres lie at (i + 1/2) / side; a place takes its four nearest ones with bilinear weights,
+    those beyond the map counting as 0. The corners meet their cells in one join on (view, row, col).
+    """
+    at = {c: F.col(c) * side - 0.5 for c in "uv"}
+    corner = F.explode(F.array(*(F.struct(F.lit(i).alias("du"), F.lit(j).alias("dv")) for i in (0, 1) for j in (0, 1)))).alias("o")
+    rows = points.select(*key, "view", *(F.floor(x).alias(f"{c}0") for c, x in at.items()), *((x - F.floor(x)).alias(f"{c}f") for c, x in at.items()), corner)
+    weight = F.when(F.col("o.du") == 1, F.col("uf")).otherwise(1 - F.col("uf")) * F.when(F.col("o.dv") == 1, F.col("vf")).otherwise(1 - F.col("vf"))
+    rows = rows.select(*key, "view", (F.col("v0") + F.col("o.dv")).cast("int").alias("row"), (F.col("u0") + F.col("o.du")).cast("int").alias("col"), weight.alias("w"))
+    met = rows.join(maps, ["view", "row", "col"], "left")
+    total = met.groupBy(*key).agg(F.countDistinct("view").alias("views"), F.sum(F.col("w") * F.coalesce("value", F.lit(0.0))).alias("total"))
+    return total.select(*key, "views", (F.col("total") / F.col("views")).alias("feature"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..functions import space
 from ..operators import catalog, layout, voxel
+from ..sources import shards
+from ..sources.writers import shared_folder
 from .base import MORTON, V, query, table, voxels
 
 
@@ -176,3 +180,48 @@ def resumable_padded(spark, sf):
     n = catalog.numbered(s, F.substring("h", 1, 3), "h", "doc_id", name="place").select("doc_id", "place")
     out = catalog.dealt(n, 8, "pad").withColumn("mode", F.lit("pad")).unionByName(catalog.dealt(n, 8, "drop").withColumn("mode", F.lit("drop")))
     return out.withColumn("rank", (F.col("place") % 8).cast("int"))
+
+
+@query(f"""with {V} select sid, x as c0, (y // 8)::int as c1, (y % 8)::int as c2, z as c3, (tok + 1)::double as value, null::varchar as error from v where sid % 3 <> 0
+union all select distinct sid, null::int, null::int, null::int, null::int, null::double, case when sid % 6 = 0 then 'the last pointer must be the number of elements' else 'pointers must rise from 0' end from v where sid % 3 = 0""")
+def csr_mask_cells(spark, sf):
+    """Masks as compressed sparse rows in array columns, expanded by their pointers; every third one is damaged and gives its error."""
+    v = voxels(spark, sf).withColumn("i", F.col("y") * 32 + F.col("z"))
+    rows = v.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("x", "i", "tok"))).alias("e"))
+    upto = F.transform(F.sequence(F.lit(0), F.lit(32)), lambda r: F.size(F.filter("e", lambda c: c["x"] < r)))
+    bad = F.when(F.col("sid") % 6 == 0, F.concat(F.slice("p", 1, 32), F.array(F.element_at("p", -1) + 1))).when(F.col("sid") % 3 == 0, F.concat(F.array(F.lit(-1)), F.slice("p", 2, 32))).otherwise(F.col("p"))
+    masks = rows.withColumn("p", upto).select("sid", F.array(*map(F.lit, (32, 4, 8, 32))).alias("shape"), bad.alias("indptr"), F.transform("e", lambda c: c["i"]).alias("indices"), F.transform("e", lambda c: (c["tok"] + 1).cast("double")).alias("data"))
+    return layout.csr_cells(masks, "sid")
+
+
+@query(f"with {V} select sid, x, y, z, tok from v")
+def shard_source(spark, sf):
+    """Voxels written as compressed shards through the data source, committed in two phases, and read back."""
+    path = shared_folder(spark, "shards")
+    shards.write_shards(voxels(spark, sf), path, "csr", voxels=1 << 14)
+    return shards.read_shards(spark, path, "csr", group=1 << 20)
+
+
+@query(f"with {V} select sid, x, y, z, ((tok - 8) / 16.0)::float as sdf, tok % 5 = 0 as edge from v")
+def sdf_source(spark, sf):
+    """Signed distances, an archive for each sample, through the data source and back."""
+    path = shared_folder(spark, "sdf")
+    rows = voxels(spark, sf).select("sid", "x", "y", "z", ((F.col("tok") - 8) / 16.0).cast("float").alias("sdf"), (F.col("tok") % 5 == 0).alias("edge"))
+    shards.write_shards(rows, path, "sdf")
+    return shards.read_shards(spark, path, "sdf")
+
+
+@query(f"""with {V}, e as (select vec_id, embedding from embeddings where embedding is not null and len(embedding) = 64), p as (select sid, x, y, z, vec_id, 2 * pi() * (vec_id % 8) / 8 as a from v join e on v.sid % 256 = vec_id % 256),
+q as (select *, ((cos(a) * ((x + 0.5) / 32 - 0.5) + sin(a) * ((z + 0.5) / 32 - 0.5)) * 0.7 + 0.5) * 8 - 0.5 as u, (((y + 0.5) / 32 - 0.5) * 0.7 + 0.5) * 8 - 0.5 as w from p),
+c as (select sid, x, y, z, q.vec_id, floor(u) + i as col, floor(w) + j as row, (case when i = 1 then u - floor(u) else 1 - u + floor(u) end) * (case when j = 1 then w - floor(w) else 1 - w + floor(w) end) as k from q, range(2) r(i), range(2) s(j))
+select sid, x, y, z, count(distinct c.vec_id) as views, round(sum(k * case when col between 0 and 7 and row between 0 and 7 then embedding[(row * 8 + col + 1)::int]::double else 0 end) / count(distinct c.vec_id), 5) as feature from c join e on c.vec_id = e.vec_id group by 1, 2, 3, 4""")
+def view_features(spark, sf):
+    """Feature of each voxel: its place in each view of its sample, read between the cells of the view's map, and the mean over the views. Vectors of 64 serve as maps of 8 x 8; views turn about the y axis."""
+    e = table(spark, sf, "embeddings").where("embedding is not null and size(embedding) = 64").select(F.col("vec_id").alias("view"), "embedding")
+    maps = e.select("view", F.posexplode("embedding").alias("at", "value")).select("view", F.floor(F.col("at") / 8).cast("int").alias("row"), (F.col("at") % 8).alias("col"), F.col("value").cast("double").alias("value"))
+    centre = lambda c: (F.col(c) + 0.5) / 32 - 0.5
+    turn = F.col("view") % 8 * (2 * math.pi / 8)
+    seen = voxels(spark, sf).withColumn("k", F.col("sid") % 256).join(e.select("view", (F.col("view") % 256).alias("k")), "k")
+    points = seen.select("sid", "x", "y", "z", "view", ((F.cos(turn) * centre("x") + F.sin(turn) * centre("z")) * 0.7 + 0.5).alias("u"), (centre("y") * 0.7 + 0.5).alias("v"))
+    out = layout.sample_views(points, maps, ["sid", "x", "y", "z"], 8)
+    return out.select("sid", "x", "y", "z", "views", F.round("feature", 5).alias("feature"))

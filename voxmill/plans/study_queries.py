@@ -10,6 +10,7 @@ from ..operators import bpe3d, experiments, stats, voxel
 from .base import MORTON, VM, V, query, voxels
 from .bpe_queries import BASE, MERGES, TRAINED, bpe_sql, directed_sql, leaves, leaves_sql, trained
 from .stat_queries import TRANSFORMS, uniform_sql
+from .voxel_queries import TRANSPOSED, hilbert_sql
 
 r6 = lambda c: F.round(c, 6).alias(c)
 RULE = "rank::int as rank, new_id::bigint as new_id, a, b, dx::int as dx, dy::int as dy, dz::int as dz, n"
@@ -296,3 +297,79 @@ def motif_shapes(spark, sf):
     s = bpe3d.motif_shapes(bpe3d.rules_frame(spark, bpe3d.train(leaves(spark, sf), BASE, SHAPED)))
     text = F.array_join(F.transform(F.map_entries("degrees"), lambda e: F.concat(e["key"].cast("string"), F.lit(":"), e["value"].cast("string"))), ",")
     return s.select("new_id", "cells", text.alias("degrees"), "shape")
+
+
+# --- one dimension against three, under each order ------------------------------------------------
+
+#: Orders of a sample's voxels: column and SQL.
+ORDERS = {
+    "morton": (space.morton, MORTON),
+    "hilbert": (space.hilbert, None),
+    "raster": (lambda: space.raster((32, 32, 32)), "(x * 1024 + y * 32 + z)"),
+    "zyx": (lambda: space.raster((32, 32, 32), "z", "y", "x"), "(z * 1024 + y * 32 + x)"),
+    "transposed": (lambda: space.morton("y", "x", "z"), TRANSPOSED),
+}
+ROUNDS = 2
+
+
+def _order_sql(name: str, code: str | None) -> str:
+    """1D training along an order with footprints (t<k>, distances g<k>), and each leaf's place in either encoder's sequence (o<name>)."""
+    t = f"_{name}"
+    by = "code" if code is None else code
+    rows = f"h{t}_code" if code is None else "v"
+    out = [hilbert_sql("v", tag=f"h{t}"), hilbert_sql(f"s{MERGES}", tag=f"k{t}")] if code is None else []
+    out.append(f"t0{t} as materialized (select sid, row_number() over (partition by sid order by {by}, x, y, z) - 1 as pos, tok::bigint as token, [(x, y, z)] as cells from {rows})")
+    for k in range(ROUNDS):
+        p, q = f"{k}{t}", f"{k + 1}{t}"
+        out.append(f"n{p} as (select *, lead(token) over (partition by sid order by pos) as nt, lead(cells) over (partition by sid order by pos) as nc from t{p})")
+        out.append(f"u{p} as materialized (select token as a, nt as b, count(*) as n from n{p} where nt is not null group by 1, 2 having count(*) >= 2 order by n desc, a desc, b desc limit 1)")
+        out.append(f"w{p} as (select n.*, coalesce(n.token = a and n.nt = b, false) as hit, a = b as same, row_number() over (partition by sid order by pos) as i from n{p} n, u{p})")
+        out.append(f"x{p} as (select *, i - row_number() over (partition by sid, hit order by pos) as run from w{p})")
+        out.append(f"y{p} as (select *, hit and (not same or row_number() over (partition by sid, hit, run order by pos) % 2 = 1) as take from x{p})")
+        out.append(f"z{p} as materialized (select *, coalesce(lag(take) over (partition by sid order by pos), false) as eaten from y{p})")
+        out.append(f"t{q} as materialized (select sid, row_number() over (partition by sid order by pos) - 1 as pos, case when take then {BASE + k} else token end as token, case when take then list_concat(cells, nc) else cells end as cells from z{p} where not eaten)")
+        out.append(f"g{p} as (select z.sid, z.pos, min(abs(p[1] - q[1]) + abs(p[2] - q[2]) + abs(p[3] - q[3])) as l1 from (select sid, pos, unnest(cells) as p, nc from z{p} where take and not eaten) z, unnest(z.nc) u(q) group by 1, 2)")
+    place = f"select slot, row_number() over (partition by sid order by {by}, x, y, z) - 1 as pos from {f'k{t}_code' if code is None else f's{MERGES}'}"
+    out.append(f"o{t} as materialized (select '1d' as encoder, sid, p[1] as x, p[2] as y, p[3] as z, pos from (select sid, pos, unnest(cells) as p from t{ROUNDS}{t}) union all select '3d', c.sid, x, y, z, pos from c{MERGES} c join ({place}) s on c.slot = s.slot)")
+    distances = " union all ".join(f"select l1 from g{k}{t}" for k in range(ROUNDS))
+    out.append(f"d{t} as (select '1d' as encoder, count(*) as merges, avg(l1) as l1, avg((l1 > 1)::int) as far from ({distances}) union all select '3d', (select sum(m) from ({' union all '.join(f'select count(*) as m from m{k}' for k in range(MERGES))})), 1, 0)")
+    out.append(f"e{t} as (select a.encoder, abs(b.pos - a.pos) as gap from o{t} a cross join ofs join o{t} b on a.encoder = b.encoder and a.sid = b.sid and a.x + ox = b.x and a.y + oy = b.y and a.z + oz = b.z)")
+    out.append(f"f{t} as (select '{name}' as ord, e.encoder, count(*) as edges, avg((gap = 0)::int) as inside, avg(gap) filter (where gap > 0) as gap_mean, quantile_cont(gap, 0.5) filter (where gap > 0) as p50, quantile_cont(gap, 0.9) filter (where gap > 0) as p90, quantile_cont(gap, 0.99) filter (where gap > 0) as p99, avg((gap = 1)::int) as next_ratio, any_value(merges) as merges, any_value(l1) as l1, any_value(far) as far from e{t} e join d{t} d on e.encoder = d.encoder group by 2)")
+    return ", ".join(out)
+
+
+@query(f"""with {TRAINED}, {', '.join(_order_sql(n, c) for n, (_, c) in ORDERS.items())}, al as ({' union all '.join(f'select * from f_{n}' for n in ORDERS)})
+select ord as order_name, encoder, edges, round(inside, 6) as inside, round(gap_mean, 6) as gap_mean, round(p50, 6) as p50, round(p90, 6) as p90, round(p99, 6) as p99, round(next_ratio, 6) as next_ratio, merges::bigint as merges, round(l1, 6) as merge_l1, round(far, 6) as nonlocal from al""")
+def order_panel(spark, sf):
+    """Both encoders under each order: face edges inside one token, how far apart in the sequence the others' tokens are, and how far apart in space the two sides of a merge were."""
+    lv, rules, enc = trained(spark, sf)
+    cut = bpe3d.Cut(spark)
+    v = cut(voxels(spark, sf))
+    owned = cut(bpe3d.owners(enc, rules, BASE))
+    merged = lv.agg(F.count("*").alias("n")).first()[0] - enc.count()
+    places, merges = None, None
+    for name, (code, _) in ORDERS.items():
+        seq = voxel.ranked(v, code(), "pos").select("sid", "pos", F.col("tok").cast("long").alias("token"), F.array(F.struct("x", "y", "z")).alias("cells"))
+        learned, _ = bpe3d.train_1d(seq.select("sid", "pos", "token"), BASE, ROUNDS)
+        steps = None
+        for rule in learned:
+            seq, dist = bpe3d.merge_1d_traced(seq, *rule)
+            seq = cut(seq)
+            steps = dist if steps is None else steps.unionByName(dist)
+        one = seq.select(F.lit("1d").alias("encoder"), "sid", F.explode("cells").alias("c"), "pos").select("encoder", "sid", "c.*", "pos")
+        anchors = voxel.ranked(enc, code(), "pos").select("sid", F.struct("x", "y", "z", "token").alias("own"), "pos")
+        three = owned.join(anchors, ["sid", "own"]).select(F.lit("3d").alias("encoder"), "sid", "x", "y", "z", "pos")
+        part = one.unionByName(three).withColumn("order_name", F.lit(name))
+        far = steps.agg(F.lit(name).alias("order_name"), F.lit("1d").alias("encoder"), F.count("*").alias("merges"), F.avg("l1").alias("l1"), F.avg((F.col("l1") > 1).cast("double")).alias("far")) if learned else None
+        places = part if places is None else places.unionByName(part)
+        merges = far if merges is None else merges if far is None else merges.unionByName(far)
+    fixed = spark.createDataFrame([(n, "3d", merged, 1.0, 0.0) for n in ORDERS], "order_name string, encoder string, merges bigint, l1 double, far double")
+    merges = fixed if merges is None else merges.unionByName(fixed)
+    key = ["order_name", "encoder", "sid"]
+    gaps = voxel.neighbours(places, value="pos", key=key).select("order_name", "encoder", F.abs(F.col("other") - F.col("pos")).alias("gap"))
+    apart = F.when(F.col("gap") > 0, F.col("gap"))
+    q = stats.quantiles(gaps.withColumn("gap", apart), key[:2], "gap", {"p50": 0.5, "p90": 0.9, "p99": 0.99})
+    share = lambda c: F.avg(c.cast("double"))
+    out = gaps.groupBy(*key[:2]).agg(F.count("*").alias("edges"), share(F.col("gap") == 0).alias("inside"), F.avg(apart).alias("gap_mean"), share(F.col("gap") == 1).alias("next_ratio"))
+    out = out.join(q, key[:2], "left").join(F.broadcast(merges), key[:2], "left")  # ten rows
+    return out.select("order_name", "encoder", "edges", r6("inside"), r6("gap_mean"), r6("p50"), r6("p90"), r6("p99"), r6("next_ratio"), "merges", F.round("l1", 6).alias("merge_l1"), F.round("far", 6).alias("nonlocal"))
