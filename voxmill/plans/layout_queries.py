@@ -214,7 +214,7 @@ def sdf_source(spark, sf):
 @query(f"""with {V}, e as (select vec_id, embedding from embeddings where embedding is not null and len(embedding) = 64), p as (select sid, x, y, z, vec_id, 2 * pi() * (vec_id % 8) / 8 as a from v join e on v.sid % 256 = vec_id % 256),
 q as (select *, ((cos(a) * ((x + 0.5) / 32 - 0.5) + sin(a) * ((z + 0.5) / 32 - 0.5)) * 0.7 + 0.5) * 8 - 0.5 as u, (((y + 0.5) / 32 - 0.5) * 0.7 + 0.5) * 8 - 0.5 as w from p),
 c as (select sid, x, y, z, q.vec_id, floor(u) + i as col, floor(w) + j as row, (case when i = 1 then u - floor(u) else 1 - u + floor(u) end) * (case when j = 1 then w - floor(w) else 1 - w + floor(w) end) as k from q, range(2) r(i), range(2) s(j))
-select sid, x, y, z, count(distinct c.vec_id) as views, round(sum(k * case when col between 0 and 7 and row between 0 and 7 then embedding[(row * 8 + col + 1)::int]::double else 0 end) / count(distinct c.vec_id), 5) as feature from c join e on c.vec_id = e.vec_id group by 1, 2, 3, 4""")
+select sid, x, y, z, count(distinct c.vec_id) as views, round(sum(k * case when col between 0 and 7 and row between 0 and 7 then embedding[(row * 8 + col + 1)::int]::double else 0 end) / count(distinct c.vec_id), 5) + 0.0 as feature from c join e on c.vec_id = e.vec_id group by 1, 2, 3, 4""")
 def view_features(spark, sf):
     """Feature of each voxel: its place in each view of its sample, read between the cells of the view's map, and the mean over the views. Vectors of 64 serve as maps of 8 x 8; views turn about the y axis."""
     e = table(spark, sf, "embeddings").where("embedding is not null and size(embedding) = 64").select(F.col("vec_id").alias("view"), "embedding")
@@ -224,4 +224,4 @@ def view_features(spark, sf):
     seen = voxels(spark, sf).withColumn("k", F.col("sid") % 256).join(e.select("view", (F.col("view") % 256).alias("k")), "k")
     points = seen.select("sid", "x", "y", "z", "view", ((F.cos(turn) * centre("x") + F.sin(turn) * centre("z")) * 0.7 + 0.5).alias("u"), (centre("y") * 0.7 + 0.5).alias("v"))
     out = layout.sample_views(points, maps, ["sid", "x", "y", "z"], 8)
-    return out.select("sid", "x", "y", "z", "views", F.round("feature", 5).alias("feature"))
+    return out.select("sid", "x", "y", "z", "views", (F.round("feature", 5) + 0.0).alias("feature"))

@@ -349,7 +349,7 @@ def order_panel(spark, sf):
     merged = lv.agg(F.count("*").alias("n")).first()[0] - enc.count()
     places, merges = None, None
     for name, (code, _) in ORDERS.items():
-        seq = voxel.ranked(v, code(), "pos").select("sid", "pos", F.col("tok").cast("long").alias("token"), F.array(F.struct("x", "y", "z")).alias("cells"))
+        seq = cut(voxel.ranked(v, code(), "pos").select("sid", "pos", F.col("tok").cast("long").alias("token"), F.array(F.struct("x", "y", "z")).alias("cells")))
         learned, _ = bpe3d.train_1d(seq.select("sid", "pos", "token"), BASE, ROUNDS)
         steps = None
         for rule in learned:
