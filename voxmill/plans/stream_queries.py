@@ -43,8 +43,8 @@ def cumulative_distinct(spark, sf):
 
 
 @query("""with recursive n as materialized (select user_id, event_id, value, row_number() over w as i, quantile_cont(value, 0.95) over (partition by user_id order by ts, event_id rows between 19 preceding and current row) as p from events window w as (partition by user_id order by ts, event_id)),
-r as (select user_id, i, value as s from n where i = 1 union all select n.user_id, n.i, 0.9 * r.s + 0.1 * n.value from r join n on n.user_id = r.user_id and n.i = r.i + 1)
-select n.user_id, event_id, round(case when n.i >= 20 then p end, 4) as p95, round(s, 4) as trend from n join r on n.user_id = r.user_id and n.i = r.i""")
+r as (select user_id, i, value as s from n where i = 1 union all select n.user_id, n.i, r.s * (6::double / 7) + n.value * (1 - 6::double / 7) from r join n on n.user_id = r.user_id and n.i = r.i + 1)
+select n.user_id, event_id, round(case when n.i >= 20 then p end, 6) as p95, round(s, 6) as trend from n join r on n.user_id = r.user_id and n.i = r.i""")
 def stream_rings(spark, sf):
     """Percentile of the last twenty values and trend of each user, kept as state of a stream; rows leave it once the watermark has passed them."""
     setting = "spark.sql.streaming.stateStore.providerClass"
@@ -52,7 +52,7 @@ def stream_rings(spark, sf):
     spark.conf.set(setting, rings.PROVIDER)
     try:
         e = jobs.closed(jobs.event_stream(spark, sf), spark, "rings")
-        out = jobs.drain(rings.rings(e, "user_id", "event_id", "value"), "rings")
+        out = jobs.drain(rings.rings(e, "user_id", "event_id", "value", alpha=6 / 7), "rings")
     finally:
         spark.conf.set(setting, before)
-    return out.select("user_id", F.col("number").alias("event_id"), F.round("pct", 4).alias("p95"), F.round("trend", 4).alias("trend"))
+    return out.select("user_id", F.col("number").alias("event_id"), F.round("pct", 6).alias("p95"), F.round("trend", 6).alias("trend"))
