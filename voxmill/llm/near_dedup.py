@@ -107,13 +107,14 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -
     return pairs.join(left.hint("merge"), "u").join(right.hint("merge"), "v").where(common >= similarity * (F.size("su") + F.size("sv") - common)).select("u", "v")
 
 
-def _mixed(member: DataFrame) -> DataFrame:
-    """The members (of, g, node, root) of clusters that hold several components, with the cluster's size, the node's home (its largest such cluster) and all its clusters (one a word at most), and ``apart`` from the cluster's largest component."""
+def _mixed(member: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The members (of, g, node, root) of clusters that hold several components, with the cluster's size, the node's print, its home (its largest such cluster) and all its clusters (one a word at most), and ``apart`` from the cluster's largest component."""
     classes = member.groupBy("of", "root").agg(F.count("*").alias("n"))
     mixed = classes.groupBy("of").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("classes"), F.sum("n").alias("size")).where("classes > 1").drop("classes")
-    rows = member.join(mixed, "of")
-    home = rows.groupBy("node").agg(F.max(F.struct("size", "of"))["of"].alias("home"), F.collect_set("of").alias("clusters"))
-    return rows.join(home, "node").select("of", "g", "node", "root", "size", (F.col("root") != F.col("main")).alias("apart"), "home", "clusters")
+    rows = member.join(mixed, "of").select("node", "root", F.struct("of", "g", "size", (F.col("root") != F.col("main")).alias("apart")).alias("c"))
+    each = rows.groupBy("node", "root").agg(F.collect_list("c").alias("c"), F.max(F.struct("c.size", "c.of"))["of"].alias("home"))  # WORDS clusters at most
+    each = each.join(nodes.select("node", "print").hint("merge"), "node").withColumn("clusters", F.transform("c", lambda x: x["of"]))
+    return each.select("node", "root", "print", "home", "clusters", F.explode("c").alias("c")).select("c.of", "c.g", "node", "root", "c.size", "c.apart", "print", "home", "clusters")
 
 
 def _links_of_blocks(_key, rows: pd.DataFrame) -> pd.DataFrame:
@@ -141,27 +142,27 @@ def _links_of_blocks(_key, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
 
-def _home_links(mixed: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+def _home_links(mixed: DataFrame, sets: DataFrame) -> DataFrame:
     """Links of the nodes of each home with its members; a row of either comes once for each block of the others."""
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     homes = mixed.where("of = home").groupBy("of").agg(F.count("*").alias("owners"))
-    rows = mixed.join(homes, "of").select("of", "node", "root", (F.col("home") == F.col("of")).alias("at_home"), blocks("owners").alias("p"), blocks("size").alias("q"))
+    rows = mixed.join(homes, "of").select("of", "node", "root", "print", (F.col("home") == F.col("of")).alias("at_home"), blocks("owners").alias("p"), blocks("size").alias("q"))
     mine = lambda n: F.pmod(F.xxhash64("node", "of"), F.col(n)).cast("int")
-    names = ("of", "node", "root", "at_home")
+    names = ("of", "node", "root", "print", "at_home")
     owners = rows.where("at_home").select(*names, F.lit(True).alias("owner"), mine("p").alias("i"), F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("j"))
     members = rows.select(*names, F.lit(False).alias("owner"), F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("i"), mine("q").alias("j"))
-    met = owners.unionByName(members).join(nodes.select("node", "print").hint("merge"), "node").join(sets.hint("merge"), "node")
+    met = owners.unionByName(members).join(sets.hint("merge"), "node")
     return met.groupBy("of", "i", "j").applyInPandas(_links_of_blocks, "u bigint, v bigint")
 
 
-def _direct_links(mixed: DataFrame, nodes: DataFrame) -> DataFrame:
+def _direct_links(mixed: DataFrame) -> DataFrame:
     """Pairs (u, v) of a cluster's members in different components, neither in the other's home, whose words of group g differ in at most BUDGET bits.
 
     One of the two is outside the cluster's largest component. The two words agree on one of BUDGET + 1 blocks.
     """
     per = 64 // WIDTH
     word = F.expr(f"shiftrightunsigned(print[cast(g div {per} as int)], cast(64 - {WIDTH} * (g % {per} + 1) as int)) & {(1 << WIDTH) - 1}")
-    rows = mixed.join(nodes.select("node", "print").hint("merge"), "node").select("of", "node", "root", "home", "clusters", "apart", word.alias("word"))
+    rows = mixed.select("of", "node", "root", "home", "clusters", "apart", word.alias("word"))
     sizes = [WIDTH // (BUDGET + 1) + (i < WIDTH % (BUDGET + 1)) for i in range(BUDGET + 1)]
     block = lambda i: F.shiftrightunsigned("word", sum(sizes[:i])).bitwiseAND(F.lit((1 << sizes[i]) - 1))
     rows = rows.withColumn("b", F.explode(F.array(*(F.struct(F.lit(i).alias("r"), block(i).alias("k")) for i in range(BUDGET + 1)))))
@@ -211,13 +212,13 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", cap: i
     edges = checked(both.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     roots = kept.put(components(edges, kept))
     member = kept.put(large.join(roots.hint("merge"), "node", "left").select("of", "g", "node", F.coalesce("root", "node").alias("root")))
-    mixed = kept.put(_mixed(member))
+    mixed = kept.put(_mixed(member, nodes))
     kept.drop(member, found)
     if mixed.limit(1).count():
         sets = sets_of(mixed.select("node"))
-        more = kept.put(_home_links(mixed, nodes, sets))
+        more = kept.put(_home_links(mixed, sets))
         kept.drop(sets)
-        rest = kept.put(_direct_links(mixed, nodes).join(edges, ["u", "v"], "left_anti"))
+        rest = kept.put(_direct_links(mixed).join(edges, ["u", "v"], "left_anti"))
         roots = kept.put(components(edges.unionByName(more).unionByName(checked(rest)), kept))
     kept.drop(mixed)
     named = nodes.select("node", "at").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
