@@ -13,8 +13,7 @@ pairs. In larger ones each member is compared with a leader, one of the cluster'
 of them. Clusters that still hold several components are taken up again. The largest such cluster of a node is its home:
 there it is compared with all members. Both meet in blocks of about ``BLOCK``, and a task compares two blocks, prints first
 and then shingle sets, and gives the links alone. Pairs of which neither is in the other's home are compared if a word links
-them directly (the two agree on one of the word's blocks, by which they are joined). So no pair that a word links is
-left out, and a large group of texts that are alike, but not enough, doesn't become a row for each of its pairs.
+them directly. So no pair that a word links is left out, and a large group of texts that are alike, but not enough, doesn't become a row for each of its pairs.
 
 Texts with equal sets are one node. Texts of fewer than five words are one shingle; null and empty
 texts have none and are one node together. Rows are told apart by the id and a hash of all columns.
@@ -158,25 +157,18 @@ def _home_links(mixed: DataFrame, sets: DataFrame) -> DataFrame:
 def _direct_links(mixed: DataFrame) -> DataFrame:
     """Pairs (u, v) of a cluster's members in different components, neither in the other's home, whose words of group g differ in at most BUDGET bits.
 
-    One of the two is outside the cluster's largest component. The two words agree on one of BUDGET + 1 blocks.
+    One of the two is outside the cluster's largest component. Words are compared within their cluster by the join itself, so
+    only pairs that are near become rows; adaptive execution splits the join where a cluster is large.
     """
     per = 64 // WIDTH
     word = F.expr(f"shiftrightunsigned(print[cast(g div {per} as int)], cast(64 - {WIDTH} * (g % {per} + 1) as int)) & {(1 << WIDTH) - 1}")
-    rows = mixed.select("of", "node", "root", "home", "clusters", "apart", word.alias("word"))
-    sizes = [WIDTH // (BUDGET + 1) + (i < WIDTH % (BUDGET + 1)) for i in range(BUDGET + 1)]
-    block = lambda i: F.shiftrightunsigned("word", sum(sizes[:i])).bitwiseAND(F.lit((1 << sizes[i]) - 1))
-    rows = rows.withColumn("b", F.explode(F.array(*(F.struct(F.lit(i).alias("r"), block(i).alias("k")) for i in range(BUDGET + 1)))))
-    side = lambda x: rows.select("of", F.col("b.r").alias("r"), F.col("b.k").alias("k"), *(F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "home", "clusters", "word", "apart")))
+    rows = mixed.where("of <> home").select("of", "node", "root", "home", "clusters", "apart", word.alias("word"))  # at home it has met all
+    side = lambda x: rows.select("of", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "home", "clusters", "word", "apart")))
     one, other = side("a").where("apart_a").drop("apart_a"), side("b")
     met_at_home = F.array_contains("clusters_b", F.col("home_a")) | F.array_contains("clusters_a", F.col("home_b"))
-    linked = (F.col("root_a") != F.col("root_b")) & (F.bit_count(F.col("word_a").bitwiseXOR(F.col("word_b"))) <= BUDGET) & (~F.col("apart_b") | (F.col("node_a") < F.col("node_b"))) & ~met_at_home
-    # a pair that agrees on several blocks is met on the first alone
-    masks = [((1 << sizes[i]) - 1) << sum(sizes[:i]) for i in range(BUDGET)]
-    for i, m in enumerate(masks):
-        linked = linked & ((F.col("a.r") <= i) | (F.col("word_a").bitwiseXOR(F.col("word_b")).bitwiseAND(F.lit(m)) != 0))
-    for c in ("of", "r", "k"):
-        linked = linked & (F.col(f"a.{c}") == F.col(f"b.{c}"))
-    met = one.alias("a").join(other.hint("merge").alias("b"), linked)
+    near = F.bit_count(F.col("word_a").bitwiseXOR(F.col("word_b"))) <= BUDGET
+    linked = near & (F.col("root_a") != F.col("root_b")) & (~F.col("apart_b") | (F.col("node_a") < F.col("node_b"))) & ~met_at_home
+    met = one.alias("a").join(other.hint("merge").alias("b"), (F.col("a.of") == F.col("b.of")) & linked)
     return met.select(F.least("node_a", "node_b").alias("u"), F.greatest("node_a", "node_b").alias("v")).distinct()
 
 
