@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Written, add_columns
@@ -92,11 +92,15 @@ def _sets():
     return lambda texts: ([shingler.of(t).view(np.int64).tolist() for t in texts],)
 
 
+def bits_apart(a: str, b: str) -> Column:
+    """Bits in which two fingerprints differ."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+
+
 def nearby(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs whose whole fingerprints differ in at most FAR bits."""
     left, right = (nodes.select(F.col("node").alias(x), F.col("print").alias(f"p{x}")) for x in "uv")
-    apart = F.aggregate(F.zip_with("pu", "pv", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
-    return pairs.join(left.hint("merge"), "u").join(right.hint("merge"), "v").where(apart <= FAR).select("u", "v")
+    return pairs.join(left.hint("merge"), "u").join(right.hint("merge"), "v").where(bits_apart("pu", "pv") <= FAR).select("u", "v")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -155,19 +159,19 @@ def _home_links(mixed: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _direct_links(mixed: DataFrame) -> DataFrame:
-    """Pairs (u, v) of a cluster's members in different components, neither in the other's home, whose words of group g differ in at most BUDGET bits.
+    """Pairs (u, v) of a cluster's members in different components, neither in the other's home, whose words of group g differ in at most BUDGET bits and whole fingerprints in at most FAR.
 
     One of the two is outside the cluster's largest component. Words are compared within their cluster by the join itself, so
     only pairs that are near become rows; adaptive execution splits the join where a cluster is large.
     """
     per = 64 // WIDTH
     word = F.expr(f"shiftrightunsigned(print[cast(g div {per} as int)], cast(64 - {WIDTH} * (g % {per} + 1) as int)) & {(1 << WIDTH) - 1}")
-    rows = mixed.where("of <> home").select("of", "node", "root", "home", "clusters", "apart", word.alias("word"))  # at home it has met all
-    side = lambda x: rows.select("of", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "home", "clusters", "word", "apart")))
+    rows = mixed.where("of <> home").select("of", "node", "root", "print", "home", "clusters", "apart", word.alias("word"))  # at home it has met all
+    side = lambda x: rows.select("of", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "print", "home", "clusters", "word", "apart")))
     one, other = side("a").where("apart_a").drop("apart_a"), side("b")
     met_at_home = F.array_contains("clusters_b", F.col("home_a")) | F.array_contains("clusters_a", F.col("home_b"))
     near = F.bit_count(F.col("word_a").bitwiseXOR(F.col("word_b"))) <= BUDGET
-    linked = near & (F.col("root_a") != F.col("root_b")) & (~F.col("apart_b") | (F.col("node_a") < F.col("node_b"))) & ~met_at_home
+    linked = near & (F.col("root_a") != F.col("root_b")) & (~F.col("apart_b") | (F.col("node_a") < F.col("node_b"))) & ~met_at_home & (bits_apart("print_a", "print_b") <= FAR)
     met = one.alias("a").join(other.hint("merge").alias("b"), (F.col("a.of") == F.col("b.of")) & linked)
     return met.select(F.least("node_a", "node_b").alias("u"), F.greatest("node_a", "node_b").alias("v")).distinct()
 
@@ -187,11 +191,10 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", cap: i
         return kept.put(add_columns(texts, ["text"], {"set": "array<bigint>"}, _sets, drop=("text",)))
 
     def checked(pairs: DataFrame) -> DataFrame:
-        """The links among the pairs."""
-        pairs = kept.put(nearby(pairs, nodes))
+        """The links among pairs whose fingerprints are near."""
         sets = sets_of(pairs.select(F.explode(F.array("u", "v")).alias("node")))
         out = kept.put(similar(pairs, sets))
-        kept.drop(sets, pairs)
+        kept.drop(sets)
         return out
 
     per = 64 // WIDTH
@@ -201,7 +204,9 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", cap: i
     outer = F.array(*(F.element_at("members", i) for i in (1, 2, -2, -1)))
     large = found.where("members is not null").select("of", F.col("u").alias("g"), F.element_at(outer, (F.pmod("of", F.lit(4)) + 1).cast("int")).alias("leader"), F.explode("members").alias("node"))
     both = found.where("members is null").select("u", "v").unionByName(large.where("node <> leader").select(F.col("node").alias("u"), F.col("leader").alias("v")))
-    edges = checked(both.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    near = kept.put(nearby(both.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), nodes))
+    edges = checked(near)
+    kept.drop(near)
     roots = kept.put(components(edges, kept))
     member = kept.put(large.join(roots.hint("merge"), "node", "left").select("of", "g", "node", F.coalesce("root", "node").alias("root")))
     mixed = kept.put(_mixed(member, nodes))
