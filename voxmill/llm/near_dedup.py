@@ -9,8 +9,8 @@ whole fingerprint (at most ``FAR`` of its bits may differ, which a pair at 0.8 e
 by the exact Jaccard similarity of the two texts' shingle sets. Components are formed from the links that hold.
 
 Of the clusters that a word's trie links, those of up to ``simhash.ALL_PAIRS`` members are compared in all
-pairs. In larger ones each member is compared with a leader, one of the cluster's four outermost ids, which joins most
-of them. Clusters that still hold several components are taken up again. The largest such cluster of a node is its home:
+pairs. In larger ones each member is compared with a leader, the cluster's least id, which joins most
+of them; the clusters that a group of alike texts has in several words mostly share it, so the same pair is met in all of them. Clusters that still hold several components are taken up again. The largest such cluster of a node is its home:
 there it is compared with all members. Both meet in blocks of about ``BLOCK``, and a task compares two blocks, prints first
 and then shingle sets, and gives the links alone. Pairs of which neither is in the other's home are compared if a word links
 them directly. So no pair that a word links is left out, and a large group of texts that are alike, but not enough, doesn't become a row for each of its pairs.
@@ -201,8 +201,7 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", cap: i
     word = F.posexplode(F.flatten(F.transform("print", lambda x: F.array(*(F.shiftrightunsigned(x, 64 - WIDTH * (i + 1)).bitwiseAND(F.lit((1 << WIDTH) - 1)) for i in range(per))))))
     found = linked_words(nodes.where("print is not null").select(F.col("node").alias("id"), word.alias("g", "word")), kept, BUDGET, cap, WIDTH, _pairs_to_compare)
     found = kept.put(found.withColumn("of", F.monotonically_increasing_id()))
-    outer = F.array(*(F.element_at("members", i) for i in (1, 2, -2, -1)))
-    large = found.where("members is not null").select("of", F.col("u").alias("g"), F.element_at(outer, (F.pmod("of", F.lit(4)) + 1).cast("int")).alias("leader"), F.explode("members").alias("node"))
+    large = found.where("members is not null").select("of", F.col("u").alias("g"), F.element_at("members", 1).alias("leader"), F.explode("members").alias("node"))
     both = found.where("members is null").select("u", "v").unionByName(large.where("node <> leader").select(F.col("node").alias("u"), F.col("leader").alias("v")))
     near = kept.put(nearby(both.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), nodes))
     edges = checked(near)
