@@ -23,7 +23,7 @@ def test_quantiles_equal_numpy(spark):
     assert stats.quantiles(spark.createDataFrame([], "k string, v double"), ["k"], "v", asked).count() == 0
 
 
-@pytest.mark.parametrize("alpha", [0.5, 0.9, 0.99])
+@pytest.mark.parametrize("alpha", [0.0, 1e-200, 1e-9, 0.5, 0.9, 0.99])
 def test_trend_equals_recursion(spark, alpha):
     r = random.Random(1)
     rows = [(k, i, r.random() * 10) for k in (1, 2) for i in range(700 if k == 1 else 3)]
@@ -35,6 +35,12 @@ def test_trend_equals_recursion(spark, alpha):
             assert got[k, i] == pytest.approx(s, rel=1e-9)
 
 
+@pytest.mark.parametrize("alpha", [-0.1, 1.0, 1.5])
+def test_trend_refuses_other_weights(spark, alpha):
+    with pytest.raises(ValueError):
+        sequence.trend(spark.createDataFrame([], "k int, i int, v double"), ["k"], ["i"], "v", alpha)
+
+
 def test_numbered_is_the_global_order(spark):
     r = random.Random(5)
     rows = spark.createDataFrame([(r.randrange(10**6),) for _ in range(3000)], "v long").repartition(7)

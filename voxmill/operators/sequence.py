@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 XYZ = ("x", "y", "z")
+#: Decimal digits of the largest weight in a block of ``trend``; values of a hundred digits still fit a double beside it.
+LARGEST_WEIGHT = 200
 
 
 def moving_average(rows: DataFrame, key: Sequence[str], order: Sequence[str], value: str, width: int, name: str = "ma") -> DataFrame:
@@ -27,18 +29,16 @@ def rolling_percentile(rows: DataFrame, key: Sequence[str], order: Sequence[str]
     return rows.withColumn(name, F.when(F.count(value).over(w) >= width, F.percentile(value, F.lit(q)).over(w)))
 
 
-def ema(values: Column, alpha: float) -> Column:
-    """Exponential trend of an ordered array of bounded length: s = alpha s + (1 - alpha) v, from the first value. Tables take ``trend``."""
-    step = lambda out, v: F.concat(out, F.array(F.when(F.size(out) == 0, v).otherwise(F.element_at(out, -1) * alpha + v * (1 - alpha))))
-    return F.aggregate(values, F.array().cast("array<double>"), lambda out, v: F.when(F.size(out) == 0, F.array(v)).otherwise(step(out, v)))
-
-
 def trend(rows: DataFrame, key: Sequence[str], order: Sequence[str], value: str, alpha: float, name: str = "trend", block: int = 64) -> DataFrame:
     """Exponential trend s = alpha s + (1 - alpha) v of each key's rows in order, from the first value.
 
     Rows are cut into blocks. Inside a block the trend is a weighted running sum; what a block inherits is the
-    weighted sum of the ends of those before, of which only as many count as still reach double precision.
+    weighted sum of the ends of those before, of which only as many count as still reach double precision. Weights in a
+    block go up to alpha to the power 1 - block, so a small alpha has shorter blocks. ``alpha`` is at least 0 and below 1.
     """
+    if not 0 <= alpha < 1:
+        raise ValueError("alpha must be at least 0 and below 1")
+    block = max(1, min(block, int(LARGEST_WEIGHT / -math.log10(alpha)))) if alpha else 1
     w = Window.partitionBy(*key).orderBy(*order)
     out = rows.withColumn("_i", F.row_number().over(w) - 1)
     out = out.withColumns({"_k": F.floor(F.col("_i") / block), "_j": F.col("_i") % block})

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import space
 from ..operators import catalog, layout, voxel
-from ..sources import shards
+from ..sources import readers, shards
 from ..sources.writers import shared_folder
 from .base import MORTON, V, query, table, voxels
 
@@ -211,6 +211,18 @@ def sdf_source(spark, sf):
     return shards.read_shards(spark, path, "sdf")
 
 
+@query(f"with {V}, f as (select distinct sid || '.npz' as name, case sid % 2 when 0 then 'even/' else 'odd/' end || sid || '.npz' as relpath from v) select relpath, sha256(relpath) as sha256, name from f")
+def listed_files(spark, sf):
+    """Identifiers of all archives below a root with two folders, by the digest of their place below it; names are listed, no archive is opened."""
+    root = shared_folder(spark, "files")
+    rows = voxels(spark, sf).select("sid", "x", "y", "z", F.lit(0.0).cast("float").alias("sdf"), F.lit(False).alias("edge"))
+    for k, name in enumerate(("even", "odd")):
+        shards.write_shards(rows.where(F.col("sid") % 2 == k), f"{root}/{name}", "sdf")
+    found = readers.list_files(spark, root, ["npz"])
+    name = F.element_at(F.split("relpath", "/"), -1)
+    return found.select("relpath", "sha256", name.alias("name"))
+
+
 @query(f"""with {V}, e as (select vec_id, embedding from embeddings where embedding is not null and len(embedding) = 64), p as (select sid, x, y, z, vec_id, 2 * pi() * (vec_id % 8) / 8 as a from v join e on v.sid % 256 = vec_id % 256),
 q as (select *, ((cos(a) * ((x + 0.5) / 32 - 0.5) + sin(a) * ((z + 0.5) / 32 - 0.5)) * 0.7 + 0.5) * 8 - 0.5 as u, (((y + 0.5) / 32 - 0.5) * 0.7 + 0.5) * 8 - 0.5 as w from p),
 c as (select sid, x, y, z, q.vec_id, floor(u) + i as col, floor(w) + j as row, (case when i = 1 then u - floor(u) else 1 - u + floor(u) end) * (case when j = 1 then w - floor(w) else 1 - w + floor(w) end) as k from q, range(2) r(i), range(2) s(j))
