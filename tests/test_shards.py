@@ -79,3 +79,9 @@ def test_csr_cells_and_their_errors(spark):
     assert sorted(tuple(r)[:6] for r in got if r.error is None) == [(1, 0, 0, 1, 1, 1.0), (1, 1, 0, 0, 0, 2.0), (1, 1, 0, 1, 0, 3.0)]
     errors = {r.k: r.error for r in got if r.error}
     assert sorted(errors) == [3, 4, 5, 6, 7, 8, 9] and "beyond" in errors[7] and "rise" in errors[5] and "rise" in errors[9] and "last pointer" in errors[6] and errors[8] == "missing part"
+
+
+def test_csr_cells_expand_in_one_pass(spark):
+    df = spark.createDataFrame([(1, [2, 1, 2, 2], [0, 1, 1], [3], [1.0])], "k int, shape array<int>, indptr array<int>, indices array<int>, data array<double>")
+    plan = layout.csr_cells(df, "k")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate ") == 1 and "Union" not in plan  # no copy of the arrays for each row of a matrix

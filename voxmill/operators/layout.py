@@ -199,14 +199,16 @@ def csr_cells(rows: DataFrame, key: str, shape: str = "shape", indptr: str = "in
         .when((F.get(indptr, n) != F.size(ind)) | (F.size(ind) != F.size(val)), "the last pointer must be the number of elements")
         .when(F.exists(ind, lambda i: i.isNull() | (i < 0) | (i >= width)), "column beyond the shape")
     )
-    checked = rows.select(key, sides.alias(shape), ptr.alias(indptr), ind.alias(indices), val.alias(data), problem.alias("error"))
+    # one pass: a matrix becomes its elements or its error, so that neither the check nor the arrays are repeated for each row
+    element = lambda row, i, v, error: F.struct(row.cast("int").alias("c0"), i.cast("long").alias("i"), v.cast("double").alias("v"), error.cast("string").alias("error"))
+    none = F.lit(None)
     span = lambda a, r: F.slice(a, F.get(indptr, r) + 1, F.get(indptr, r + 1) - F.get(indptr, r))
-    good = checked.where("error is null and size(" + indptr + ") > 1")
-    good = good.select(key, shape, indptr, indices, data, F.explode(F.sequence(F.lit(0), F.size(indptr) - 2)).alias("c0"))
-    good = good.select(key, shape, "c0", F.explode(F.arrays_zip(span(F.col(indices), F.col("c0")).alias("i"), span(F.col(data), F.col("c0")).alias("v"))).alias("e"))
-    i, b, c = F.col("e.i").cast("long"), F.get(shape, F.lit(2)), F.get(shape, F.lit(3))
-    cells = good.select(key, "c0", F.expr(f"e.i div ({shape}[2] * {shape}[3])").cast("int").alias("c1"), F.expr(f"(e.i div {shape}[3]) % {shape}[2]").cast("int").alias("c2"), (i % c).cast("int").alias("c3"), F.col("e.v").cast("double").alias("value"), F.lit(None).cast("string").alias("error"))
-    return cells.unionByName(checked.where("error is not null").select(key, *(F.lit(None).cast("int").alias(f"c{j}") for j in range(4)), F.lit(None).cast("double").alias("value"), "error"))
+    stored = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda r: F.zip_with(span(ind, r), span(val, r), lambda i, v: element(r, i, v, none))))
+    each = F.when(problem.isNotNull(), F.array(element(none, none, none, problem))).when(n > 0, stored)
+    e = rows.select(key, shape, F.explode(each).alias("e"))
+    i, d, w = F.col("e.i"), F.get(shape, F.lit(2)), F.get(shape, F.lit(3))
+    place = (F.floor(i / (d * w)), F.floor(i / w) % d, i % w)
+    return e.select(key, "e.c0", *(c.cast("int").alias(f"c{j + 1}") for j, c in enumerate(place)), F.col("e.v").alias("value"), "e.error")
 
 
 def sample_views(points: DataFrame, maps: DataFrame, key: Sequence[str], side: int) -> DataFrame:
