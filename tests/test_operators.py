@@ -118,6 +118,15 @@ def test_distances_between_footprints(spark):
     assert sorted((r.sid, r.l1) for r in layout.nearest_l1(a, b, 93).collect()) == [(1, 1), (2, 23), (3, 0)]
 
 
+def test_distances_of_far_footprints(spark):
+    r = random.Random(3)
+    clouds = {s: [(k, r.randrange(20) + (70 * k if s == "b" else 0), r.randrange(20), r.randrange(-9, 9)) for k in range(4) for _ in range(30)] for s in "ab"}
+    a, b = (spark.createDataFrame(clouds[s], "sid int, x int, y int, z int") for s in "ab")
+    want = {k: min(sum(abs(i - j) for i, j in zip(p[1:], q[1:], strict=True)) for p in clouds["a"] for q in clouds["b"] if p[0] == q[0] == k) for k in range(4)}
+    assert {x.sid: x.l1 for x in layout.nearest_l1(a, b, 500).collect()} == want
+    assert {x.sid for x in layout.nearest_l1(a, b, want[2]).collect()} == {0, 1, 2}
+
+
 def test_layout_errors(spark):
     rows = spark.createDataFrame([(1, 0, 0, 0, 1, 32), (2, 0, 0, 0, 1, 64)], "sid int, x int, y int, z int, tok int, res int")
     with pytest.raises(Exception, match="resolutions differ"):

@@ -135,24 +135,41 @@ def octree_sums(voxels: DataFrame, levels: int, value: str = "tok", key: Sequenc
     return out
 
 
+#: Sides of the cells by which ``nearest_l1`` narrows far pairs down to voxels.
+SIDES = (64, 16, 4, 1)
+
+
 def nearest_l1(a: DataFrame, b: DataFrame, reach: int, key: str = "sid") -> DataFrame:
-    """Least city-block distance between two footprints of each sample, by equi-joins on rings of growing radius: only samples without a hit go on."""
-    from ..functions import space
+    """Least city-block distance, at most ``reach``, between two footprints of each sample.
 
-    near, out, todo, low = 3, None, a, 0
-    while low <= reach:
-        steps = range(-near, near + 1)
-        ring = [(i, j, k) for i in steps for j in steps for k in steps if low <= abs(i) + abs(j) + abs(k) <= near]
-        grown = todo.withColumn("o", F.explode(space.offsets(ring)))
-        dist = F.abs("o.dx") + F.abs("o.dy") + F.abs("o.dz")
-        grown = grown.select(key, *((F.col(c) + F.col(f"o.d{c}")).alias(c) for c in XYZ), dist.alias("l1"))
-        hits = grown.join(b.select(key, *XYZ), [key, *XYZ]).groupBy(key).agg(F.min("l1").alias("l1"))
-        out = hits if out is None else out.unionByName(hits)
-        todo = todo.join(hits.select(key), key, "left_anti").join(b.select(key).distinct(), key, "left_semi")
-        if not todo.limit(1).count():
-            break
-        low, near = near + 1, 2 * near + 1
-    return out
+    Most samples have an equal or touching pair, found by an equi-join on face neighbours. The others go down through cells
+    of falling sides: of the pairs of cells only those stay that may hold a pair as near as the best one surely is. The plan
+    has a fixed size, however far the footprints are apart.
+    """
+    from ..functions import space
+    from .bpe3d import Cut
+
+    cut = Cut(a.sparkSession)
+    around = [(0, 0, 0), *space.FACES, *(tuple(-v for v in f) for f in space.FACES)]
+    grown = a.withColumn("o", F.explode(space.offsets(around)))
+    grown = grown.select(key, *((F.col(c) + F.col(f"o.d{c}")).alias(c) for c in XYZ), (F.abs("o.dx") + F.abs("o.dy") + F.abs("o.dz")).alias("l1"))
+    hits = cut(grown.join(b.select(key, *XYZ).hint("merge"), [key, *XYZ]).groupBy(key).agg(F.min("l1").alias("l1")))
+    rest = {s: cut(rows.select(key, *XYZ).join(hits.select(key), key, "left_anti")) for s, rows in (("a", a), ("b", b))}
+    kept = None
+    for parent, side in zip((None, *SIDES), SIDES):
+        cells = {s: rows.select(key, *(_cell(c, side).alias(f"{s}{c}") for c in XYZ), *([_cell(c, parent).alias(f"{s}p{c}") for c in XYZ] if parent else [])).distinct() for s, rows in rest.items()}
+        if kept is None:
+            pairs = cells["a"].join(cells["b"], key)
+        else:
+            up = kept.select(key, *(F.col(f"{s}{c}").alias(f"{s}p{c}") for s in "ab" for c in XYZ))
+            pairs = up.join(cells["a"], [key, *(f"ap{c}" for c in XYZ)]).join(cells["b"], [key, *(f"bp{c}" for c in XYZ)])
+        apart = [F.abs(F.col(f"a{c}") - F.col(f"b{c}")) * side for c in XYZ]
+        low, high = sum((F.greatest(d - (side - 1), F.lit(0)) for d in apart), F.lit(0)), sum((d + (side - 1) for d in apart), F.lit(0))
+        pairs = pairs.select(key, *(f"{s}{c}" for s in "ab" for c in XYZ), low.alias("low"), high.alias("high"))
+        best = pairs.groupBy(key).agg(F.min("high").alias("best"))
+        kept = pairs.join(best, key).where("low <= best")
+    far = best.select(key, F.col("best").cast("int").alias("l1")).where(F.col("l1") <= reach)
+    return hits.unionByName(far)
 
 
 def bounds_of_bands(voxels: DataFrame, resolution: int, extra: float, seed_scale: int | None = None, key: Sequence[str] = KEY) -> DataFrame:
