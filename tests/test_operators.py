@@ -143,3 +143,11 @@ def test_small_values(spark):
     row = spark.range(1).select(values.angle([F.lit(1.0), F.lit(0.5), F.lit(0.5)], [F.lit(0.5), F.lit(1.0), F.lit(0.5)]).alias("right"), values.angle([F.lit(0.5)] * 3, [F.lit(1.0)] * 3).alias("none"), values.radical_inverse(F.lit(6), 2, 32).alias("r"), values.size_text(F.lit(None).cast("long")).alias("s")).first()
     assert row.right == pytest.approx(90) and row.none is None and row.r == 0.375 and row.s == "n/a"
     assert vq.kmeans(spark.createDataFrame([], "i long, p array<double>"), "i", "p", 3, 2).count() == 0
+
+
+def test_views_need_no_shuffle_of_corners(spark):
+    points = spark.createDataFrame([(1, 0, 0.5, 0.5), (2, 0, 0.0, 0.25), (3, 9, 0.5, 0.5)], "k int, pose int, u double, v double")
+    maps = spark.createDataFrame([(0, 2, [1.0, 2.0, 3.0, None])], "pose int, views long, cells array<double>")
+    got = layout.sample_views(points, F.broadcast(maps), ["k"], 2)
+    assert {r.k: (r.views, r.feature) for r in got.collect()} == {1: (2, 0.75), 2: (2, 0.25)}
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()

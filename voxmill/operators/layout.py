@@ -231,15 +231,19 @@ def csr_cells(rows: DataFrame, key: str, shape: str = "shape", indptr: str = "in
 def sample_views(points: DataFrame, maps: DataFrame, key: Sequence[str], side: int) -> DataFrame:
     """(key, views, feature): mean over the views of each point of its view's feature map, read between cells.
 
-    ``points`` (key, view, u, v) has places in [0, 1) of the map's width and height, ``maps`` (view, row, col, value) the
-    cells of side x side maps. Cell centres lie at (i + 1/2) / side; a place takes its four nearest ones with bilinear weights,
-    those beyond the map counting as 0. The corners meet their cells in one join on (view, row, col).
+    ``points`` (key, pose, u, v) has places in [0, 1) of the map's width and height, ``maps`` (pose, views, cells) the number of
+    views with that pose and the sums of their side x side cells, in rows (null: 0). Reading is linear in the cells, so views under
+    which a point has one place count through their sum, and a point has one row for each pose. Cell centres lie at (i + 1/2) / side; a
+    place takes its four nearest ones with bilinear weights, those beyond the map counting as 0.
     """
     at = {c: F.col(c) * side - 0.5 for c in "uv"}
-    corner = F.explode(F.array(*(F.struct(F.lit(i).alias("du"), F.lit(j).alias("dv")) for i in (0, 1) for j in (0, 1)))).alias("o")
-    rows = points.select(*key, "view", *(F.floor(x).alias(f"{c}0") for c, x in at.items()), *((x - F.floor(x)).alias(f"{c}f") for c, x in at.items()), corner)
-    weight = F.when(F.col("o.du") == 1, F.col("uf")).otherwise(1 - F.col("uf")) * F.when(F.col("o.dv") == 1, F.col("vf")).otherwise(1 - F.col("vf"))
-    rows = rows.select(*key, "view", (F.col("v0") + F.col("o.dv")).cast("int").alias("row"), (F.col("u0") + F.col("o.du")).cast("int").alias("col"), weight.alias("w"))
-    met = rows.join(maps, ["view", "row", "col"], "left")
-    total = met.groupBy(*key).agg(F.countDistinct("view").alias("views"), F.sum(F.col("w") * F.coalesce("value", F.lit(0.0))).alias("total"))
-    return total.select(*key, "views", (F.col("total") / F.col("views")).alias("feature"))
+    rows = points.join(maps, "pose").select(*key, "views", "cells", *(F.floor(x).cast("int").alias(f"{c}0") for c, x in at.items()), *((x - F.floor(x)).alias(f"{c}f") for c, x in at.items()))
+    total = F.lit(0.0)
+    for i in (0, 1):
+        for j in (0, 1):
+            col, row = F.col("u0") + i, F.col("v0") + j
+            weight = (F.col("uf") if i else 1 - F.col("uf")) * (F.col("vf") if j else 1 - F.col("vf"))
+            cell = F.when(col.between(0, side - 1) & row.between(0, side - 1), F.get("cells", row * side + col))
+            total = total + weight * F.coalesce(cell, F.lit(0.0))
+    rows = rows.select(*key, "views", total.alias("total"))
+    return rows.groupBy(*key).agg(F.sum("views").alias("views"), (F.sum("total") / F.sum("views")).alias("feature"))
