@@ -110,3 +110,13 @@ def test_older_archives_masks_and_time_limits(spark, tmp_path):
 
     out = {r.id: r.error for r in readers.foreach_instance(spark.range(3), slow, "id bigint", seconds=1.0).collect()}
     assert out[0] is None and out[2] is None and "took more than" in out[1]
+
+
+def test_csv_holds_whole_lists(spark):
+    from voxmill.plans.registry import QUERIES
+
+    from .oracle import SF
+
+    got = QUERIES["csv_lists"](spark, SF).collect()
+    assert len(got) == len({r.k for r in got})  # a row for each key, its list uncut
+    assert sum(r.n for r in got) == spark.read.parquet(f"{SF}/orders.parquet").count()
