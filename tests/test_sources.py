@@ -120,3 +120,10 @@ def test_csv_holds_whole_lists(spark):
     got = QUERIES["csv_lists"](spark, SF).collect()
     assert len(got) == len({r.k for r in got})  # a row for each key, its list uncut
     assert sum(r.n for r in got) == spark.read.parquet(f"{SF}/orders.parquet").count()
+
+
+def test_a_shard_is_written_by_several_tasks(spark, tmp_path):
+    rows = spark.range(4000).selectExpr("cast(id % 40 as int) as sid", "id as tok").repartition(4)
+    W.write_corpus(rows, f"{tmp_path}/corpus", 2)
+    assert len(list(tmp_path.glob("corpus/shard=0/*.parquet"))) == 4
+    assert spark.read.parquet(f"{tmp_path}/corpus").count() == 4000
