@@ -8,6 +8,7 @@ within the watermark's delay. Rows later than the watermark are dropped by the e
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,23 +42,30 @@ class Rings(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = sorted((r[0], r[1], r[2]) for r in self.waiting.get())
-        ready = [r for r in waiting if r[0] < mark]
-        left = [r for r in waiting if r[0] >= mark]
+        waiting = sorted(tuple(r) for r in self.waiting.get())
+        cut = bisect.bisect_left(waiting, (mark,))
+        ready, left = waiting[:cut], waiting[cut:]
         if left:
             self.waiting.put(left)
         else:
             self.waiting.clear()
+        if not ready:
+            yield self._rows([])
+            return
         ring = [r[0] for r in self.ring.get()] if self.ring.exists() else []
         trend = self.trend.get()[0] if self.trend.exists() else None
-        out = []
-        for _, number, value in ready:
-            ring = [*ring, value][-self.width :]
+        values = np.array([*ring, *(r[2] for r in ready)])
+        pct = np.full(len(ready), np.nan)
+        if len(values) >= self.width:  # all windows at once; the last ones end at the ready rows
+            full = np.lib.stride_tricks.sliding_window_view(values, self.width)[-len(ready) :]
+            pct[len(ready) - len(full) :] = np.percentile(full, 100 * self.q, axis=1)
+        trends = []
+        for _, _, value in ready:
             trend = value if trend is None else self.alpha * trend + (1 - self.alpha) * value
-            out.append((key[0], number, float(np.percentile(ring, 100 * self.q)) if len(ring) == self.width else None, trend))
-        if ready:
-            self.ring.put([(v,) for v in ring])
-            self.trend.update((trend,))
+            trends.append(trend)
+        self.ring.put([(v,) for v in values[-self.width :].tolist()])
+        self.trend.update((trend,))
+        out = [(key[0], r[1], None if p != p else p, s) for r, p, s in zip(ready, pct.tolist(), trends, strict=True)]
         yield self._rows(out)
 
     def _rows(self, out: list) -> pd.DataFrame:
